@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cardlens.params import DEFAULT, Params
 from cardlens.plans import oracle_billing as ob
-from cardlens.operators import campaign, discounts, payments, promos, report, spend
+from cardlens.plans import oracle_logs as ol
+from cardlens.operators import (attempts, campaign, catalog, discounts, payments, prompts, promos,
+                                report, spans, spend)
 
 SparkFn = Callable[[SparkSession, str, Params], DataFrame]
 OracleFn = Callable[[Params], str]
@@ -40,6 +42,28 @@ REGISTRY: dict[str, tuple[SparkFn, OracleFn | None]] = {
     "campaign_offer": (campaign.campaign_offer, ob.campaign_offer),
     "campaign_offer_list": (campaign.campaign_offer_list, ob.campaign_offer_list),
     "account_report": (report.account_report, ob.account_report),
+    "table_profile": (catalog.table_profile, ol.table_profile),
+    "largest_table": (catalog.largest_table, ol.largest_table),
+    "schema_card": (catalog.schema_card, ol.schema_card),
+    "schema_samples": (catalog.schema_samples, None),
+    "synonym_card": (catalog.synonym_card, ol.synonym_card),
+    "table_copy": (catalog.table_copy, ol.table_copy),
+    "run_named_sql": (catalog.run_named_sql, ol.run_named_sql),
+    "prompt_table": (prompts.prompt_table, ol.prompt_table),
+    "prompt_budget": (prompts.prompt_budget, ol.prompt_budget),
+    "repair_prompts": (prompts.repair_prompts, ol.repair_prompts),
+    "answer_prompts": (prompts.answer_prompts, ol.answer_prompts),
+    "response_clean": (attempts.response_clean, ol.response_clean),
+    "sql_extract": (attempts.sql_extract, ol.sql_extract),
+    "attempt_status": (attempts.attempt_status, ol.attempt_status),
+    "attempt_outcome": (attempts.attempt_outcome, ol.attempt_outcome),
+    "error_mix": (attempts.error_mix, ol.error_mix),
+    "chunk_join": (attempts.chunk_join, ol.chunk_join),
+    "display_truncate": (attempts.display_truncate, ol.display_truncate),
+    "span_flatten": (spans.span_flatten, ol.span_flatten),
+    "span_latency": (spans.span_latency, ol.span_latency),
+    "token_usage": (spans.token_usage, ol.token_usage),
+    "episodes": (spans.episodes, ol.episodes),
 }
 
 

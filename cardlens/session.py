@@ -18,6 +18,7 @@ BASE_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -41,7 +42,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def apply_conf(spark: SparkSession) -> None:
     """Apply the runtime-settable part of BASE_CONF to an existing session."""
     for k, v in BASE_CONF.items():
-        if k in ("spark.ui.enabled",):
+        if k in ("spark.ui.enabled", "spark.ui.showConsoleProgress"):
             continue
         try:
             spark.conf.set(k, v)
