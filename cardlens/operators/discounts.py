@@ -7,53 +7,54 @@ runtime, AQE plans it as a broadcast hash semi join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardlens.functions.dates import month_text
 from cardlens.functions.jsonfmt import to_json
 from cardlens.params import Params
-from cardlens.sources.standins import billing_lines, services
+from cardlens.plans.broadcast import bounded_broadcast
+from cardlens.sources.cards import CardTables
 
 
-def discounted_lines(spark: SparkSession, sf_dir: str, p: Params, **kw) -> DataFrame:
+def discounted_lines(cards: CardTables, p: Params, **kw) -> DataFrame:
     """Billing lines whose service grants a discount."""
-    b = billing_lines(spark, sf_dir, p, **kw)
-    sv = services(spark, sf_dir, p).select(F.col("sv_code").alias("service"))
-    return b.join(sv, "service", "left_semi")
+    b = cards.billing(p, **kw)
+    sv = cards.services(p).select(F.col("sv_code").alias("service"))
+    return b.join(bounded_broadcast(sv, cards.services_row_bound(p)), "service", "left_semi")
 
 
-def discount_total(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def discount_total(cards: CardTables, p: Params) -> DataFrame:
     """Total discount received per account at the merchant in the range."""
-    d = discounted_lines(spark, sf_dir, p)
+    d = discounted_lines(cards, p)
     return d.groupBy("acct").agg(
         F.sum("discount").cast("double").alias("total_discount"),
         F.count("discount").alias("n_discounted"))
 
 
-def discount_by_month(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def discount_by_month(cards: CardTables, p: Params) -> DataFrame:
     """Discount per account and month."""
-    d = discounted_lines(spark, sf_dir, p)
+    d = discounted_lines(cards, p)
     return (d.groupBy("acct", month_text(F.col("sl_date")).alias("month"))
              .agg(F.sum("discount").cast("double").alias("monthly_discount")))
 
 
-def _month_use(spark, sf_dir, p, start, end_exclusive, merchant=True):
+def _month_use(cards, p, start, end_exclusive, merchant=True):
     """Discount used per (account, service) in one month."""
-    b = billing_lines(spark, sf_dir, p, start=start, end_exclusive=end_exclusive,
+    b = cards.billing(p, start=start, end_exclusive=end_exclusive,
                       use_merchant=merchant)
     return b.groupBy("acct", "service").agg(F.sum("discount").alias("used"))
 
 
-def limit_remaining(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def limit_remaining(cards: CardTables, p: Params) -> DataFrame:
     """Q2 + A10: limit − COALESCE(used this month, 0) per account and service.
 
     Covers every (account, service) pair with a line in the month of
     ``as_of``; pairs without lines are not enumerated (that would be the
     accounts × services product). The service table is one row per code.
     """
-    use = _month_use(spark, sf_dir, p, p.month_start, p.month_end_exclusive)
-    sv = services(spark, sf_dir, p)
+    use = _month_use(cards, p, p.month_start, p.month_end_exclusive)
+    sv = bounded_broadcast(cards.services(p), cards.services_row_bound(p))
     j = use.join(sv, use.service == sv.sv_code, "inner")
     used = F.coalesce(F.col("used"), F.lit(0).cast("decimal(18,2)"))
     return j.select(
@@ -63,14 +64,15 @@ def limit_remaining(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
         (F.col("monthly_limit") - used).cast("double").alias("remaining"))
 
 
-def limit_for_month(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def limit_for_month(cards: CardTables, p: Params) -> DataFrame:
     """the month asked as a ``yyyyMM`` prefix, as a day range on a date.
 
     Remaining limit of the asked service per account, all merchants.
     """
-    use = _month_use(spark, sf_dir, p, p.limit_month_start, p.limit_month_end_exclusive,
+    use = _month_use(cards, p, p.limit_month_start, p.limit_month_end_exclusive,
                      merchant=False).where(F.col("service") == p.service)
-    sv = services(spark, sf_dir, p).where(F.col("sv_code") == p.service)
+    sv = bounded_broadcast(cards.services(p).where(F.col("sv_code") == p.service),
+                           cards.services_row_bound(p))
     j = use.join(sv, use.service == sv.sv_code, "inner")
     used = F.coalesce(F.col("used"), F.lit(0).cast("decimal(18,2)"))
     return j.select(
@@ -80,20 +82,20 @@ def limit_for_month(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
         (F.col("monthly_limit") - used).cast("double").alias("remaining"))
 
 
-def _account_discount_state(spark, sf_dir, p) -> DataFrame:
+def _account_discount_state(cards, p) -> DataFrame:
     """Per account: discount in range (discounted services) and the asked
     service's use in the current month, joined with that service's limit.
 
     Range discounts and month use come from two scans that differ in their
     date filter; each is aggregated to one row per account before the join.
     """
-    rng = discounted_lines(spark, sf_dir, p).groupBy("acct").agg(
+    rng = discounted_lines(cards, p).groupBy("acct").agg(
         F.sum("discount").alias("total_discount"))
-    month = (billing_lines(spark, sf_dir, p, start=p.month_start,
+    month = (cards.billing(p, start=p.month_start,
                            end_exclusive=p.month_end_exclusive, use_merchant=False)
              .where(F.col("service") == p.service)
              .groupBy("acct").agg(F.sum("discount").alias("used")))
-    limit = services(spark, sf_dir, p).where(F.col("sv_code") == p.service) \
+    limit = cards.services(p).where(F.col("sv_code") == p.service) \
         .select(F.col("monthly_limit"))
     # one row at most (grouped by the code and filtered to one code)
     limit_value = limit.scalar()
@@ -104,21 +106,21 @@ def _account_discount_state(spark, sf_dir, p) -> DataFrame:
                        (limit_value - used).alias("remaining_limit")))
 
 
-def discount_by_month_limit(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def discount_by_month_limit(cards: CardTables, p: Params) -> DataFrame:
     """Q6: each month's discount with the account's remaining limit repeated.
 
     Monthly rows of the asked service at the merchant; the remaining limit is
     limit − this month's use of the service (all merchants), one value per
     account joined on the account.
     """
-    d = (discounted_lines(spark, sf_dir, p).where(F.col("service") == p.service)
+    d = (discounted_lines(cards, p).where(F.col("service") == p.service)
          .groupBy("acct", month_text(F.col("sl_date")).alias("month"))
          .agg(F.sum("discount").alias("monthly_discount")))
-    month = (billing_lines(spark, sf_dir, p, start=p.month_start,
+    month = (cards.billing(p, start=p.month_start,
                            end_exclusive=p.month_end_exclusive, use_merchant=False)
              .where(F.col("service") == p.service)
              .groupBy("acct").agg(F.sum("discount").alias("used")))
-    limit_value = services(spark, sf_dir, p).where(F.col("sv_code") == p.service) \
+    limit_value = cards.services(p).where(F.col("sv_code") == p.service) \
         .select("monthly_limit").scalar()
     used = F.coalesce(F.col("used"), F.lit(0).cast("decimal(18,2)"))
     return (d.join(month, "acct", "left")
@@ -127,8 +129,8 @@ def discount_by_month_limit(spark: SparkSession, sf_dir: str, p: Params) -> Data
                      (limit_value - used).cast("double").alias("remaining_limit")))
 
 
-def discount_info(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def discount_info(cards: CardTables, p: Params) -> DataFrame:
     """A14 + Q4: one JSON object per account with total, limit and remaining."""
-    s = _account_discount_state(spark, sf_dir, p)
+    s = _account_discount_state(cards, p)
     obj = F.struct(F.col("total_discount"), F.col("discount_limit"), F.col("remaining_limit"))
     return s.select("acct", to_json(obj).alias("discount_info"))

@@ -2,10 +2,10 @@
 
 A per-account list of single payments grows with the account, and one account
 may hold a large share of all lines. Lists are therefore built per
-(account, chunk) where a chunk is a range of ``payment_chunk_orders`` order
-keys: an order belongs to one account and has a bounded number of lines, so
-every collected group is bounded no matter how hot the account is. All lines
-appear; consumers concatenate chunks in ``chunk`` order.
+(account, chunk) where a chunk is a range of ``payment_chunk_lines`` line ids:
+line ids are unique, so every collected group holds at most that many lines
+no matter how hot the account is. All lines appear; consumers concatenate an
+account's chunks in ``chunk`` order.
 
 Monthly lists are bounded by the number of months in the asked range and are
 built after the monthly aggregate, one row per account.
@@ -13,28 +13,28 @@ built after the monthly aggregate, one row per account.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardlens.functions.dates import month_text, ymd_text
 from cardlens.functions.jsonfmt import sorted_json_list
 from cardlens.params import Params
 from cardlens.operators.discounts import discounted_lines
-from cardlens.sources.standins import billing_lines
+from cardlens.sources.cards import CardTables
 
 
-def payments_json(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def payments_json(cards: CardTables, p: Params) -> DataFrame:
     """Each payment as ``{"date","amount","discount"}``, sorted by day and line."""
-    b = billing_lines(spark, sf_dir, p)
-    chunk = F.expr(f"order_key div {int(p.payment_chunk_orders)}")
-    item = F.struct(ymd_text(F.col("sl_date")).alias("date"), F.col("order_key"),
-                    F.col("line_no"), F.col("amount"), F.col("discount"))
+    b = cards.billing(p)
+    chunk = F.expr(f"line_id div {int(p.payment_chunk_lines)}")
+    item = F.struct(ymd_text(F.col("sl_date")).alias("date"), F.col("line_id"),
+                    F.col("amount"), F.col("discount"))
     g = (b.groupBy("acct", chunk.alias("chunk"))
           .agg(F.count("*").alias("n_payments"),
                F.sum("amount").cast("double").alias("chunk_amount"),
                F.collect_list(item).alias("items")))
     return g.select("acct", "chunk", "n_payments", "chunk_amount",
-                    sorted_json_list(F.col("items"), ["date", "order_key", "line_no"],
+                    sorted_json_list(F.col("items"), ["date", "line_id"],
                                      ["date", "amount", "discount"]).alias("payments"))
 
 
@@ -44,13 +44,13 @@ def _monthly_list(df: DataFrame, value: str, key: str) -> DataFrame:
               .select("acct", sorted_json_list(F.col("items"), ["month"], ["month", key]).alias(key + "_json")))
 
 
-def monthly_json(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def monthly_json(cards: CardTables, p: Params) -> DataFrame:
     """Q5: monthly spending (COALESCE(billed, amount)) and monthly discounts as
     JSON lists per account (the monthly few-shot of the reference)."""
-    b = billing_lines(spark, sf_dir, p)
+    b = cards.billing(p)
     spend = (b.groupBy("acct", month_text(F.col("sl_date")).alias("month"))
               .agg(F.sum(F.coalesce("billed", "amount")).alias("total_spent")))
-    disc = (discounted_lines(spark, sf_dir, p)
+    disc = (discounted_lines(cards, p)
             .groupBy("acct", month_text(F.col("sl_date")).alias("month"))
             .agg(F.sum("discount").alias("total_discount")))
     s = _monthly_list(spend, "total_spent", "total_spent")

@@ -6,13 +6,13 @@ titles and texts are listed per chunk of ids; each chunk is bounded.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardlens.functions.jsonfmt import to_json
 from cardlens.functions.text import contains_ci
 from cardlens.params import Params
-from cardlens.sources.standins import messages, promotions
+from cardlens.sources.cards import CardTables
 
 
 def _listed(df: DataFrame, id_col: str, text_col: str, width: int, out: str, n_name: str) -> DataFrame:
@@ -24,43 +24,43 @@ def _listed(df: DataFrame, id_col: str, text_col: str, width: int, out: str, n_n
                     to_json(F.transform(F.array_sort("items"), lambda x: x[text_col])).alias(out))
 
 
-def active_promotions(spark: SparkSession, sf_dir: str, p: Params, word: str | None = None) -> DataFrame:
+def active_promotions(cards: CardTables, p: Params, word: str | None = None) -> DataFrame:
     """title contains the word and the promotion runs on ``as_of``."""
-    pr = promotions(spark, sf_dir)
+    pr = cards.promotions()
     day = F.to_date(F.lit(p.as_of))
     return pr.where(contains_ci(F.col("title"), word or p.merchant)
                     & (F.col("start_date") <= day) & (F.col("end_date") >= day))
 
 
-def promos_active(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def promos_active(cards: CardTables, p: Params) -> DataFrame:
     """JSON lists of matching active promotion titles."""
-    return _listed(active_promotions(spark, sf_dir, p), "promo_id", "title",
+    return _listed(active_promotions(cards, p), "promo_id", "title",
                    p.promo_chunk_parts, "events_json", "n_events")
 
 
-def promos_overlap(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def promos_overlap(cards: CardTables, p: Params) -> DataFrame:
     """F8: promotions running at any time in [promo_start, promo_end]."""
-    pr = promotions(spark, sf_dir)
+    pr = cards.promotions()
     cond = (contains_ci(F.col("title"), p.promo_word)
             & (F.col("start_date") <= F.to_date(F.lit(p.promo_end)))
             & (F.col("end_date") >= F.to_date(F.lit(p.promo_start))))
     return _listed(pr.where(cond), "promo_id", "title", p.promo_chunk_parts, "events_json", "n_events")
 
 
-def promos_body_match(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def promos_body_match(cards: CardTables, p: Params) -> DataFrame:
     """F9 on the body column, active on ``as_of``."""
-    pr = promotions(spark, sf_dir)
+    pr = cards.promotions()
     day = F.to_date(F.lit(p.as_of))
     cond = (contains_ci(F.col("body"), p.merchant)
             & (F.col("start_date") <= day) & (F.col("end_date") >= day))
     return _listed(pr.where(cond), "promo_id", "title", p.promo_chunk_parts, "events_json", "n_events")
 
 
-def matching_messages(spark: SparkSession, sf_dir: str, p: Params, word: str | None = None) -> DataFrame:
-    return messages(spark, sf_dir).where(contains_ci(F.col("msg_text"), word or p.message_word))
+def matching_messages(cards: CardTables, p: Params, word: str | None = None) -> DataFrame:
+    return cards.messages().where(contains_ci(F.col("msg_text"), word or p.message_word))
 
 
-def messages_match(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def messages_match(cards: CardTables, p: Params) -> DataFrame:
     """A11 + F9: JSON lists of whole message texts containing the word."""
-    return _listed(matching_messages(spark, sf_dir, p), "msg_id", "msg_text",
+    return _listed(matching_messages(cards, p), "msg_id", "msg_text",
                    p.message_chunk_docs, "messages_json", "n_messages")

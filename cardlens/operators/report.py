@@ -11,18 +11,18 @@ subqueries evaluated once; the lists themselves are ``promos_active`` and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardlens.functions.dates import ymd_text
 from cardlens.functions.jsonfmt import sorted_json_list
 from cardlens.operators.promos import active_promotions, matching_messages
 from cardlens.params import Params
-from cardlens.sources.standins import billing_lines, services
+from cardlens.sources.cards import CardTables
 
 
-def account_report(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    b = billing_lines(spark, sf_dir, p)
+def account_report(cards: CardTables, p: Params) -> DataFrame:
+    b = cards.billing(p)
     known = F.col("service").isin(list(p.known_services))
     by_day = (b.groupBy("acct", "sl_date")
                .agg(F.sum("amount").alias("day_amount"),
@@ -36,15 +36,15 @@ def account_report(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
                      F.sum("day_discount").alias("total_discount"),
                      F.collect_list(item).alias("days")))
 
-    month_use = (billing_lines(spark, sf_dir, p, start=p.month_start,
+    month_use = (cards.billing(p, start=p.month_start,
                                end_exclusive=p.month_end_exclusive, use_merchant=False)
                  .where(F.col("service") == p.service)
                  .groupBy("acct").agg(F.sum("discount").alias("used")))
 
-    limit_value = services(spark, sf_dir, p).where(F.col("sv_code") == p.service) \
+    limit_value = cards.services(p).where(F.col("sv_code") == p.service) \
         .select("monthly_limit").scalar()
-    n_events = active_promotions(spark, sf_dir, p).agg(F.count("*")).scalar()
-    n_messages = matching_messages(spark, sf_dir, p, word=p.merchant).agg(F.count("*")).scalar()
+    n_events = active_promotions(cards, p).agg(F.count("*")).scalar()
+    n_messages = matching_messages(cards, p, word=p.merchant).agg(F.count("*")).scalar()
     used = F.coalesce(F.col("used"), F.lit(0).cast("decimal(18,2)"))
 
     return (per_acct.join(month_use, "acct", "left")

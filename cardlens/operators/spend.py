@@ -7,72 +7,72 @@ the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cardlens.functions.dates import month_text, ymd_text
 from cardlens.params import Params
-from cardlens.sources.standins import billing_lines
+from cardlens.sources.cards import CardTables
 
 
 def _total(c="amount"):
     return F.sum(c).cast("double").alias("total_spent")
 
 
-def spend_total(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def spend_total(cards: CardTables, p: Params) -> DataFrame:
     """Total spent per account at the merchant in the range (demo question b)."""
-    b = billing_lines(spark, sf_dir, p)
+    b = cards.billing(p)
     return b.groupBy("acct").agg(_total(), F.count("*").alias("n_payments"))
 
 
-def spend_by_card(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def spend_by_card(cards: CardTables, p: Params) -> DataFrame:
     """Amount per account and card over the range, all merchants (question a)."""
-    b = billing_lines(spark, sf_dir, p, use_merchant=False)
+    b = cards.billing(p, use_merchant=False)
     return b.groupBy("acct", F.col("card").alias("card_name")).agg(
         F.sum("amount").cast("double").alias("total_amount"))
 
 
-def spend_by_month(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def spend_by_month(cards: CardTables, p: Params) -> DataFrame:
     """Amount per account and month at the merchant (question b)."""
-    b = billing_lines(spark, sf_dir, p)
+    b = cards.billing(p)
     return (b.groupBy("acct", month_text(F.col("sl_date")).alias("month"))
              .agg(_total(), F.count("*").alias("n_payments")))
 
 
-def spend_by_day(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def spend_by_day(cards: CardTables, p: Params) -> DataFrame:
     """Amount per account and payment day (question e, 'by payment date')."""
-    b = billing_lines(spark, sf_dir, p)
+    b = cards.billing(p)
     return (b.groupBy("acct", ymd_text(F.col("sl_date")).alias("payment_date"))
              .agg(_total(), F.count("*").alias("n_payments")))
 
 
-def billed_by_month(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def billed_by_month(cards: CardTables, p: Params) -> DataFrame:
     """Sum of COALESCE(billed principal, amount) per account and month."""
-    b = billing_lines(spark, sf_dir, p)
+    b = cards.billing(p)
     return (b.groupBy("acct", month_text(F.col("sl_date")).alias("month"))
              .agg(F.sum(F.coalesce("billed", "amount")).cast("double").alias("billed_total")))
 
 
-def spend_total_and_month(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def spend_total_and_month(cards: CardTables, p: Params) -> DataFrame:
     """The range total and the monthly breakdown together, as asked.
 
     ``rollup(acct, month)``: level 0 = account-month, 1 = account total,
     3 = grand total. One aggregate, no self-join.
     """
-    b = billing_lines(spark, sf_dir, p).select(
+    b = cards.billing(p).select(
         "acct", month_text(F.col("sl_date")).alias("month"), "amount")
     return (b.rollup("acct", "month")
              .agg(F.grouping_id().cast("int").alias("level"), _total(),
                   F.count("*").alias("n_payments")))
 
 
-def month_from_text(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def month_from_text(cards: CardTables, p: Params) -> DataFrame:
     """Month of a ``yyyyMMdd`` text date, by substr chain and by parsing.
 
     The payment-date text of every line in the range, once per distinct day.
     """
     from cardlens.functions.dates import month_by_substr, parse_ymd
-    b = billing_lines(spark, sf_dir, p, use_merchant=False)
+    b = cards.billing(p, use_merchant=False)
     days = b.select(ymd_text(F.col("sl_date")).alias("sl_dt")).distinct()
     return days.select(
         "sl_dt",
@@ -80,10 +80,10 @@ def month_from_text(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
         month_text(parse_ymd(F.col("sl_dt"))).alias("month_parsed"))
 
 
-def month_bounds(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def month_bounds(cards: CardTables, p: Params) -> DataFrame:
     """First and last day of the month of every payment day."""
     from cardlens.functions.dates import month_end, month_start
-    b = billing_lines(spark, sf_dir, p, use_merchant=False)
+    b = cards.billing(p, use_merchant=False)
     days = b.select("sl_date").distinct()
     return days.select(
         ymd_text(F.col("sl_date")).alias("sl_dt"),
@@ -91,11 +91,11 @@ def month_bounds(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
         ymd_text(month_end(F.col("sl_date"))).alias("month_last"))
 
 
-def top_customers(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+def top_customers(cards: CardTables, p: Params) -> DataFrame:
     """Q8, Q9: the k accounts that spent most at the merchant, ties by account.
 
     ``orderBy + limit`` plans as TakeOrderedAndProject: each task keeps its
     top k and only k rows per task reach the final merge.
     """
-    totals = spend_total(spark, sf_dir, p)
+    totals = spend_total(cards, p)
     return totals.orderBy(F.col("total_spent").desc(), F.col("acct").asc()).limit(p.top_k)

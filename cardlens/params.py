@@ -49,7 +49,7 @@ class Params:
     # top-k report
     top_k: int = 5
     # chunk widths for JSON lists (keys per chunk); bounds every collected group
-    payment_chunk_orders: int = 256
+    payment_chunk_lines: int = 2048
     promo_chunk_parts: int = 512
     message_chunk_docs: int = 32
     # prompts and attempts

@@ -32,7 +32,7 @@ def billing_cte(p: Params, name: str = "billing", *, start: str | None = None,
         conds.append(f"o_custkey = {int(p.account)}")
     where = ("WHERE " + " AND ".join(conds)) if conds else ""
     return f"""{name} AS (
-  SELECT o_custkey AS acct, l_orderkey AS order_key, l_linenumber AS line_no,
+  SELECT o_custkey AS acct, l_orderkey * 8 + l_linenumber AS line_id,
          CAST(l_shipdate AS DATE) AS sl_date,
          CAST(l_extendedprice AS DECIMAL(18,2)) AS amount,
          p_name AS merchant, p_brand AS card, p_type AS service,

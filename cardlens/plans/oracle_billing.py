@@ -123,11 +123,11 @@ LEFT JOIN month_use u ON r.acct = u.acct"""
 
 
 def payments_json(p: Params) -> str:
-    k = int(p.payment_chunk_orders)
-    return with_(billing_cte(p)) + f"""SELECT acct, order_key // {k} AS chunk, COUNT(*) AS n_payments,
+    k = int(p.payment_chunk_lines)
+    return with_(billing_cte(p)) + f"""SELECT acct, line_id // {k} AS chunk, COUNT(*) AS n_payments,
        CAST(SUM(amount) AS DOUBLE) AS chunk_amount,
        to_json(list({{'date': {YMD}, 'amount': amount, 'discount': discount}}
-                    ORDER BY {YMD}, order_key, line_no)) AS payments
+                    ORDER BY {YMD}, line_id)) AS payments
 FROM billing GROUP BY acct, chunk"""
 
 

@@ -7,41 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cardlens.params import DEFAULT, Params
+from cardlens.sources.cards import CardTables, TpchCards
 from cardlens.plans import oracle_billing as ob
 from cardlens.plans import oracle_logs as ol
 from cardlens.operators import (attempts, campaign, catalog, discounts, payments, prompts, promos,
                                 report, spans, spend)
 
 SparkFn = Callable[[SparkSession, str, Params], DataFrame]
+
+
+def on_tpch(fn: Callable[[CardTables, Params], DataFrame]) -> SparkFn:
+    """Run a card report over the test tables' stand-ins."""
+    def run(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+        return fn(TpchCards(spark, sf_dir), p)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
 OracleFn = Callable[[Params], str]
 
 # name -> (spark job, oracle SQL builder or None for a rows-only check)
 REGISTRY: dict[str, tuple[SparkFn, OracleFn | None]] = {
-    "spend_total": (spend.spend_total, ob.spend_total),
-    "spend_by_card": (spend.spend_by_card, ob.spend_by_card),
-    "spend_by_month": (spend.spend_by_month, ob.spend_by_month),
-    "spend_by_day": (spend.spend_by_day, ob.spend_by_day),
-    "billed_by_month": (spend.billed_by_month, ob.billed_by_month),
-    "spend_total_and_month": (spend.spend_total_and_month, ob.spend_total_and_month),
-    "month_from_text": (spend.month_from_text, ob.month_from_text),
-    "month_bounds": (spend.month_bounds, ob.month_bounds),
-    "top_customers": (spend.top_customers, ob.top_customers),
-    "discount_total": (discounts.discount_total, ob.discount_total),
-    "discount_by_month": (discounts.discount_by_month, ob.discount_by_month),
-    "discount_by_month_limit": (discounts.discount_by_month_limit, ob.discount_by_month_limit),
-    "limit_remaining": (discounts.limit_remaining, ob.limit_remaining),
-    "limit_for_month": (discounts.limit_for_month, ob.limit_for_month),
-    "discount_info": (discounts.discount_info, ob.discount_info),
-    "payments_json": (payments.payments_json, ob.payments_json),
-    "monthly_json": (payments.monthly_json, ob.monthly_json),
-    "promos_active": (promos.promos_active, ob.promos_active),
-    "promos_overlap": (promos.promos_overlap, ob.promos_overlap),
-    "promos_body_match": (promos.promos_body_match, ob.promos_body_match),
-    "messages_match": (promos.messages_match, ob.messages_match),
+    "spend_total": (on_tpch(spend.spend_total), ob.spend_total),
+    "spend_by_card": (on_tpch(spend.spend_by_card), ob.spend_by_card),
+    "spend_by_month": (on_tpch(spend.spend_by_month), ob.spend_by_month),
+    "spend_by_day": (on_tpch(spend.spend_by_day), ob.spend_by_day),
+    "billed_by_month": (on_tpch(spend.billed_by_month), ob.billed_by_month),
+    "spend_total_and_month": (on_tpch(spend.spend_total_and_month), ob.spend_total_and_month),
+    "month_from_text": (on_tpch(spend.month_from_text), ob.month_from_text),
+    "month_bounds": (on_tpch(spend.month_bounds), ob.month_bounds),
+    "top_customers": (on_tpch(spend.top_customers), ob.top_customers),
+    "discount_total": (on_tpch(discounts.discount_total), ob.discount_total),
+    "discount_by_month": (on_tpch(discounts.discount_by_month), ob.discount_by_month),
+    "discount_by_month_limit": (on_tpch(discounts.discount_by_month_limit), ob.discount_by_month_limit),
+    "limit_remaining": (on_tpch(discounts.limit_remaining), ob.limit_remaining),
+    "limit_for_month": (on_tpch(discounts.limit_for_month), ob.limit_for_month),
+    "discount_info": (on_tpch(discounts.discount_info), ob.discount_info),
+    "payments_json": (on_tpch(payments.payments_json), ob.payments_json),
+    "monthly_json": (on_tpch(payments.monthly_json), ob.monthly_json),
+    "promos_active": (on_tpch(promos.promos_active), ob.promos_active),
+    "promos_overlap": (on_tpch(promos.promos_overlap), ob.promos_overlap),
+    "promos_body_match": (on_tpch(promos.promos_body_match), ob.promos_body_match),
+    "messages_match": (on_tpch(promos.messages_match), ob.messages_match),
     "campaign_customers": (campaign.campaign_customers, ob.campaign_customers),
     "campaign_offer": (campaign.campaign_offer, ob.campaign_offer),
     "campaign_offer_list": (campaign.campaign_offer_list, ob.campaign_offer_list),
-    "account_report": (report.account_report, ob.account_report),
+    "account_report": (on_tpch(report.account_report), ob.account_report),
     "table_profile": (catalog.table_profile, ol.table_profile),
     "largest_table": (catalog.largest_table, ol.largest_table),
     "schema_card": (catalog.schema_card, ol.schema_card),

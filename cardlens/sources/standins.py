@@ -74,8 +74,8 @@ def billing_lines(spark: SparkSession, sf_dir: str, p: Params, *,
                         F.lit(0).cast(MONEY))
     return lines.select(
         F.col("o_custkey").alias("acct"),
-        F.col("l_orderkey").alias("order_key"),
-        F.col("l_linenumber").alias("line_no"),
+        # unique line id: order key and line number (TPC-H line numbers are 1-7)
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_id"),
         F.col("l_shipdate").cast("date").alias("sl_date"),
         amount.alias("amount"),
         F.col("p_name").alias("merchant"),
