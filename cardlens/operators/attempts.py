@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardlens.functions.text import (error_class, extract_sql, has_error_marker, trim_text,
@@ -41,21 +41,27 @@ def attempt_outcome(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
     """Per question, the attempt that first succeeded within the budget,
     the attempts used and the final status.
 
-    Attempts are ranked per question; a question's log is bounded by the retry
-    budget of the loop that wrote it, so the window per question is small.
+    Two aggregates and no window: the first successful attempt per question,
+    then its position (attempts before it + 1) from a join back on the
+    question. A question with a huge log is spread over many tasks.
     """
     st = attempt_status(spark, sf_dir, p).select("q_id", "attempt_no", "status")
-    w = Window.partitionBy("q_id").orderBy("attempt_no")
-    ranked = st.withColumn("rank", F.row_number().over(w))
-    budget = F.lit(p.retry_budget)
-    in_budget = F.col("rank") <= budget
-    g = ranked.groupBy("q_id").agg(
+    is_ok = F.col("status") == "ok"
+    per_q = st.groupBy("q_id").agg(
         F.count("*").alias("n_attempts"),
-        F.min(F.when(in_budget & (F.col("status") == "ok"), F.col("rank"))).alias("first_ok_attempt"))
-    used = F.coalesce(F.col("first_ok_attempt"), F.least(F.col("n_attempts"), budget.cast("bigint")))
-    return g.select("q_id", "n_attempts", "first_ok_attempt", used.cast("bigint").alias("attempts_used"),
-                    F.when(F.col("first_ok_attempt").isNotNull(), F.lit("ok"))
-                     .otherwise(F.lit("no result")).alias("final_status"))
+        F.min(F.when(is_ok, F.col("attempt_no"))).alias("first_ok_no"))
+    before = (st.join(per_q.select("q_id", "first_ok_no"), "q_id", "inner")
+                .groupBy("q_id")
+                .agg(F.sum(F.when(F.col("attempt_no") < F.col("first_ok_no"), 1).otherwise(0))
+                     .alias("n_before")))
+    j = per_q.join(before, "q_id", "inner")
+    budget = F.lit(p.retry_budget).cast("bigint")
+    rank = F.when(F.col("first_ok_no").isNotNull(), F.col("n_before") + 1)
+    first_ok = F.when(rank <= budget, rank).cast("int")
+    used = F.coalesce(first_ok.cast("bigint"), F.least(F.col("n_attempts"), budget))
+    return j.select("q_id", "n_attempts", first_ok.alias("first_ok_attempt"),
+                    used.alias("attempts_used"),
+                    F.when(first_ok.isNotNull(), F.lit("ok")).otherwise(F.lit("no result")).alias("final_status"))
 
 
 def error_mix(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:

@@ -23,10 +23,28 @@ from cardlens.operators.discounts import discounted_lines
 from cardlens.sources.cards import CardTables
 
 
+def payment_chunks(b: DataFrame, width: int, dense_ids: bool) -> DataFrame:
+    """Add ``chunk``: groups of at most about ``width`` lines of one account.
+
+    Dense ids: a range of ``width`` ids. Hashed ids: lines are counted per
+    (account, day) first and each day is split into ceil(n / width) hash
+    buckets, so a day of a hot account is spread over many chunks.
+    """
+    if dense_ids:
+        return b.withColumn("chunk", F.expr(f"line_id div {int(width)}"))
+    day = F.coalesce(F.datediff(F.col("sl_date"), F.lit("1970-01-01").cast("date")), F.lit(-1))
+    b = b.withColumn("day_key", day)
+    per_day = b.groupBy("acct", "day_key").agg(F.count("*").alias("day_n"))
+    b = b.join(per_day, ["acct", "day_key"], "inner")
+    buckets = F.ceil(F.col("day_n") / F.lit(width)).cast("bigint")
+    chunk = F.col("day_key").cast("bigint") * F.lit(1 << 24) + F.pmod(F.col("line_id"), buckets)
+    return b.withColumn("chunk", chunk).drop("day_key", "day_n")
+
+
 def payments_json(cards: CardTables, p: Params) -> DataFrame:
     """Each payment as ``{"date","amount","discount"}``, sorted by day and line."""
-    b = cards.billing(p)
-    chunk = F.expr(f"line_id div {int(p.payment_chunk_lines)}")
+    b = payment_chunks(cards.billing(p), p.payment_chunk_lines, cards.dense_line_ids)
+    chunk = F.col("chunk")
     item = F.struct(ymd_text(F.col("sl_date")).alias("date"), F.col("line_id"),
                     F.col("amount"), F.col("discount"))
     g = (b.groupBy("acct", chunk.alias("chunk"))

@@ -23,6 +23,14 @@ def on_tpch(fn: Callable[[CardTables, Params], DataFrame]) -> SparkFn:
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
     return run
+
+
+def on_tpch_campaigns(fn) -> SparkFn:
+    def run(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+        return fn(campaign.TpchCampaigns(spark, sf_dir), p)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
 OracleFn = Callable[[Params], str]
 
 # name -> (spark job, oracle SQL builder or None for a rows-only check)
@@ -48,9 +56,9 @@ REGISTRY: dict[str, tuple[SparkFn, OracleFn | None]] = {
     "promos_overlap": (on_tpch(promos.promos_overlap), ob.promos_overlap),
     "promos_body_match": (on_tpch(promos.promos_body_match), ob.promos_body_match),
     "messages_match": (on_tpch(promos.messages_match), ob.messages_match),
-    "campaign_customers": (campaign.campaign_customers, ob.campaign_customers),
-    "campaign_offer": (campaign.campaign_offer, ob.campaign_offer),
-    "campaign_offer_list": (campaign.campaign_offer_list, ob.campaign_offer_list),
+    "campaign_customers": (on_tpch_campaigns(campaign.campaign_customers), ob.campaign_customers),
+    "campaign_offer": (on_tpch_campaigns(campaign.campaign_offer), ob.campaign_offer),
+    "campaign_offer_list": (on_tpch_campaigns(campaign.campaign_offer_list), ob.campaign_offer_list),
     "account_report": (on_tpch(report.account_report), ob.account_report),
     "table_profile": (catalog.table_profile, ol.table_profile),
     "largest_table": (catalog.largest_table, ol.largest_table),

@@ -29,6 +29,9 @@ MONEY = "decimal(18,2)"
 
 
 class CardTables:
+    # line ids are dense (ranges of ids hold bounded numbers of lines)
+    dense_line_ids: bool = False
+
     def billing(self, p: Params, *, start: str | None = None, end_exclusive: str | None = None,
                 use_range: bool = True, use_merchant: bool = True) -> DataFrame:
         raise NotImplementedError
@@ -51,6 +54,7 @@ class CardTables:
 class TpchCards(CardTables):
     spark: SparkSession
     sf_dir: str
+    dense_line_ids = True
 
     def billing(self, p, *, start=None, end_exclusive=None, use_range=True, use_merchant=True):
         return standins.billing_lines(self.spark, self.sf_dir, p, start=start, end_exclusive=end_exclusive,
