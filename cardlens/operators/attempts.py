@@ -28,24 +28,27 @@ def sql_extract(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
                     (sql != trim_text(F.col("reply"))).alias("had_wrapping"))
 
 
-def attempt_status(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    """R4 + C11: error class of each attempt and the reference's own flag."""
-    a = attempts(spark, sf_dir)
+def status_of(a: DataFrame) -> DataFrame:
+    """R4 + C11 over (q_id, attempt_no, reply, result_text)."""
     return a.select("q_id", "attempt_no", "reply", "result_text",
                     extract_sql(F.col("reply")).alias("sql"),
                     error_class(F.col("result_text")).alias("status"),
                     has_error_marker(F.col("result_text")).alias("has_error_marker"))
 
 
-def attempt_outcome(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    """Per question, the attempt that first succeeded within the budget,
-    the attempts used and the final status.
+def attempt_status(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    """R4 + C11: error class of each attempt and the reference's own flag."""
+    return status_of(attempts(spark, sf_dir))
+
+
+def outcome_of(status: DataFrame, budget: int) -> DataFrame:
+    """R5 over (q_id, attempt_no, status).
 
     Two aggregates and no window: the first successful attempt per question,
     then its position (attempts before it + 1) from a join back on the
     question. A question with a huge log is spread over many tasks.
     """
-    st = attempt_status(spark, sf_dir, p).select("q_id", "attempt_no", "status")
+    st = status.select("q_id", "attempt_no", "status")
     is_ok = F.col("status") == "ok"
     per_q = st.groupBy("q_id").agg(
         F.count("*").alias("n_attempts"),
@@ -55,7 +58,7 @@ def attempt_outcome(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
                 .agg(F.sum(F.when(F.col("attempt_no") < F.col("first_ok_no"), 1).otherwise(0))
                      .alias("n_before")))
     j = per_q.join(before, "q_id", "inner")
-    budget = F.lit(p.retry_budget).cast("bigint")
+    budget = F.lit(budget).cast("bigint")
     rank = F.when(F.col("first_ok_no").isNotNull(), F.col("n_before") + 1)
     first_ok = F.when(rank <= budget, rank).cast("int")
     used = F.coalesce(first_ok.cast("bigint"), F.least(F.col("n_attempts"), budget))
@@ -64,10 +67,19 @@ def attempt_outcome(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
                     F.when(first_ok.isNotNull(), F.lit("ok")).otherwise(F.lit("no result")).alias("final_status"))
 
 
+def attempt_outcome(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    """Per question, the attempt that first succeeded within the budget,
+    the attempts used and the final status."""
+    return outcome_of(attempt_status(spark, sf_dir, p), p.retry_budget)
+
+
+def error_mix_of(status: DataFrame) -> DataFrame:
+    return status.groupBy("attempt_no", "status").agg(F.count("*").alias("n_attempts"))
+
+
 def error_mix(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
     """T4: attempts per error kind and attempt position."""
-    st = attempt_status(spark, sf_dir, p)
-    return st.groupBy("attempt_no", "status").agg(F.count("*").alias("n_attempts"))
+    return error_mix_of(attempt_status(spark, sf_dir, p))
 
 
 def chunk_join(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:

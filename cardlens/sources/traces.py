@@ -61,8 +61,8 @@ def read_spans(spark: SparkSession, artifacts_glob: str) -> DataFrame:
 
 def read_trace_info(spark: SparkSession, info_glob: str) -> DataFrame:
     """``trace_info.yaml`` files as one row each (whole-text read + regex)."""
-    raw = spark.read.option("wholetext", "true").text(info_glob)
-    cols = [F.regexp_extract("value", rf"(?m)^{k}:\s*'?([^'\n]*)'?\s*$", 1).alias(k) for k in INFO_KEYS]
+    raw = spark.read.text(info_glob, wholetext=True)
+    cols = [F.regexp_extract("value", rf"(?m)^{k}:[ \t]*'?([^'\n]*?)'?[ \t]*$", 1).alias(k) for k in INFO_KEYS]
     df = raw.select(*cols)
     return df.select(F.col("request_id"), F.col("experiment_id"), F.col("status"),
                      F.col("execution_time_ms").cast("bigint").alias("execution_time_ms"),

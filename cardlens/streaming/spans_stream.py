@@ -1,0 +1,62 @@
+"""Span latency over span files as they arrive (S8 + T1, incremental).
+
+A tracking client keeps writing span records; this reads the folder as a
+Structured Streaming source and keeps per-(window, name) latency totals with a
+watermark, so late records within the allowed delay are still counted and
+state for closed windows is dropped. Exact medians are a batch job
+(``operators.spans.latency_stats``); the stream keeps count/sum/min/max,
+which merge incrementally.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+SPAN_SCHEMA = T.StructType([
+    T.StructField("span_id", T.LongType()),
+    T.StructField("trace_key", T.LongType()),
+    T.StructField("name", T.StringType()),
+    T.StructField("start_ts", T.TimestampNTZType()),
+    T.StructField("duration_ms", T.DoubleType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("tokens", T.LongType()),
+])
+
+
+def span_stream(spark: SparkSession, source_dir: str, fmt: str = "parquet",
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(SPAN_SCHEMA).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return reader.load(source_dir)
+
+
+def windowed_latency(spans: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Per (window, name): spans, errors, tokens and duration sum/min/max."""
+    dur = F.col("duration_ms").cast("decimal(18,2)")
+    # watermarks need TIMESTAMP; span times are zone-less, read as UTC
+    spans = spans.withColumn("event_ts", F.col("start_ts").cast("timestamp"))
+    return (spans.withWatermark("event_ts", delay)
+                 .groupBy(F.window("event_ts", window).alias("w"), "name")
+                 .agg(F.count("*").alias("n_spans"),
+                      F.sum(F.when(F.col("status") == "ERROR", 1).otherwise(0)).alias("n_errors"),
+                      F.sum("tokens").alias("tokens"),
+                      F.sum(dur).alias("sum_ms"), F.min(dur).alias("min_ms"), F.max(dur).alias("max_ms"))
+                 .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                         "name", "n_spans", "n_errors", "tokens", "sum_ms", "min_ms", "max_ms"))
+
+
+def start_latency_sink(agg: DataFrame, out_dir: str, checkpoint_dir: str,
+                       available_now: bool = False, processing_time: str | None = "1 minute") -> StreamingQuery:
+    """Append closed windows to parquet; the checkpoint (in the cluster's
+    shared folder) lets a restarted query continue where it stopped."""
+    w = (agg.writeStream.outputMode("append").format("parquet")
+            .option("path", out_dir).option("checkpointLocation", checkpoint_dir))
+    if available_now:
+        w = w.trigger(availableNow=True)
+    elif processing_time:
+        w = w.trigger(processingTime=processing_time)
+    return w.start()

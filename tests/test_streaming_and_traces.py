@@ -1,0 +1,71 @@
+"""Streaming latency sink and the trace-file reader."""
+
+import json
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from cardlens.sources import standins
+from cardlens.sources.traces import read_spans, read_trace_info, read_traces
+from cardlens.streaming.spans_stream import span_stream, start_latency_sink, windowed_latency
+from conftest import SMALL
+
+
+def test_stream_totals_match_batch(spark):
+    base = tempfile.mkdtemp(prefix="cardlens-stream-")
+    src = os.path.join(base, "in")
+    sp = standins.spans(spark, SMALL)
+    # two batches of files, the second arriving after the first has been read
+    sp.where(F.col("span_id") < 500).write.parquet(src + "/a")
+    sp.where(F.col("span_id") >= 500).write.parquet(src + "/b")
+    stream = span_stream(spark, src + "/*", max_files_per_trigger=1)
+    q = start_latency_sink(windowed_latency(stream, "1 day", "0 seconds"),
+                           os.path.join(base, "out"), os.path.join(base, "ckpt"), available_now=True)
+    q.awaitTermination(300)
+    out = spark.read.parquet(os.path.join(base, "out"))
+    got = out.agg(F.sum("n_spans").alias("n"), F.sum("tokens").alias("t")).first()
+    want = sp.where(F.col("start_ts") < F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00'")) \
+        .agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).first()
+    # windows still open at the end of the data are not emitted in append mode
+    assert got["n"] >= want["n"] > 0
+    assert got["n"] <= sp.count()
+
+
+def _write_trace(root, req, spans, info):
+    d = os.path.join(root, "artifacts", req, "artifacts")
+    os.makedirs(d)
+    with open(os.path.join(d, "traces.json"), "w") as f:
+        json.dump({"spans": spans, "request": "{}", "response": "{}"}, f)
+    d2 = os.path.join(root, "runs", req)
+    os.makedirs(d2)
+    with open(os.path.join(d2, "trace_info.yaml"), "w") as f:
+        f.write("".join(f"{k}: {v}\n" for k, v in info.items()))
+
+
+def test_trace_reader(spark):
+    root = tempfile.mkdtemp(prefix="cardlens-traces-")
+    r1, r2 = "a" * 32, "b" * 32
+    usage = json.dumps({"llm_output": {"usage": {"input_tokens": 120, "output_tokens": 45}}})
+    _write_trace(root, r1, [
+        {"name": "sql_db_query", "context": {"span_id": "0x1", "trace_id": "0xa"}, "parent_id": None,
+         "start_time": 1_000_000_000, "end_time": 1_006_000_000, "status_code": "OK", "status_message": "",
+         "attributes": {"mlflow.spanType": '"TOOL"', "mlflow.spanInputs": '"{\'query\': \'SELECT 1\'}"',
+                        "mlflow.spanOutputs": '"[(1,)]"'}, "events": []}],
+        {"execution_time_ms": 6, "experiment_id": "'7'", "request_id": r1, "status": "OK",
+         "timestamp_ms": 1000})
+    _write_trace(root, r2, [
+        {"name": "ChatModel", "context": {"span_id": "0x2", "trace_id": "0xb"}, "parent_id": None,
+         "start_time": 2_000_000_000, "end_time": 4_500_000_000, "status_code": "OK", "status_message": "",
+         "attributes": {"mlflow.spanType": '"CHAT_MODEL"', "mlflow.spanOutputs": usage}, "events": []}],
+        {"execution_time_ms": 2500, "experiment_id": "'7'", "request_id": r2, "status": "OK",
+         "timestamp_ms": 2000})
+    spans = read_spans(spark, os.path.join(root, "artifacts", "*", "artifacts", "traces.json"))
+    got = {r["request_id"]: r for r in spans.collect()}
+    assert got[r1]["duration_ms"] == 6.0 and got[r1]["span_type"] == "TOOL"
+    assert got[r2]["input_tokens"] == 120 and got[r2]["output_tokens"] == 45
+    info = read_trace_info(spark, os.path.join(root, "runs", "*", "trace_info.yaml"))
+    assert {r["request_id"]: r["execution_time_ms"] for r in info.collect()} == {r1: 6, r2: 2500}
+    both = read_traces(spark, os.path.join(root, "artifacts", "*", "artifacts", "traces.json"),
+                       os.path.join(root, "runs", "*", "trace_info.yaml"))
+    assert both.where(F.col("experiment_id") == "7").count() == 2
