@@ -33,10 +33,12 @@ def spend_by_card(cards: CardTables, p: Params) -> DataFrame:
 
 
 def spend_by_month(cards: CardTables, p: Params) -> DataFrame:
-    """Amount per account and month at the merchant (question b)."""
+    """Amount per account and month at the merchant (question b), ordered by
+    the group key (Q7; a range-partitioned sort of the aggregated rows)."""
     b = cards.billing(p)
     return (b.groupBy("acct", month_text(F.col("sl_date")).alias("month"))
-             .agg(_total(), F.count("*").alias("n_payments")))
+             .agg(_total(), F.count("*").alias("n_payments"))
+             .orderBy("acct", "month"))
 
 
 def spend_by_day(cards: CardTables, p: Params) -> DataFrame:
