@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from cardlens.params import Params
 from cardlens.session import shared_dir
 from cardlens.sources.standins import meta_tables
-from cardlens.sources.tables import TABLES, list_tables, read_table, table_path
+from cardlens.sources.tables import TABLES, list_tables, read_table, register_views
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -24,19 +24,25 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def profile_views(spark: SparkSession, names: list[str]) -> DataFrame:
+    """One ``count(*)`` job per catalogue table, combined."""
+    return _union([spark.table(t).agg(F.count(F.lit(1)).alias("n_rows"))
+                   .select(F.lit(t).alias("table_name"), "n_rows") for t in names])
+
+
 def table_profile(spark: SparkSession, sf_dir: str, p: Params,
                   include: tuple[str, ...] | None = None) -> DataFrame:
-    """P1 + S1/S2: (table_name, n_rows) for every (or every listed) table."""
-    names = [t for t in TABLES if include is None or t in include]
-    return _union([read_table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("n_rows"))
-                   .select(F.lit(t).alias("table_name"), "n_rows") for t in names])
+    """P1 + S1/S2: register the tables (only the listed ones when ``include``
+    is given), list the catalogue and count every listed table."""
+    allowed = set(include or TABLES)
+    register_views(spark, sf_dir, include)
+    names = [n for n in list_tables(spark) if n in allowed]
+    return profile_views(spark, names)
 
 
-def largest_table(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    """The table with most rows; ties go to the first name; a catalogue with
-    no non-empty table gives (NULL, 0) as the reference's strict ``>`` does."""
-    prof = table_profile(spark, sf_dir, p).where(F.col("n_rows") > 0) \
-        .withColumn("fallback", F.lit(0))
+def largest_of(prof: DataFrame) -> DataFrame:
+    """P2 over a (table_name, n_rows) profile."""
+    prof = prof.where(F.col("n_rows") > 0).withColumn("fallback", F.lit(0))
     none = prof.sparkSession.range(1).select(
         F.lit(None).cast("string").alias("table_name"), F.lit(0).cast("bigint").alias("n_rows"),
         F.lit(1).alias("fallback"))
@@ -45,6 +51,12 @@ def largest_table(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
                 .limit(1).select("table_name", "n_rows"))
 
 
+def largest_table(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    """The table with most rows; ties go to the first name; a catalogue with
+    no non-empty table gives (NULL, 0) as the reference's strict ``>`` does."""
+    return largest_of(table_profile(spark, sf_dir, p))
+
+
 SCHEMA_CARD_SCHEMA = T.StructType([
     T.StructField("table_name", T.StringType(), False),
     T.StructField("ordinal", T.IntegerType(), False),
@@ -187,7 +199,6 @@ def run_named_sql(spark: SparkSession, sf_dir: str, p: Params,
                   statements: dict[str, str] | None = None) -> DataFrame:
     """S6 + S7: run caller-supplied SQL over the registered views, in order,
     and tag each result row with the statement name (rows as JSON text)."""
-    from cardlens.sources.tables import register_views
     register_views(spark, sf_dir)
     stmts = statements or NAMED_SQL
     frames = [spark.sql(sql).select(F.lit(name).alias("query_name"),
