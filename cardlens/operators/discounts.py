@@ -7,7 +7,7 @@ runtime, AQE plans it as a broadcast hash semi join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardlens.functions.dates import month_text
@@ -15,6 +15,7 @@ from cardlens.functions.jsonfmt import to_json
 from cardlens.params import Params
 from cardlens.plans.broadcast import bounded_broadcast
 from cardlens.sources.cards import CardTables
+from cardlens.operators.lines import range_and_month
 
 
 def discounted_lines(cards: CardTables, p: Params, **kw) -> DataFrame:
@@ -82,55 +83,50 @@ def limit_for_month(cards: CardTables, p: Params) -> DataFrame:
         (F.col("monthly_limit") - used).cast("double").alias("remaining"))
 
 
-def _account_discount_state(cards, p) -> DataFrame:
-    """Per account: discount in range (discounted services) and the asked
-    service's use in the current month, joined with that service's limit.
-
-    Range discounts and month use come from two scans that differ in their
-    date filter; each is aggregated to one row per account before the join.
-    """
-    rng = discounted_lines(cards, p).groupBy("acct").agg(
-        F.sum("discount").alias("total_discount"))
-    month = (cards.billing(p, start=p.month_start,
-                           end_exclusive=p.month_end_exclusive, use_merchant=False)
-             .where(F.col("service") == p.service)
-             .groupBy("acct").agg(F.sum("discount").alias("used")))
-    limit = cards.services(p).where(F.col("sv_code") == p.service) \
-        .select(F.col("monthly_limit"))
-    # one row at most (grouped by the code and filtered to one code)
-    limit_value = limit.scalar()
-    used = F.coalesce(F.col("used"), F.lit(0).cast("decimal(18,2)"))
-    return (rng.join(month, "acct", "left")
-               .select("acct", "total_discount",
-                       limit_value.alias("discount_limit"),
-                       (limit_value - used).alias("remaining_limit")))
+def _limit(cards: CardTables, p: Params):
+    """The asked service's monthly limit as a scalar subquery (evaluated once;
+    at most one row: the table is keyed by code)."""
+    return cards.services(p).where(F.col("sv_code") == p.service).select("monthly_limit").scalar()
 
 
 def discount_by_month_limit(cards: CardTables, p: Params) -> DataFrame:
     """Q6: each month's discount with the account's remaining limit repeated.
 
     Monthly rows of the asked service at the merchant; the remaining limit is
-    limit − this month's use of the service (all merchants), one value per
-    account joined on the account.
+    limit − this month's use of the service (all merchants). One scan; the
+    account's use is summed over its (few) month rows with a window.
     """
-    d = (discounted_lines(cards, p).where(F.col("service") == p.service)
-         .groupBy("acct", month_text(F.col("sl_date")).alias("month"))
-         .agg(F.sum("discount").alias("monthly_discount")))
-    month = (cards.billing(p, start=p.month_start,
-                           end_exclusive=p.month_end_exclusive, use_merchant=False)
-             .where(F.col("service") == p.service)
-             .groupBy("acct").agg(F.sum("discount").alias("used")))
-    limit_value = cards.services(p).where(F.col("sv_code") == p.service) \
-        .select("monthly_limit").scalar()
-    used = F.coalesce(F.col("used"), F.lit(0).cast("decimal(18,2)"))
-    return (d.join(month, "acct", "left")
+    lines = range_and_month(cards, p)
+    sel = F.col("r") & F.col("known") & (F.col("service") == p.service)
+    g = (lines.groupBy("acct", month_text(F.col("sl_date")).alias("month"))
+              .agg(F.sum(F.when(sel, F.col("discount"))).alias("monthly_discount"),
+                   F.count(F.when(sel, F.lit(1))).alias("n"),
+                   F.sum(F.when(F.col("m"), F.col("discount"))).alias("month_used")))
+    # bounded: one row per month of the scanned range per account
+    used = F.coalesce(F.sum("month_used").over(Window.partitionBy("acct")), F.lit(0).cast("decimal(18,2)"))
+    return (g.withColumn("used", used).where(F.col("n") > 0)
+             .withColumn("limit_value", _limit(cards, p))
              .select("acct", "month",
                      F.col("monthly_discount").cast("double").alias("monthly_discount"),
-                     (limit_value - used).cast("double").alias("remaining_limit")))
+                     (F.col("limit_value") - F.col("used")).cast("double").alias("remaining_limit")))
 
 
 def discount_info(cards: CardTables, p: Params) -> DataFrame:
-    """A14 + Q4: one JSON object per account with total, limit and remaining."""
-    s = _account_discount_state(cards, p)
-    obj = F.struct(F.col("total_discount"), F.col("discount_limit"), F.col("remaining_limit"))
-    return s.select("acct", to_json(obj).alias("discount_info"))
+    """A14 + Q4: one JSON object per account with total, limit and remaining.
+
+    Accounts with a line of a listed service at the merchant in the range;
+    total = their discount, remaining = limit − this month's use of the asked
+    service. One scan of the range and the current month.
+    """
+    lines = range_and_month(cards, p)
+    sel = F.col("r") & F.col("known")
+    g = (lines.groupBy("acct")
+              .agg(F.sum(F.when(sel, F.col("discount"))).alias("total_discount"),
+                   F.count(F.when(sel, F.lit(1))).alias("n"),
+                   F.sum(F.when(F.col("m"), F.col("discount"))).alias("used"))
+              .where(F.col("n") > 0)
+              .withColumn("discount_limit", _limit(cards, p)))
+    used = F.coalesce(F.col("used"), F.lit(0).cast("decimal(18,2)"))
+    obj = F.struct(F.col("total_discount"), F.col("discount_limit"),
+                   (F.col("discount_limit") - used).alias("remaining_limit"))
+    return g.select("acct", to_json(obj).alias("discount_info"))

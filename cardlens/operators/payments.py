@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cardlens.functions.dates import month_text, ymd_text
 from cardlens.functions.jsonfmt import sorted_json_list
 from cardlens.params import Params
-from cardlens.operators.discounts import discounted_lines
+from cardlens.operators.lines import with_known_service
 from cardlens.sources.cards import CardTables
 
 
@@ -56,23 +56,20 @@ def payments_json(cards: CardTables, p: Params) -> DataFrame:
                                      ["date", "amount", "discount"]).alias("payments"))
 
 
-def _monthly_list(df: DataFrame, value: str, key: str) -> DataFrame:
-    item = F.struct(F.col("month"), F.col(value).alias(key))
-    return (df.groupBy("acct").agg(F.collect_list(item).alias("items"))
-              .select("acct", sorted_json_list(F.col("items"), ["month"], ["month", key]).alias(key + "_json")))
-
-
 def monthly_json(cards: CardTables, p: Params) -> DataFrame:
-    """Q5: monthly spending (COALESCE(billed, amount)) and monthly discounts as
-    JSON lists per account (the monthly few-shot of the reference)."""
-    b = cards.billing(p)
-    spend = (b.groupBy("acct", month_text(F.col("sl_date")).alias("month"))
-              .agg(F.sum(F.coalesce("billed", "amount")).alias("total_spent")))
-    disc = (discounted_lines(cards, p)
-            .groupBy("acct", month_text(F.col("sl_date")).alias("month"))
-            .agg(F.sum("discount").alias("total_discount")))
-    s = _monthly_list(spend, "total_spent", "total_spent")
-    d = _monthly_list(disc, "total_discount", "total_discount")
-    return (s.join(d, "acct", "left")
-             .select("acct", F.col("total_spent_json").alias("monthly_spending"),
-                     F.coalesce(F.col("total_discount_json"), F.lit("[]")).alias("monthly_discounts")))
+    """Q5: monthly spending (COALESCE(billed, amount)) and monthly discounts
+    of listed services as JSON lists per account (the monthly few-shot of the
+    reference). One scan; one aggregate to (account, month) with conditional
+    sums, then one row per account (lists bounded by the months of the range)."""
+    b = with_known_service(cards, p, cards.billing(p))
+    g = (b.groupBy("acct", month_text(F.col("sl_date")).alias("month"))
+          .agg(F.sum(F.coalesce("billed", "amount")).alias("total_spent"),
+               F.sum(F.when(F.col("known"), F.col("discount"))).alias("total_discount"),
+               F.count(F.when(F.col("known"), F.lit(1))).alias("n_known")))
+    spend_item = F.struct(F.col("month"), F.col("total_spent"))
+    disc_item = F.when(F.col("n_known") > 0, F.struct(F.col("month"), F.col("total_discount")))
+    per = g.groupBy("acct").agg(F.collect_list(spend_item).alias("s"), F.collect_list(disc_item).alias("d"))
+    return per.select(
+        "acct",
+        sorted_json_list(F.col("s"), ["month"], ["month", "total_spent"]).alias("monthly_spending"),
+        sorted_json_list(F.col("d"), ["month"], ["month", "total_discount"]).alias("monthly_discounts"))

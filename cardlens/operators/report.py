@@ -17,30 +17,15 @@ from pyspark.sql import functions as F
 
 from cardlens.functions.dates import ymd_text
 from cardlens.functions.jsonfmt import sorted_json_list
-from cardlens.functions.text import contains_ci
+from cardlens.operators.lines import range_and_month
 from cardlens.operators.promos import active_promotions, matching_messages
 from cardlens.params import Params
 from cardlens.sources.cards import CardTables
 
 
 def account_report(cards: CardTables, p: Params) -> DataFrame:
-    lo = min(p.start, p.month_start)
-    hi = max(p.end_exclusive, p.month_end_exclusive)
-    # one scan over the union of the asked range and the current month; the
-    # disjunction below is split by Catalyst into a pushed date filter on the
-    # lines and a name-or-type filter on the merchant side of the join
-    b = cards.billing(p, start=lo, end_exclusive=hi, use_merchant=False)
-    d = F.col("sl_date")
-    in_range = ((d >= F.to_date(F.lit(p.start))) & (d < F.to_date(F.lit(p.end_exclusive)))) \
-        if cards.dense_line_ids else _text_range(p)
-    if p.merchant:
-        in_range = in_range & contains_ci(F.col("merchant"), p.merchant)
-    in_month = (d >= F.to_date(F.lit(p.month_start))) & (d < F.to_date(F.lit(p.month_end_exclusive))) \
-        & (F.col("service") == p.service)
-    b = b.where(in_range | in_month).select(
-        "acct", "sl_date", "amount", "discount", "service",
-        in_range.alias("r"), in_month.alias("m"))
-    known = F.col("service").isin(list(p.known_services))
+    b = range_and_month(cards, p).select("acct", "sl_date", "amount", "discount", "r", "m", "known")
+    known = F.col("known")
     by_day = (b.groupBy("acct", "sl_date")
                .agg(F.sum(F.when(F.col("r"), F.col("amount"))).alias("day_amount"),
                     F.count(F.when(F.col("r"), F.lit(1))).alias("n"),
@@ -76,10 +61,3 @@ def account_report(cards: CardTables, p: Params) -> DataFrame:
         (limit_value - used).cast("double").alias("remaining_discount_limit"),
         n_events.alias("n_related_events"),
         n_messages.alias("n_related_messages"))
-
-
-def _text_range(p: Params):
-    """Range test for sources whose dates are text: an invalid date inside the
-    text range counts, as the SQL on those tables does."""
-    return F.col("sl_date").isNull() | (
-        (F.col("sl_date") >= F.to_date(F.lit(p.start))) & (F.col("sl_date") < F.to_date(F.lit(p.end_exclusive))))
