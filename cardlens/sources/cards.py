@@ -134,3 +134,63 @@ class RecordCards(CardTables):
     def messages(self):
         m = self.messages_df
         return m.select(F.xxhash64("UMS_MSG_CN").alias("msg_id"), F.col("UMS_MSG_CN").alias("msg_text"))
+
+
+@dataclass
+class MaterializedCards(CardTables):
+    """Billing lines of a covering day range joined once and written to the
+    shared checkpoint folder, partitioned by month.
+
+    Every later report reads the written table: the month filter prunes
+    partitions, the day filter is pushed into the files, and the lineage back
+    to the source joins is cut (a lost executor recomputes from the written
+    files, not from the joins). Services, promotions and messages are
+    delegated to the source.
+    """
+    source: CardTables
+    path: str
+
+    @classmethod
+    def build(cls, source: CardTables, p: Params, path: str, start: str, end_exclusive: str,
+              files_per_month: int | None = None) -> "MaterializedCards":
+        b = source.billing(p.with_(account=None), start=start, end_exclusive=end_exclusive,
+                           use_merchant=False)
+        b = b.withColumn("sl_month", F.date_format("sl_date", "yyyy-MM"))
+        if files_per_month:
+            b = b.repartition(files_per_month, "sl_month")
+        b.write.mode("overwrite").partitionBy("sl_month").parquet(path)
+        out = cls(source, path)
+        out.dense_line_ids = source.dense_line_ids
+        return out
+
+    def _spark(self):
+        from pyspark.sql import SparkSession
+        return SparkSession.getActiveSession()
+
+    def billing(self, p, *, start=None, end_exclusive=None, use_range=True, use_merchant=True):
+        b = self._spark().read.parquet(self.path)
+        start = start or p.start
+        end_exclusive = end_exclusive or p.end_exclusive
+        if use_range:
+            first = start[:7]
+            last = (F.date_format(F.date_sub(F.to_date(F.lit(end_exclusive)), 1), "yyyy-MM"))
+            b = b.where((F.col("sl_month") >= first) & (F.col("sl_month") <= last)
+                        & (F.col("sl_date") >= F.to_date(F.lit(start)))
+                        & (F.col("sl_date") < F.to_date(F.lit(end_exclusive))))
+        if use_merchant and p.merchant:
+            b = b.where(contains_ci(F.col("merchant"), p.merchant))
+        if p.account is not None:
+            b = b.where(F.col("acct") == F.lit(p.account))
+        return b.drop("sl_month")
+
+    def services(self, p):
+        return self.source.services(p)
+
+    def services_row_bound(self, p):
+        return self.source.services_row_bound(p)
+
+    def promotions(self):
+        return self.source.promotions()
+
+    def messages(self):
+        return self.source.messages()
