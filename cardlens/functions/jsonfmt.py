@@ -16,13 +16,12 @@ def to_json(c: Column) -> Column:
     return F.to_json(c, KEEP_NULLS)
 
 
-def sorted_json_list(items: Column, sort_fields: list[str], keep_fields: list[str]) -> Column:
-    """Render an array of structs as JSON text sorted by ``sort_fields``.
+def sorted_json_list(items: Column, keep_fields: list[str]) -> Column:
+    """Render an array of structs as JSON text, sorted.
 
-    ``items`` must hold structs whose leading fields are ``sort_fields`` (struct
-    comparison is field by field); the rendered objects carry ``keep_fields``.
+    Structs compare field by field, so the leading fields of each struct are
+    the sort key; the rendered objects carry ``keep_fields``.
     """
-    del sort_fields  # order comes from the struct layout
     ordered = F.array_sort(items)
     shown = F.transform(ordered, lambda x: F.struct(*[x[f].alias(f) for f in keep_fields]))
     return to_json(shown)

@@ -52,8 +52,7 @@ def payments_json(cards: CardTables, p: Params) -> DataFrame:
                F.sum("amount").cast("double").alias("chunk_amount"),
                F.collect_list(item).alias("items")))
     return g.select("acct", "chunk", "n_payments", "chunk_amount",
-                    sorted_json_list(F.col("items"), ["date", "line_id"],
-                                     ["date", "amount", "discount"]).alias("payments"))
+                    sorted_json_list(F.col("items"), ["date", "amount", "discount"]).alias("payments"))
 
 
 def monthly_json(cards: CardTables, p: Params) -> DataFrame:
@@ -71,5 +70,5 @@ def monthly_json(cards: CardTables, p: Params) -> DataFrame:
     per = g.groupBy("acct").agg(F.collect_list(spend_item).alias("s"), F.collect_list(disc_item).alias("d"))
     return per.select(
         "acct",
-        sorted_json_list(F.col("s"), ["month"], ["month", "total_spent"]).alias("monthly_spending"),
-        sorted_json_list(F.col("d"), ["month"], ["month", "total_discount"]).alias("monthly_discounts"))
+        sorted_json_list(F.col("s"), ["month", "total_spent"]).alias("monthly_spending"),
+        sorted_json_list(F.col("d"), ["month", "total_discount"]).alias("monthly_discounts"))

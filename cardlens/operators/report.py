@@ -54,7 +54,7 @@ def account_report(cards: CardTables, p: Params) -> DataFrame:
         "acct",
         F.col("total_spent").cast("double").alias("total_spent"),
         "n_payments",
-        sorted_json_list(F.col("days"), ["date"], ["date", "amount"]).alias("daily_spending"),
+        sorted_json_list(F.col("days"), ["date", "amount"]).alias("daily_spending"),
         F.col("total_discount").cast("double").alias("total_discount_received"),
         limit_value.cast("double").alias("discount_limit"),
         used.cast("double").alias("used_this_month"),

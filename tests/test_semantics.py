@@ -1,7 +1,6 @@
 """One test per decision of SURVEY §2.10 and the attempt/log jobs on the
 recorded-run fixture."""
 
-import json
 
 import pytest
 from pyspark.sql import functions as F
