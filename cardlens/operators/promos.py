@@ -26,7 +26,7 @@ def _listed(df: DataFrame, id_col: str, text_col: str, width: int, out: str, n_n
 
 def active_promotions(cards: CardTables, p: Params, word: str | None = None) -> DataFrame:
     """title contains the word and the promotion runs on ``as_of``."""
-    pr = cards.promotions()
+    pr = cards.promotions(word or p.merchant)
     day = F.to_date(F.lit(p.as_of))
     return pr.where(contains_ci(F.col("title"), word or p.merchant)
                     & (F.col("start_date") <= day) & (F.col("end_date") >= day))
@@ -40,7 +40,7 @@ def promos_active(cards: CardTables, p: Params) -> DataFrame:
 
 def promos_overlap(cards: CardTables, p: Params) -> DataFrame:
     """F8: promotions running at any time in [promo_start, promo_end]."""
-    pr = cards.promotions()
+    pr = cards.promotions(p.promo_word)
     cond = (contains_ci(F.col("title"), p.promo_word)
             & (F.col("start_date") <= F.to_date(F.lit(p.promo_end)))
             & (F.col("end_date") >= F.to_date(F.lit(p.promo_start))))

@@ -43,7 +43,9 @@ class CardTables:
         """A proven upper bound on the service table's rows, if there is one."""
         return None
 
-    def promotions(self) -> DataFrame:
+    def promotions(self, title_word: str | None = None) -> DataFrame:
+        """All promotions; ``title_word`` lets a source prune early (callers
+        still filter titles themselves)."""
         raise NotImplementedError
 
     def messages(self) -> DataFrame:
@@ -67,8 +69,8 @@ class TpchCards(CardTables):
         # grouped by p_type and filtered to the listed codes: one row per code
         return len(p.known_services)
 
-    def promotions(self):
-        return standins.promotions(self.spark, self.sf_dir)
+    def promotions(self, title_word=None):
+        return standins.promotions(self.spark, self.sf_dir, title_word)
 
     def messages(self):
         return standins.messages(self.spark, self.sf_dir)
@@ -122,7 +124,7 @@ class RecordCards(CardTables):
         s = self.services_df
         return s.select(F.col("SV_C").alias("sv_code"), F.col("MLIM_AM").cast(MONEY).alias("monthly_limit"))
 
-    def promotions(self):
+    def promotions(self, title_word=None):
         e = self.promotions_df
         return e.select(
             F.xxhash64("EVN_BULT_TIT_NM", "EVN_SDT", "EVN_EDT").alias("promo_id"),
@@ -189,8 +191,8 @@ class MaterializedCards(CardTables):
     def services_row_bound(self, p):
         return self.source.services_row_bound(p)
 
-    def promotions(self):
-        return self.source.promotions()
+    def promotions(self, title_word=None):
+        return self.source.promotions(title_word)
 
     def messages(self):
         return self.source.messages()

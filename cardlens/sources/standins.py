@@ -94,17 +94,22 @@ def services(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
               .agg((F.max("p_retailprice") * 100).cast(MONEY).alias("monthly_limit")))
 
 
-def promotions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def promotions(spark: SparkSession, sf_dir: str, title_word: str | None = None) -> DataFrame:
     """Promotions (WLP_T_EVN_INF): one per part, active over its ship days.
 
     Lines are reduced to one row per part (partial aggregation map-side) before
-    the join with part, so a hot part costs one row per map task.
+    the join with part, so a hot part costs one row per map task. When the
+    caller filters titles by a word, only lines of matching parts are
+    aggregated (a semi join ahead of the aggregate).
     """
-    span = (read_table(spark, sf_dir, "lineitem")
-            .groupBy("l_partkey")
+    li = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate")
+    pt = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    if title_word:
+        pt = pt.where(contains_ci(F.col("p_name"), title_word))
+        li = li.join(pt.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    span = (li.groupBy("l_partkey")
             .agg(F.min("l_shipdate").cast("date").alias("start_date"),
                  F.max("l_shipdate").cast("date").alias("end_date")))
-    pt = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     return (span.join(pt, span.l_partkey == pt.p_partkey, "inner")
                 .select(F.col("p_partkey").alias("promo_id"),
                         F.col("p_name").alias("title"),
