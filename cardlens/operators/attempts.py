@@ -17,7 +17,7 @@ def response_clean(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
     r = replies(spark, sf_dir)
     clean = trim_text(F.col("text"))
     return r.select("conv_id", "turn", clean.alias("clean_text"),
-                    F.length(clean).alias("n_chars"), (clean != F.col("text")).alias("changed"))
+                    F.length(clean).cast("bigint").alias("n_chars"), (clean != F.col("text")).alias("changed"))
 
 
 def sql_extract(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
@@ -60,7 +60,7 @@ def outcome_of(status: DataFrame, budget: int) -> DataFrame:
     j = per_q.join(before, "q_id", "inner")
     budget = F.lit(budget).cast("bigint")
     rank = F.when(F.col("first_ok_no").isNotNull(), F.col("n_before") + 1)
-    first_ok = F.when(rank <= budget, rank).cast("int")
+    first_ok = F.when(rank <= budget, rank).cast("bigint")
     used = F.coalesce(first_ok.cast("bigint"), F.least(F.col("n_attempts"), budget))
     return j.select("q_id", "n_attempts", first_ok.alias("first_ok_attempt"),
                     used.alias("attempts_used"),
@@ -100,5 +100,5 @@ def display_truncate(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
     """Display form of each message (first n characters + '...'); the
     full length is kept beside it. Never used before an aggregate."""
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select("doc_id", F.length("text").alias("n_chars"),
+    return d.select("doc_id", F.length("text").cast("bigint").alias("n_chars"),
                     truncate_display(F.col("text"), p.display_chars).alias("display"))

@@ -115,9 +115,9 @@ LEFT JOIN month_use u ON d.acct = u.acct"""
 
 def discount_info(p: Params) -> str:
     return with_(billing_cte(p), services_cte(p), _disc_lines(p), month_use_cte(p)) + f"""SELECT r.acct,
-       to_json({{'total_discount': r.total_discount,
+       CAST(to_json({{'total_discount': r.total_discount,
                  'discount_limit': {limit_scalar(p)},
-                 'remaining_limit': {limit_scalar(p)} - COALESCE(u.used, 0)}}) AS discount_info
+                 'remaining_limit': {limit_scalar(p)} - COALESCE(u.used, 0)}}) AS VARCHAR) AS discount_info
 FROM (SELECT acct, SUM(discount) AS total_discount FROM disc GROUP BY acct) r
 LEFT JOIN month_use u ON r.acct = u.acct"""
 
@@ -126,25 +126,25 @@ def payments_json(p: Params) -> str:
     k = int(p.payment_chunk_lines)
     return with_(billing_cte(p)) + f"""SELECT acct, line_id // {k} AS chunk, COUNT(*) AS n_payments,
        CAST(SUM(amount) AS DOUBLE) AS chunk_amount,
-       to_json(list({{'date': {YMD}, 'amount': amount, 'discount': discount}}
-                    ORDER BY {YMD}, line_id)) AS payments
+       CAST(to_json(list({{'date': {YMD}, 'amount': amount, 'discount': discount}}
+                    ORDER BY {YMD}, line_id)) AS VARCHAR) AS payments
 FROM billing GROUP BY acct, chunk"""
 
 
 def monthly_json(p: Params) -> str:
     return with_(billing_cte(p), services_cte(p), _disc_lines(p)) + f"""SELECT s.acct,
        s.j AS monthly_spending, COALESCE(d.j, '[]') AS monthly_discounts
-FROM (SELECT acct, to_json(list({{'month': month, 'total_spent': t}} ORDER BY month)) AS j
+FROM (SELECT acct, CAST(to_json(list({{'month': month, 'total_spent': t}} ORDER BY month)) AS VARCHAR) AS j
       FROM (SELECT acct, {MONTH} AS month, SUM(COALESCE(billed, amount)) AS t
             FROM billing GROUP BY acct, month) x GROUP BY acct) s
-LEFT JOIN (SELECT acct, to_json(list({{'month': month, 'total_discount': t}} ORDER BY month)) AS j
+LEFT JOIN (SELECT acct, CAST(to_json(list({{'month': month, 'total_discount': t}} ORDER BY month)) AS VARCHAR) AS j
       FROM (SELECT acct, {MONTH} AS month, SUM(discount) AS t
             FROM disc GROUP BY acct, month) x GROUP BY acct) d ON s.acct = d.acct"""
 
 
 def _listed(src: str, id_col: str, text_col: str, width: int, out: str, n_name: str) -> str:
     return f"""SELECT {id_col} // {int(width)} AS chunk, COUNT(*) AS {n_name},
-       to_json(list({text_col} ORDER BY {id_col})) AS {out}
+       CAST(to_json(list({text_col} ORDER BY {id_col})) AS VARCHAR) AS {out}
 FROM {src} GROUP BY chunk"""
 
 
@@ -209,9 +209,9 @@ def account_report(p: Params) -> str:
          SUM(CASE WHEN service IN ({codes}) THEN discount END) AS day_discount
   FROM billing GROUP BY acct, sl_date),
 per_acct AS (
-  SELECT acct, SUM(day_amount) AS total_spent, SUM(n) AS n_payments,
+  SELECT acct, SUM(day_amount) AS total_spent, CAST(SUM(n) AS BIGINT) AS n_payments,
          SUM(day_discount) AS total_discount,
-         to_json(list({{'date': strftime(sl_date, '%Y%m%d'), 'amount': day_amount}} ORDER BY sl_date)) AS daily_spending
+         CAST(to_json(list({{'date': strftime(sl_date, '%Y%m%d'), 'amount': day_amount}} ORDER BY sl_date)) AS VARCHAR) AS daily_spending
   FROM by_day GROUP BY acct)
 SELECT a.acct, CAST(a.total_spent AS DOUBLE) AS total_spent, a.n_payments, a.daily_spending,
        CAST(a.total_discount AS DOUBLE) AS total_discount_received,

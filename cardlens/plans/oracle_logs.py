@@ -234,8 +234,8 @@ FROM r GROUP BY name"""
 
 
 def token_usage(p: Params) -> str:
-    return with_(SPANS_CTE) + """SELECT name AS model, COUNT(*) AS n_calls, SUM(tokens) AS total_tokens,
-  MAX(tokens) AS max_tokens, SUM(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) AS n_errors
+    return with_(SPANS_CTE) + """SELECT name AS model, COUNT(*) AS n_calls, CAST(SUM(tokens) AS BIGINT) AS total_tokens,
+  MAX(tokens) AS max_tokens, CAST(SUM(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) AS BIGINT) AS n_errors
 FROM spans GROUP BY name"""
 
 
@@ -247,5 +247,5 @@ def episodes(p: Params) -> str:
 SELECT trace_key, episode_no, COUNT(*) AS n_spans,
   strftime(MIN(start_ts), {TS}) AS first_time, strftime(MAX(start_ts), {TS}) AS last_time,
   CAST(SUM(CAST(duration_ms AS DECIMAL(18,2))) AS DOUBLE) AS total_ms,
-  SUM(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) AS n_errors
+  CAST(SUM(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) AS BIGINT) AS n_errors
 FROM e GROUP BY trace_key, episode_no"""

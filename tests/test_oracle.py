@@ -27,3 +27,15 @@ def test_entry_runs(spark):
 
 def test_every_query_has_an_oracle_but_samples():
     assert set(E.queries()) - set(ORACLE) == {"schema_samples"}
+
+
+DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double",
+              "BOOLEAN": "boolean"}
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_column_types_match_oracle(spark, duck, name):
+    st = {f.name: f.dataType.simpleString() for f in E.queries()[name](spark, SMALL).schema.fields}
+    rel = duck.sql(ORACLE[name])
+    dt = {c: DUCK_TYPES.get(str(t), str(t)) for c, t in zip(rel.columns, rel.types)}
+    assert st == dt
