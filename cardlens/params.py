@@ -24,7 +24,7 @@ class Params:
     account: int | None = None
     # "today" of the reference (SQLite 'now'), always explicit here
     as_of: str = "1997-09-15"
-    # the service whose monthly limit is asked about (e.g. 'SP03608')
+    # the service whose monthly limit is asked about
     service: str = "PROMO"
     # services that grant a discount (the reference's service table)
     known_services: tuple[str, ...] = ("PROMO", "STANDARD", "ECONOMY")
@@ -36,7 +36,7 @@ class Params:
     promo_word: str = "plate"
     # messages containing a word
     message_word: str = "the"
-    # campaign question (Market scripts)
+    # campaign question: applications, campaign messages and sales
     campaign_word: str = "the"
     campaign_benefit_word: str = "an"
     campaign_start: str = "1996-01-01"

@@ -30,7 +30,12 @@ TRACE = T.StructType([
     T.StructField("response", T.StringType()),
 ])
 
+# Field names of trace_info.yaml and span attribute keys of the
+# trace file format.
 INFO_KEYS = ("execution_time_ms", "experiment_id", "request_id", "status", "timestamp_ms")
+ATTR_TYPE = "mlflow.spanType"
+ATTR_INPUTS = "mlflow.spanInputs"
+ATTR_OUTPUTS = "mlflow.spanOutputs"
 
 
 def read_spans(spark: SparkSession, artifacts_glob: str) -> DataFrame:
@@ -40,7 +45,7 @@ def read_spans(spark: SparkSession, artifacts_glob: str) -> DataFrame:
     req = F.regexp_extract("path", r"/([0-9a-f]{32})/artifacts/", 1)
     sp = raw.select(req.alias("request_id"), F.explode("spans").alias("s"))
     attr = F.col("s.attributes")
-    out_json = attr.getItem("mlflow.spanOutputs")
+    out_json = attr.getItem(ATTR_OUTPUTS)
     return sp.select(
         "request_id",
         F.col("s.name").alias("name"),
@@ -51,10 +56,10 @@ def read_spans(spark: SparkSession, artifacts_glob: str) -> DataFrame:
         F.col("s.end_time").alias("end_ns"),
         ((F.col("s.end_time") - F.col("s.start_time")) / F.lit(1_000_000.0)).alias("duration_ms"),
         F.col("s.status_code").alias("status_code"),
-        F.get_json_object(attr.getItem("mlflow.spanType"), "$").alias("span_type"),
+        F.get_json_object(attr.getItem(ATTR_TYPE), "$").alias("span_type"),
         F.get_json_object(out_json, "$.llm_output.usage.input_tokens").cast("bigint").alias("input_tokens"),
         F.get_json_object(out_json, "$.llm_output.usage.output_tokens").cast("bigint").alias("output_tokens"),
-        attr.getItem("mlflow.spanInputs").alias("inputs"),
+        attr.getItem(ATTR_INPUTS).alias("inputs"),
         out_json.alias("outputs"),
     )
 
