@@ -103,7 +103,7 @@ class RecordCards(CardTables):
         if use_merchant and p.merchant:
             b = b.where(contains_ci(F.col("BLL_MC_NM"), p.merchant))
         if p.account is not None:
-            b = b.where(F.col("ACCTNO") == F.lit(str(p.account)))
+            b = b.where(F.col("ACCTNO") == F.lit(str(p.account)).cast(b.schema["ACCTNO"].dataType))
         cols = b.columns
         line_id = F.xxhash64(*[F.col(c) for c in cols])
         billed = F.col("BIL_PRN").cast(MONEY) if "BIL_PRN" in cols else F.lit(None).cast(MONEY)
@@ -182,7 +182,7 @@ class MaterializedCards(CardTables):
         if use_merchant and p.merchant:
             b = b.where(contains_ci(F.col("merchant"), p.merchant))
         if p.account is not None:
-            b = b.where(F.col("acct") == F.lit(p.account))
+            b = b.where(F.col("acct") == F.lit(str(p.account)).cast(b.schema["acct"].dataType))
         return b.drop("sl_month")
 
     def services(self, p):
