@@ -70,3 +70,28 @@ def test_episodes_on_hot_key_match_running_count(spark):
             n += r[2] == "signup"
             want[r[0]] = n
     assert got == want
+
+
+def test_hot_join_key_is_split_by_aqe(spark):
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        hot = F.when(F.col("id") % 10 < 8, F.lit(7)).otherwise(F.col("id") % 1000)
+        lines = spark.range(200000).select(hot.alias("k"), F.col("id").alias("v"))
+        parts = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+        j = lines.join(parts, "k").groupBy("k").agg(F.sum("v").alias("s"))
+        got = dict((r["k"], r["s"]) for r in j.collect())
+        assert got[7] == sum(i for i in range(200000) if i % 10 < 8 or i % 1000 == 7)
+        assert "SortMergeJoin(skew=true)" in j._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
