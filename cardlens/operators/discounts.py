@@ -83,10 +83,14 @@ def limit_for_month(cards: CardTables, p: Params) -> DataFrame:
         (F.col("monthly_limit") - used).cast("double").alias("remaining"))
 
 
-def _limit(cards: CardTables, p: Params):
-    """The asked service's monthly limit as a scalar subquery (evaluated once;
-    at most one row: the table is keyed by code)."""
-    return cards.services(p).where(F.col("sv_code") == p.service).select("monthly_limit").scalar()
+def service_limit(cards: CardTables, p: Params):
+    """The asked service's monthly limit as a scalar subquery, evaluated once.
+
+    Aggregated, so it is one row even when a service table repeats a code
+    (SQLite would take an arbitrary row; the largest is taken here) and NULL
+    when the code is missing."""
+    return (cards.services(p).where(F.col("sv_code") == p.service)
+            .agg(F.max("monthly_limit")).scalar())
 
 
 def discount_by_month_limit(cards: CardTables, p: Params) -> DataFrame:
@@ -105,7 +109,7 @@ def discount_by_month_limit(cards: CardTables, p: Params) -> DataFrame:
     # bounded: one row per month of the scanned range per account
     used = F.coalesce(F.sum("month_used").over(Window.partitionBy("acct")), F.lit(0).cast("decimal(18,2)"))
     return (g.withColumn("used", used).where(F.col("n") > 0)
-             .withColumn("limit_value", _limit(cards, p))
+             .withColumn("limit_value", service_limit(cards, p))
              .select("acct", "month",
                      F.col("monthly_discount").cast("double").alias("monthly_discount"),
                      (F.col("limit_value") - F.col("used")).cast("double").alias("remaining_limit")))
@@ -125,7 +129,7 @@ def discount_info(cards: CardTables, p: Params) -> DataFrame:
                    F.count(F.when(sel, F.lit(1))).alias("n"),
                    F.sum(F.when(F.col("m"), F.col("discount"))).alias("used"))
               .where(F.col("n") > 0)
-              .withColumn("discount_limit", _limit(cards, p)))
+              .withColumn("discount_limit", service_limit(cards, p)))
     used = F.coalesce(F.col("used"), F.lit(0).cast("decimal(18,2)"))
     obj = F.struct(F.col("total_discount"), F.col("discount_limit"),
                    (F.col("discount_limit") - used).alias("remaining_limit"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cardlens.functions.dates import ymd_text
 from cardlens.functions.jsonfmt import sorted_json_list
+from cardlens.operators.discounts import service_limit
 from cardlens.operators.lines import range_and_month
 from cardlens.operators.promos import active_promotions, matching_messages
 from cardlens.params import Params
@@ -42,8 +43,7 @@ def account_report(cards: CardTables, p: Params) -> DataFrame:
                      F.collect_list(item).alias("days"))
                 .where(F.col("n_payments") > 0))
 
-    limit_value = cards.services(p).where(F.col("sv_code") == p.service) \
-        .select("monthly_limit").scalar()
+    limit_value = service_limit(cards, p)
     n_events = active_promotions(cards, p).agg(F.count("*")).scalar()
     n_messages = matching_messages(cards, p, word=p.merchant).agg(F.count("*")).scalar()
     used = F.coalesce(F.col("used"), F.lit(0).cast("decimal(18,2)"))

@@ -57,7 +57,7 @@ def month_use_cte(p: Params, name: str = "month_use") -> str:
 
 
 def limit_scalar(p: Params) -> str:
-    return f"(SELECT monthly_limit FROM services WHERE sv_code = '{p.service}')"
+    return f"(SELECT MAX(monthly_limit) FROM services WHERE sv_code = '{p.service}')"
 
 
 PROMOTIONS_CTE = """promotions AS (

@@ -2,6 +2,8 @@
 recorded-run fixture."""
 
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,3 +127,16 @@ def test_campaign_offer_is_customers_times_benefit(spark):
     assert (r["n_customers"], r["total_offer"]) == (2, 20000)
     lst = campaign_offer_list(ct, _p()).collect()
     assert {x["total_offer"] for x in lst} == {20000} and len(lst) == 2
+
+
+def test_repeated_service_code_gives_one_limit(spark):
+    from cardlens.operators import discounts
+    from cardlens.sources.cards import RecordCards
+    c = FX.cards(spark)
+    dup = RecordCards(c.billing_df, spark.createDataFrame([("SV1", 20000), ("SV1", 15000)], "SV_C string, MLIM_AM long"),
+                      c.promotions_df, c.messages_df)
+    got = {r["acct"]: json.loads(r["discount_info"]) for r in discounts.discount_info(dup, FX.params()).collect()}
+    assert got["1001"]["discount_limit"] == 20000.0
+    missing = FX.params(service="SV9")
+    got = {r["acct"]: json.loads(r["discount_info"]) for r in discounts.discount_info(c, missing).collect()}
+    assert got["1001"]["discount_limit"] is None and got["1001"]["remaining_limit"] is None
