@@ -121,8 +121,10 @@ class RecordCards(CardTables):
         )
 
     def services(self, p):
+        """One row per code (a repeated code keeps its largest limit)."""
         s = self.services_df
-        return s.select(F.col("SV_C").alias("sv_code"), F.col("MLIM_AM").cast(MONEY).alias("monthly_limit"))
+        return s.groupBy(F.col("SV_C").alias("sv_code")).agg(
+            F.max(F.col("MLIM_AM").cast(MONEY)).alias("monthly_limit"))
 
     def promotions(self, title_word=None):
         e = self.promotions_df
