@@ -29,7 +29,8 @@ MONEY = "decimal(18,2)"
 
 
 class CardTables:
-    # line ids are dense (ranges of ids hold bounded numbers of lines)
+    # ids (lines, promotions, messages) are dense: a range of ids holds a
+    # bounded number of rows; hashed ids are not
     dense_line_ids: bool = False
 
     def billing(self, p: Params, *, start: str | None = None, end_exclusive: str | None = None,

@@ -137,3 +137,14 @@ def test_top_customers_tie_key(spark):
         ("3", "20240701", 50, "Cafe", None, None, None, None)], FX.BILLING_SCHEMA)
     got = spend.top_customers(RecordCards(b), FX.params(top_k=2))
     assert [r["acct"] for r in got.collect()] == ["1", "2"]
+
+
+def test_hashed_ids_share_lists(spark):
+    from cardlens.sources.cards import RecordCards
+    msgs = spark.createDataFrame([(f"cafe note {i}",) for i in range(10)], "UMS_MSG_CN string")
+    c = FX.cards(spark)
+    cards = RecordCards(c.billing_df, c.services_df, c.promotions_df, msgs)
+    out = promos.messages_match(cards, FX.params(message_chunk_docs=4)).collect()
+    assert sum(r["n_messages"] for r in out) == 10
+    assert len(out) <= 3
+    assert sorted(t for r in out for t in json.loads(r["messages_json"])) == sorted(f"cafe note {i}" for i in range(10))
