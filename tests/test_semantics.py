@@ -140,3 +140,16 @@ def test_repeated_service_code_gives_one_limit(spark):
     missing = FX.params(service="SV9")
     got = {r["acct"]: json.loads(r["discount_info"]) for r in discounts.discount_info(c, missing).collect()}
     assert got["1001"]["discount_limit"] is None and got["1001"]["remaining_limit"] is None
+
+
+def test_budget_and_repair_prompt_slots(spark):
+    from cardlens.operators import prompts
+    from conftest import SMALL
+    tight = prompts.prompt_budget(spark, SMALL, Params(context_window=10))
+    assert tight.where(F.col("fits")).count() == 0
+    roomy = prompts.prompt_budget(spark, SMALL, Params(context_window=10 ** 6))
+    assert roomy.where(~F.col("fits")).count() == 0
+    rp = prompts.repair_prompts(spark, SMALL, Params()).first()["prompt"]
+    stmt = rp.split("This statement failed: ", 1)[1].split("\n", 1)[0]
+    assert not stmt.startswith("Error:")  # the statement, not the error text
+    assert "\nError: Error: (sqlite3.OperationalError)" in rp
