@@ -86,3 +86,20 @@ def sql_attempts_from_spans(spans: DataFrame) -> DataFrame:
     return q.select("request_id", "start_ns",
                     stmt.alias("statement_input"),
                     F.get_json_object("outputs", "$").alias("result_text"))
+
+
+def read_trace_names(spark: SparkSession, tags_glob: str) -> DataFrame:
+    """(request_id, trace_name) from the per-trace name tag files
+    (``<root>/<request_id>/tags/<name tag>``), one whole-text file each."""
+    raw = spark.read.text(tags_glob, wholetext=True).withColumn("path", F.input_file_name())
+    return raw.select(F.regexp_extract("path", r"/([0-9a-f]{32})/tags/", 1).alias("request_id"),
+                      F.trim(F.col("value")).alias("trace_name"))
+
+
+def trace_index(spark: SparkSession, runs_root: str, name_tag: str = "mlflow.traceName") -> DataFrame:
+    """Every trace with its name, status and timing, from the run folders
+    alone (traces without a span artifact file included)."""
+    root = runs_root.rstrip("/")
+    info = read_trace_info(spark, f"{root}/*/trace_info.yaml")
+    names = read_trace_names(spark, f"{root}/*/tags/{name_tag}")
+    return info.join(names, "request_id", "left")

@@ -1,0 +1,43 @@
+"""Recompute per-name latency statistics from a folder of stored traces.
+
+usage: python scripts/trace_baseline.py <artifacts_root> <runs_root>
+
+``artifacts_root/<id>/artifacts/traces.json`` and ``runs_root/<id>/trace_info.yaml``.
+Prints, per root span name, the trace-level time (execution_time_ms) and the
+span-level time, both through ``spans.latency_stats``.
+"""
+
+from __future__ import annotations
+
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from cardlens.operators.spans import latency_stats  # noqa: E402
+from cardlens.session import get_session  # noqa: E402
+from cardlens.sources.traces import read_spans, read_trace_info, trace_index  # noqa: E402
+
+
+def main() -> None:
+    art, runs = sys.argv[1], sys.argv[2]
+    spark = get_session("local[4]", 8)
+    spark.sparkContext.setLogLevel("ERROR")
+    spans = read_spans(spark, f"{art.rstrip('/')}/*/artifacts/traces.json")
+    roots = spans.where(F.col("parent_id").isNull()).select("request_id", "name", "duration_ms")
+    info = read_trace_info(spark, f"{runs.rstrip('/')}/*/trace_info.yaml")
+    per_trace = roots.join(info, "request_id").select("name", F.col("execution_time_ms").cast("double").alias("ms"))
+    print("trace time (execution_time_ms) by trace name, all traces")
+    idx = trace_index(spark, runs).select(F.col("trace_name").alias("name"),
+                                          F.col("execution_time_ms").cast("double").alias("ms"))
+    latency_stats(idx, "name", "ms").orderBy("name").show(truncate=False)
+    print("trace time (execution_time_ms) by root span name, traces with span files")
+    latency_stats(per_trace, "name", "ms").orderBy("name").show(truncate=False)
+    print("span time (end - start) by root span name")
+    latency_stats(roots, "name", "duration_ms").orderBy("name").show(truncate=False)
+
+
+if __name__ == "__main__":
+    main()

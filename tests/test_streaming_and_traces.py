@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 from cardlens.sources import standins
-from cardlens.sources.traces import read_spans, read_trace_info, read_traces
+from cardlens.sources.traces import read_spans, read_trace_info, read_traces, trace_index
 from cardlens.streaming.spans_stream import span_stream, start_latency_sink, windowed_latency
 from conftest import SMALL
 
@@ -41,6 +41,9 @@ def _write_trace(root, req, spans, info):
     os.makedirs(d2)
     with open(os.path.join(d2, "trace_info.yaml"), "w") as f:
         f.write("".join(f"{k}: {v}\n" for k, v in info.items()))
+    os.makedirs(os.path.join(d2, "tags"))
+    with open(os.path.join(d2, "tags", "mlflow.traceName"), "w") as f:
+        f.write(spans[0]["name"] if spans else "chain")
 
 
 def test_trace_reader(spark):
@@ -69,3 +72,13 @@ def test_trace_reader(spark):
     both = read_traces(spark, os.path.join(root, "artifacts", "*", "artifacts", "traces.json"),
                        os.path.join(root, "runs", "*", "trace_info.yaml"))
     assert both.where(F.col("experiment_id") == "7").count() == 2
+    # a trace with run files only (no span file) still appears in the index
+    d3 = os.path.join(root, "runs", "c" * 32)
+    os.makedirs(os.path.join(d3, "tags"))
+    with open(os.path.join(d3, "trace_info.yaml"), "w") as f:
+        f.write(f"execution_time_ms: 7000\nexperiment_id: '7'\nrequest_id: {'c' * 32}\nstatus: OK\ntimestamp_ms: 3000\n")
+    with open(os.path.join(d3, "tags", "mlflow.traceName"), "w") as f:
+        f.write("Chain")
+    idx = {r["request_id"]: (r["trace_name"], r["execution_time_ms"])
+           for r in trace_index(spark, os.path.join(root, "runs")).collect()}
+    assert idx == {r1: ("sql_db_query", 6), r2: ("ChatModel", 2500), "c" * 32: ("Chain", 7000)}
