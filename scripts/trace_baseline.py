@@ -37,6 +37,11 @@ def main() -> None:
     latency_stats(per_trace, "name", "ms").orderBy("name").show(truncate=False)
     print("span time (end - start) by root span name")
     latency_stats(roots, "name", "duration_ms").orderBy("name").show(truncate=False)
+    print("tokens by span name (T2)")
+    (spans.where(F.col("input_tokens").isNotNull()).groupBy("name")
+          .agg(F.count("*").alias("n_calls"), F.sum("input_tokens").alias("input_tokens"),
+               F.sum("output_tokens").alias("output_tokens"))
+          .show(truncate=False))
 
 
 if __name__ == "__main__":
