@@ -95,16 +95,20 @@ def token_usage(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
 OPEN_SPAN = "signup"
 
 
-def episode_numbers(s: DataFrame, bucket: str = "hour", opener: str = OPEN_SPAN) -> DataFrame:
+def episode_numbers(s: DataFrame, bucket: str = "hour", opener: str | None = OPEN_SPAN,
+                    closer: str | None = None) -> DataFrame:
     """Number each span with its episode: the count of opening spans at or
-    before it on the same key (0 before the first opening).
+    before it on the same key (0 before the first opening); with ``closer``
+    instead, the count of closing spans strictly before it (an answer ends
+    its question's episode).
 
     A key's timeline is cut into time buckets. Openings are counted per
     (key, bucket) and summed over earlier buckets; inside a bucket a running
     count over (key, bucket) adds the rest. No window spans a whole key, so a
     key with a third of all spans is spread over its buckets.
     """
-    opens = F.when(F.col("name") == opener, 1).otherwise(0)
+    marker = closer if closer is not None else opener
+    opens = F.when(F.col("name") == marker, 1).otherwise(0)
     s = s.withColumn("is_open", opens).withColumn("bucket", F.date_trunc(bucket, "start_ts"))
     per_bucket = s.groupBy("trace_key", "bucket").agg(F.sum("is_open").alias("b_opens"))
     w_prev = Window.partitionBy("trace_key").orderBy("bucket") \
@@ -115,7 +119,8 @@ def episode_numbers(s: DataFrame, bucket: str = "hour", opener: str = OPEN_SPAN)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = s.withColumn("local_opens", F.sum("is_open").over(w_in))
     return (local.join(prior, ["trace_key", "bucket"], "inner")
-                 .withColumn("episode_no", (F.col("prior_opens") + F.col("local_opens")).cast("bigint"))
+                 .withColumn("episode_no", (F.col("prior_opens") + F.col("local_opens")
+                                            - (F.col("is_open") if closer is not None else F.lit(0))).cast("bigint"))
                  .drop("bucket", "is_open", "prior_opens", "local_opens"))
 
 

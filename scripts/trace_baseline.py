@@ -1,6 +1,6 @@
 """Recompute per-name latency statistics from a folder of stored traces.
 
-usage: python scripts/trace_baseline.py <artifacts_root> <runs_root>
+usage: python scripts/trace_baseline.py <artifacts_root> <runs_root> [answer_trace_name]
 
 ``artifacts_root/<id>/artifacts/traces.json`` and ``runs_root/<id>/trace_info.yaml``.
 Prints, per root span name, the trace-level time (execution_time_ms) and the
@@ -16,13 +16,14 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from cardlens.operators.spans import latency_stats  # noqa: E402
+from cardlens.operators.spans import episode_numbers, latency_stats  # noqa: E402
 from cardlens.session import get_session  # noqa: E402
 from cardlens.sources.traces import read_spans, read_trace_info, trace_index  # noqa: E402
 
 
 def main() -> None:
     art, runs = sys.argv[1], sys.argv[2]
+    closer = sys.argv[3] if len(sys.argv) > 3 else "ChatAnthropic"
     spark = get_session("local[4]", 8)
     spark.sparkContext.setLogLevel("ERROR")
     spans = read_spans(spark, f"{art.rstrip('/')}/*/artifacts/traces.json")
@@ -33,6 +34,19 @@ def main() -> None:
     idx = trace_index(spark, runs).select(F.col("trace_name").alias("name"),
                                           F.col("execution_time_ms").cast("double").alias("ms"))
     latency_stats(idx, "name", "ms").orderBy("name").show(truncate=False)
+    print("question episodes (T3): an answer trace closes an episode")
+    tl = trace_index(spark, runs).select(
+        F.col("experiment_id").alias("trace_key"), F.col("request_id").alias("span_id"),
+        F.col("trace_name").alias("name"),
+        F.timestamp_millis("timestamp_ms").cast("timestamp_ntz").alias("start_ts"),
+        "timestamp_ms", "execution_time_ms")
+    ep = episode_numbers(tl, "day", opener=None, closer=closer)
+    (ep.groupBy("episode_no")
+       .agg(F.count("*").alias("n_traces"),
+            F.sum(F.when(F.col("name") == "sql_db_query", 1).otherwise(0)).alias("n_statements"),
+            ((F.max(F.col("timestamp_ms") + F.col("execution_time_ms")) - F.min("timestamp_ms")) / 1000.0)
+            .alias("elapsed_s"))
+       .orderBy("episode_no").show(truncate=False))
     print("trace time (execution_time_ms) by root span name, traces with span files")
     latency_stats(per_trace, "name", "ms").orderBy("name").show(truncate=False)
     print("span time (end - start) by root span name")

@@ -95,3 +95,19 @@ def test_hot_join_key_is_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_episodes_with_closer_count_strictly_before(spark):
+    rnd = random.Random(11)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, 1 + (i % 3 == 0), rnd.choice(["answer", "chain", "tool"]),
+             t0 + dt.timedelta(minutes=rnd.randint(0, 3000)), 1.0, "OK", 1) for i in range(800)]
+    got = {r["span_id"]: r["episode_no"]
+           for r in episode_numbers(_spans(spark, rows), "hour", opener=None, closer="answer").collect()}
+    want = {}
+    for key in {r[1] for r in rows}:
+        n = 0
+        for r in sorted((r for r in rows if r[1] == key), key=lambda r: (r[3], r[0])):
+            want[r[0]] = n
+            n += r[2] == "answer"
+    assert got == want
