@@ -16,6 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from cardlens.functions.text import error_class  # noqa: E402
 from cardlens.operators.spans import episode_numbers, latency_stats  # noqa: E402
 from cardlens.session import get_session  # noqa: E402
 from cardlens.sources.traces import read_spans, read_trace_info, trace_index  # noqa: E402
@@ -47,6 +48,14 @@ def main() -> None:
             ((F.max(F.col("timestamp_ms") + F.col("execution_time_ms")) - F.min("timestamp_ms")) / 1000.0)
             .alias("elapsed_s"))
        .orderBy("episode_no").show(truncate=False))
+    print("SQL attempts (R4, R5, T4): error class per stored tool output, by position in its episode")
+    outs = spans.where(F.col("name") == "sql_db_query").select(
+        "request_id", F.get_json_object("outputs", "$").alias("result_text"))
+    att = (ep.join(outs, ep.span_id == outs.request_id, "inner")
+             .select("episode_no", "start_ts", "span_id", error_class(F.col("result_text")).alias("status")))
+    first = att.groupBy("episode_no").agg(F.min_by("status", F.struct("start_ts", "span_id")).alias("first_status"))
+    att.groupBy("status").count().orderBy("status").show()
+    first.groupBy("first_status").count().show()
     print("trace time (execution_time_ms) by root span name, traces with span files")
     latency_stats(per_trace, "name", "ms").orderBy("name").show(truncate=False)
     print("span time (end - start) by root span name")
