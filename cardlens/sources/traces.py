@@ -79,12 +79,28 @@ def read_traces(spark: SparkSession, artifacts_glob: str, info_glob: str) -> Dat
     return read_spans(spark, artifacts_glob).join(read_trace_info(spark, info_glob), "request_id", "left")
 
 
-def sql_attempts_from_spans(spans: DataFrame) -> DataFrame:
-    """The statement sent and the text returned by each SQL tool span."""
-    q = spans.where(F.col("name") == "sql_db_query")
-    stmt = F.get_json_object("inputs", "$")
-    return q.select("request_id", "start_ns",
-                    stmt.alias("statement_input"),
+def _unrepr(c):
+    """Undo the escapes of a quoted Python string literal (newlines, tabs,
+    quotes, backslashes)."""
+    c = F.regexp_replace(c, r"\\\\", "\u0000")
+    c = F.regexp_replace(c, r"\\n", "\n")
+    c = F.regexp_replace(c, r"\\t", "\t")
+    c = F.regexp_replace(c, r"\\([\"'])", "$1")
+    return F.regexp_replace(c, "\u0000", "\\\\")
+
+
+def sql_attempts_from_spans(spans: DataFrame, tool: str = "sql_db_query") -> DataFrame:
+    """The statement text sent and the text returned by each SQL tool span.
+
+    The tool input is stored as the text of a mapping ``{'query': "..."}``;
+    the statement is the quoted value with its escapes undone.
+    """
+    q = spans.where(F.col("name") == tool)
+    raw = F.get_json_object("inputs", "$")
+    quoted = F.regexp_extract(raw, r"(?s)^\{'query': (?:\"(.*)\"|'(.*)')\}$", 1)
+    quoted2 = F.regexp_extract(raw, r"(?s)^\{'query': (?:\"(.*)\"|'(.*)')\}$", 2)
+    stmt = _unrepr(F.when(quoted != "", quoted).otherwise(quoted2))
+    return q.select("request_id", "start_ns", stmt.alias("sent_text"),
                     F.get_json_object("outputs", "$").alias("result_text"))
 
 

@@ -16,10 +16,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from cardlens.functions.text import error_class  # noqa: E402
+from cardlens.functions.text import error_class, extract_sql  # noqa: E402
 from cardlens.operators.spans import episode_numbers, latency_stats  # noqa: E402
 from cardlens.session import get_session  # noqa: E402
-from cardlens.sources.traces import read_spans, read_trace_info, trace_index  # noqa: E402
+from cardlens.sources.traces import read_spans, read_trace_info, sql_attempts_from_spans, trace_index  # noqa: E402
 
 
 def main() -> None:
@@ -56,6 +56,12 @@ def main() -> None:
     first = att.groupBy("episode_no").agg(F.min_by("status", F.struct("start_ts", "span_id")).alias("first_status"))
     att.groupBy("status").count().orderBy("status").show()
     first.groupBy("first_status").count().show()
+    print("statements inside the text sent (R3): syntax-error replies and what they held")
+    sent = sql_attempts_from_spans(spans).select(
+        error_class(F.col("result_text")).alias("status"),
+        F.substring("sent_text", 1, 12).alias("sent_starts"),
+        F.substring(extract_sql(F.col("sent_text")), 1, 40).alias("extracted_starts"))
+    sent.orderBy("status", "sent_starts").show(truncate=False)
     print("trace time (execution_time_ms) by root span name, traces with span files")
     latency_stats(per_trace, "name", "ms").orderBy("name").show(truncate=False)
     print("span time (end - start) by root span name")
