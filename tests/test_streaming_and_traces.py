@@ -82,3 +82,14 @@ def test_trace_reader(spark):
     idx = {r["request_id"]: (r["trace_name"], r["execution_time_ms"])
            for r in trace_index(spark, os.path.join(root, "runs")).collect()}
     assert idx == {r1: ("sql_db_query", 6), r2: ("ChatModel", 2500), "c" * 32: ("Chain", 7000)}
+
+
+def test_statement_text_of_tool_spans(spark):
+    from cardlens.functions.text import extract_sql
+    from cardlens.sources.traces import sql_attempts_from_spans
+    sent = json.dumps("{'query': \"Let me help.\\n\\nSQLQuery: SELECT a\\nFROM t WHERE b = 'x';\"}")
+    df = spark.createDataFrame([("r", 1, "sql_db_query", sent, json.dumps("Error: near \"Let\": syntax error"))],
+                               "request_id string, start_ns long, name string, inputs string, outputs string")
+    r = sql_attempts_from_spans(df).select("sent_text", extract_sql(F.col("sent_text")).alias("sql")).first()
+    assert r["sent_text"].startswith("Let me help.\n\nSQLQuery: ")
+    assert r["sql"] == "SELECT a\nFROM t WHERE b = 'x';"
