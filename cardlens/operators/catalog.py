@@ -1,7 +1,8 @@
 """Catalogue, profile, copy and metadata-card jobs.
 
-Row counts are one ``count(*)`` job per table combined with ``unionByName``;
-parquet row counts come from footers, so each is a metadata-sized scan.
+Row counts of all tables are one job: the union of the tables' column-free
+scans (parquet reads only footers for them) is counted per table name, with a
+zero row per name so an empty table still reports 0.
 Schemas are read from the tables' metadata, never from collected rows.
 """
 
@@ -24,10 +25,20 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def count_rows(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n_rows) for named frames in one aggregation: partial counts
+    per scan task, one small shuffle of per-task counts, and a zero row per
+    name so an empty frame still reports 0."""
+    zero = spark.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(t).alias("table_name"), F.lit(0).alias("w")) for t in frames])))
+    scans = [df.select(F.lit(t).alias("table_name"), F.lit(1).alias("w")) for t, df in frames.items()]
+    return (_union([zero] + scans).groupBy("table_name")
+            .agg(F.sum("w").cast("bigint").alias("n_rows")))
+
+
 def profile_views(spark: SparkSession, names: list[str]) -> DataFrame:
-    """One ``count(*)`` job per catalogue table, combined."""
-    return _union([spark.table(t).agg(F.count(F.lit(1)).alias("n_rows"))
-                   .select(F.lit(t).alias("table_name"), "n_rows") for t in names])
+    """``count(*)`` of every catalogue table."""
+    return count_rows(spark, {t: spark.table(t) for t in names})
 
 
 def table_profile(spark: SparkSession, sf_dir: str, p: Params,
@@ -154,15 +165,14 @@ def table_copy(spark: SparkSession, sf_dir: str, p: Params, target: str | None =
     target defaults to the cluster's shared checkpoint folder.
     """
     target = target or shared_dir(spark, "table_copy")
-    frames = []
+    copies, widths = {}, {}
     for t in TABLES:
         out = f"{target.rstrip('/')}/{t}"
         read_table(spark, sf_dir, t).write.mode("overwrite").parquet(out)
-        back = spark.read.parquet(out)
-        frames.append(back.agg(F.count(F.lit(1)).alias("n_rows"))
-                      .select(F.lit(t).alias("table_name"), "n_rows",
-                              F.lit(len(back.columns)).alias("n_columns")))
-    return _union(frames)
+        copies[t] = spark.read.parquet(out)
+        widths[t] = len(copies[t].columns)
+    n_columns = F.element_at(F.create_map(*[F.lit(x) for kv in widths.items() for x in kv]), F.col("table_name"))
+    return count_rows(spark, copies).select("table_name", "n_rows", n_columns.alias("n_columns"))
 
 
 def table_copy_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = None,
