@@ -2,7 +2,8 @@
 
 The reference runs five questions in sequence, each re-reading the billing
 table. Here the covering billing lines are joined once, written partitioned
-by month to the shared folder, and every report reads that table.
+by month to the shared folder, the promotions are written beside them, and
+every report reads those tables.
 """
 
 from __future__ import annotations
@@ -29,5 +30,6 @@ def run_reports(cards: CardTables, p: Params,
     spark = SparkSession.getActiveSession()
     start, end = covering_range(p)
     path = path or shared_dir(spark, "billing_lines")
-    mat = MaterializedCards.build(cards, p, path, start, end)
+    mat = MaterializedCards.build(cards, p, path, start, end,
+                                  promotions_path=path.rstrip("/") + "_promotions")
     return {name: fn(mat, p) for name, fn in reports.items()}

@@ -149,22 +149,28 @@ class MaterializedCards(CardTables):
     Every later report reads the written table: the month filter prunes
     partitions, the day filter is pushed into the files, and the lineage back
     to the source joins is cut (a lost executor recomputes from the written
-    files, not from the joins). Services, promotions and messages are
-    delegated to the source.
+    files, not from the joins). With ``promotions_path`` the promotions (on the
+    test tables a per-part aggregate over every line) are written once as well,
+    so reports of the batch read them instead of re-aggregating all lines.
+    Services and messages are delegated to the source.
     """
     source: CardTables
     path: str
+    promotions_path: str | None = None
 
     @classmethod
     def build(cls, source: CardTables, p: Params, path: str, start: str, end_exclusive: str,
-              files_per_month: int | None = None) -> "MaterializedCards":
+              files_per_month: int | None = None,
+              promotions_path: str | None = None) -> "MaterializedCards":
         b = source.billing(p.with_(account=None), start=start, end_exclusive=end_exclusive,
                            use_merchant=False)
         b = b.withColumn("sl_month", F.date_format("sl_date", "yyyy-MM"))
         if files_per_month:
             b = b.repartition(files_per_month, "sl_month")
         b.write.mode("overwrite").partitionBy("sl_month").parquet(path)
-        out = cls(source, path)
+        if promotions_path:
+            source.promotions().write.mode("overwrite").parquet(promotions_path)
+        out = cls(source, path, promotions_path)
         out.dense_line_ids = source.dense_line_ids
         return out
 
@@ -195,6 +201,8 @@ class MaterializedCards(CardTables):
         return self.source.services_row_bound(p)
 
     def promotions(self, title_word=None):
+        if self.promotions_path:  # callers filter titles themselves
+            return self._spark().read.parquet(self.promotions_path)
         return self.source.promotions(title_word)
 
     def messages(self):

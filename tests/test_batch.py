@@ -2,7 +2,7 @@
 
 import tempfile
 
-from cardlens.operators import batch, discounts, payments, report, spend
+from cardlens.operators import batch, discounts, payments, promos, report, spend
 from cardlens.params import DEFAULT
 from cardlens.plans.compare import norm
 from cardlens.sources.cards import TpchCards
@@ -15,6 +15,8 @@ REPORTS = {
     "discount_info": discounts.discount_info,
     "payments_json": payments.payments_json,
     "account_report": report.account_report,
+    "promos_active": promos.promos_active,
+    "promos_overlap": promos.promos_overlap,
 }
 
 
@@ -38,3 +40,16 @@ def test_month_partitions_are_pruned(spark):
     with contextlib.redirect_stdout(buf):
         out["m"].explain("formatted")
     assert "PartitionFilters: [isnotnull(sl_month" in buf.getvalue()
+
+
+def test_promotions_are_read_from_the_written_table(spark):
+    import contextlib
+    import io
+    cards = TpchCards(spark, SMALL)
+    path = tempfile.mkdtemp(prefix="cardlens-bl-")
+    out = batch.run_reports(cards, DEFAULT, {"p": promos.promos_active}, path)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        out["p"].explain("formatted")
+    plan = buf.getvalue()
+    assert path + "_promotions" in plan and "lineitem" not in plan
