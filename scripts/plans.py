@@ -19,11 +19,27 @@ from cardlens.session import get_session  # noqa: E402
 DETAIL = ("account_report", "spend_by_month", "campaign_customers")
 
 
+def drop_initial_plans(text: str) -> str:
+    """Remove every ``== Initial Plan ==`` block (the top one and those of
+    subqueries), keeping the final plans and the main plan around them."""
+    out, skip_from = [], None
+    for line in text.splitlines():
+        col = len(line) - len(line.lstrip())
+        if skip_from is not None:
+            if line.strip() and col >= skip_from + 3:
+                continue
+            skip_from = None
+        if line.strip().startswith("+- == Initial Plan =="):
+            skip_from = col
+            continue
+        out.append(line)
+    return "\n".join(out)
+
+
 def final_tree(df) -> str:
     df.write.format("noop").mode("overwrite").save()  # a separate execution
     df.collect()
-    text = df._jdf.queryExecution().executedPlan().toString()
-    text = text.split("+- == Initial Plan ==")[0]
+    text = drop_initial_plans(df._jdf.queryExecution().executedPlan().toString())
     text = re.sub(r"#\d+L?", "", text)
     text = re.sub(r"\[plan_id=\d+\]", "", text)
     return text.rstrip()
