@@ -29,6 +29,9 @@ def count_rows(spark: SparkSession, frames: dict[str, DataFrame]) -> DataFrame:
     """(table_name, n_rows) for named frames in one aggregation: partial counts
     per scan task, one small shuffle of per-task counts, and a zero row per
     name so an empty frame still reports 0."""
+    if not frames:
+        return spark.range(0).select(F.lit(None).cast("string").alias("table_name"),
+                                     F.lit(0).cast("bigint").alias("n_rows"))
     zero = spark.range(1).select(F.inline(F.array(*[
         F.struct(F.lit(t).alias("table_name"), F.lit(0).alias("w")) for t in frames])))
     scans = [df.select(F.lit(t).alias("table_name"), F.lit(1).alias("w")) for t, df in frames.items()]

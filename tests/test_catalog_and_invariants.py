@@ -65,3 +65,10 @@ def test_invariants(spark):
     # remaining = limit - used
     for r in discounts.limit_remaining(cards, p).collect():
         assert abs(r["monthly_limit"] - r["used"] - r["remaining"]) < 1e-6
+
+
+def test_count_rows_of_no_tables_and_of_an_empty_table(spark):
+    assert catalog.count_rows(spark, {}).count() == 0
+    empty = spark.range(0).select(F.lit(1).alias("x"))
+    rows = catalog.count_rows(spark, {"e": empty, "r": spark.range(3)}).collect()
+    assert sorted((r["table_name"], r["n_rows"]) for r in rows) == [("e", 0), ("r", 3)]
