@@ -41,3 +41,30 @@ def test_campaign_has_no_fan_out_join(spark):
 def test_services_broadcast_is_hinted(spark):
     text = plan(E.queries()["limit_remaining"](spark, SMALL))
     assert "BroadcastHashJoin" in text
+
+
+def test_plan_text_keeps_main_plan_around_subquery_blocks():
+    import importlib.util
+    import os
+    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "scripts", "plans.py")
+    spec = importlib.util.spec_from_file_location("plans_script", path)
+    mod = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(mod)
+    text = "\n".join([
+        "AdaptiveSparkPlan isFinalPlan=true",
+        "+- == Final Plan ==",
+        "   Project [a, Subquery subquery AS s]",
+        "      :  +- Subquery subquery",
+        "      :     +- AdaptiveSparkPlan isFinalPlan=true",
+        "            +- == Final Plan ==",
+        "               SubFinal",
+        "            +- == Initial Plan ==",
+        "               SubInitial",
+        "      +- MainChild",
+        "         +- MainScan",
+        "+- == Initial Plan ==",
+        "   TopInitial",
+    ])
+    out = mod.drop_initial_plans(text)
+    assert "SubFinal" in out and "MainChild" in out and "MainScan" in out
+    assert "Initial" not in out
