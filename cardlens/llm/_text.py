@@ -77,13 +77,14 @@ def blocks(offs: np.ndarray, limit: int = SEGMENT) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def word_bounds(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offs: np.ndarray, separator: np.ndarray = SEPARATOR
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) of every word."""
     n = len(data)
     if n == 0:
         z = np.zeros(0, dtype=np.int64)
         return z, z, z
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     before = np.empty(n, dtype=bool)
     before[0] = False
     before[1:] = inside[:-1]
