@@ -43,6 +43,12 @@ def _tokenizer(path: str):
     return tok
 
 
+@lru_cache(maxsize=2)
+def _longest_special(path: str) -> int:
+    """Characters of the longest special token: a window has to hold one that the cut splits."""
+    return max((len(t.content) for t in _tokenizer(path).get_added_tokens_decoder().values()), default=0)
+
+
 @dataclass
 class Piece:
     """A stretch of text with its tokens: ids and their character spans."""
@@ -76,7 +82,7 @@ def join(left: Piece, right: Piece, path: str = VOCABULARY) -> Piece:
     if not left.text or not right.text:
         return right if not left.text else left
     clean_l, clean_r = np.flatnonzero(_clean(left)), np.flatnonzero(_clean(right))
-    reach = WINDOW_CHARS
+    reach = max(WINDOW_CHARS, _longest_special(path))
     while True:
         # the window starts with a token of the left side and ends before one of the right
         k = np.searchsorted(left.start[clean_l], cut - reach, side="right") - 1

@@ -10,9 +10,9 @@ A bucket (equal band) of any size is handled without listing its pairs: each
 document is verified against one hub, the member with the largest sum of bucket
 sizes over its bands. After the components of these links, buckets whose members
 are still in more than one component are finished exactly: members outside the
-bucket's largest component are compared with all its members, block by block, on
-the low bytes of the signatures; pairs that could reach the threshold are verified
-on their full shingle sets. Both blocks are of bounded size, split by a hash.
+bucket's largest component are compared with all its members on their full shingle
+sets, block by block. Blocks are split by a hash and bounded in members and shingles;
+a comparison of two blocks returns one link per document and component at most.
 """
 
 from __future__ import annotations
@@ -27,15 +27,13 @@ from pyspark.sql import types as T
 
 from cardlens.llm._graph import components
 from cardlens.llm._text import U64, mix, shingle_sets
-from cardlens.llm._util import drop, materialize, prepare, table
+from cardlens.llm._util import batch_rows, drop, materialize, prepare, table
 
 SHINGLE = 5          # words of a shingle
 BANDS, ROWS = 32, 4  # 1 - (1 - 0.75**4)**32 = 0.999995 of the links at the threshold share a band
 PERCENT = 75         # 100 * intersection >= PERCENT * union
 BLOCK = 256          # members of a comparison block
-# Matching low bytes (of 128) below which a pair is not verified in the second
-# round: 5.3 standard deviations under the mean at similarity 0.75.
-LEAST_MATCHES = 70
+BLOCK_SHINGLES = 200_000  # and their shingles, about
 
 _SHIFTS = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
 
@@ -67,12 +65,12 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
 _FEATURES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()),
     T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()),
-    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("low", T.BinaryType())])
+    T.StructField("bands", T.ArrayType(T.LongType()))])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n, d1, d2, bands, low = [], [], [], [], []
+        n, d1, d2, bands = [], [], [], []
         for s in shingle_sets(batch.column("text"), SHINGLE):
             n.append(len(s))
             if len(s):
@@ -80,12 +78,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 d1.append(int(mix(s).sum().astype(np.int64)))
                 d2.append(int(np.bitwise_xor.reduce(mix(s + U64(0x632BE59BD9B4E019))).astype(np.int64)))
                 bands.append(_band_keys(sig))
-                low.append(sig.astype(np.uint8).tobytes())
             else:
-                d1.append(None), d2.append(None), bands.append(None), low.append(None)
+                d1.append(None), d2.append(None), bands.append(None)
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
-             pa.array(bands, pa.list_(pa.int64())), pa.array(low, pa.binary())],
+             pa.array(bands, pa.list_(pa.int64()))],
             names=[f.name for f in _FEATURES])
 
 
@@ -116,39 +113,57 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             .mapInArrow(_verify, "a long, b long"))
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of two blocks in different components whose signatures may reach the threshold."""
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            x, y = row["rest"], row["members"]
-            sx = np.frombuffer(b"".join(m["low"] for m in x), dtype=np.uint8).reshape(len(x), -1)
-            sy = np.frombuffer(b"".join(m["low"] for m in y), dtype=np.uint8).reshape(len(y), -1)
-            ix, iy = np.array([m["doc"] for m in x]), np.array([m["doc"] for m in y])
-            cx, cy = np.array([m["comp"] for m in x]), np.array([m["comp"] for m in y])
-            a, b = [ix[:0]], [iy[:0]]
-            for i in range(len(x)):
-                hit = (cy != cx[i]) & ((sy == sx[i]).sum(axis=1) >= LEAST_MATCHES)
-                a.append(np.minimum(ix[i], iy[hit]))
-                b.append(np.maximum(ix[i], iy[hit]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-
-def _rest_pairs(buckets: DataFrame, comps: DataFrame, low: DataFrame) -> DataFrame:
-    """Candidate pairs of buckets that still hold several components."""
-    member = buckets.select("key", F.col("doc")).join(
-        comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select(
-        "key", "doc", F.coalesce("component", "doc").alias("comp"))
+        sets = [x.tobytes() for x in shingle_sets(batch.column("text"), SHINGLE)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], names=["doc", "shingles"])
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks across components: for each document of the first, the
+    least partner in each other component."""
+    for batch in batches:
+        for rest, members in zip(batch.column("rest"), batch.column("members")):
+            x, y = rest.as_py(), members.as_py()
+            sets = [np.frombuffer(m["shingles"], dtype=np.uint64) for m in y]
+            size = np.array([len(v) for v in sets])
+            every = np.concatenate(sets)
+            by = np.argsort(every)
+            every, owner = every[by], np.repeat(np.arange(len(y)), size)[by]
+            doc, comp = np.array([m["doc"] for m in y]), np.array([m["comp"] for m in y])
+            a, b = [], []
+            for m in x:
+                mine = np.frombuffer(m["shingles"], dtype=np.uint64)
+                lo = np.searchsorted(every, mine)
+                n = np.searchsorted(every, mine, side="right") - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                both = np.bincount(owner[at], minlength=len(y))
+                hit = np.flatnonzero((100 * both >= PERCENT * (len(mine) + size - both)) & (comp != m["comp"]))
+                for c in np.unique(comp[hit]):
+                    a.append(m["doc"])
+                    b.append(int(doc[hit][comp[hit] == c].min()))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _rest_links(buckets: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links of buckets that still hold several components."""
+    member = buckets.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select(
+        "key", "doc", "parts", F.coalesce("component", "doc").alias("comp"))
     sizes = member.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("kinds"),
-                                     F.max_by("comp", F.struct("n", "comp")).alias("main")).where("kinds > 1")
-    open_ = member.join(mixed.select("key", "size", "main"), "key").join(
-        low.select(F.col("doc_id").alias("doc"), "low"), "doc")
-    open_ = materialize(open_.withColumn(
-        "block", F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / BLOCK))), "open")
-    packed = F.collect_list(F.struct("doc", "comp", "low"))
+    mixed = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("kinds > 1")
+    open_ = member.join(mixed.select("key", "main"), "key")
+    sets = texts.join(open_.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
+        _sets, "doc long, shingles binary")
+    open_ = materialize(open_.join(sets, "doc").select(
+        "key", "doc", "comp", "main", "shingles", F.pmod(F.xxhash64("doc"), "parts").alias("block")), "open")
+    packed = F.collect_list(F.struct("doc", "comp", "shingles"))
     members = open_.groupBy("key", "block").agg(packed.alias("members"))
-    rest = open_.where("comp != main").groupBy("key", F.col("block").alias("rb")).agg(packed.alias("rest"))
-    return rest.join(members, "key").select("rest", "members").mapInArrow(_block_pairs, "a long, b long").distinct()
+    rest = open_.where("comp != main").groupBy("key", F.col("block").alias("rest_block")).agg(packed.alias("rest"))
+    with batch_rows(open_.sparkSession, 8):  # a row holds two blocks
+        links = materialize(rest.join(members, "key").select("rest", "members").mapInArrow(
+            _block_links, "a long, b long").distinct(), "links")
+    drop(open_)
+    return links
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -169,11 +184,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                          .join(classes, ["d1", "d2", "n_shingles"])
                          .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a != b"), "copies")
     # copies of another document leave the banding; a row that repeats an id but is no copy stays
-    reps = real.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id = rep").select("doc_id", "bands", "low")
+    reps = real.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id = rep").select("doc_id", "n_shingles", "bands")
     reps = materialize(reps, "reps")
-    keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc")).distinct()
-    full = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(keyed.join(full, "key"), "buckets")
+    keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc"), "n_shingles")
+    # a row that repeats an id with other texts counts its buckets once
+    keyed = keyed.groupBy("key", "doc").agg(F.max("n_shingles").alias("n"))
+    full = keyed.groupBy("key").agg(F.count("*").alias("size"), F.ceil(F.greatest(
+        F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("parts")).where("size > 1")
+    buckets = materialize(keyed.select("key", "doc").join(full, "key"), "buckets")
     score = buckets.groupBy("doc").agg(F.sum("size").alias("score"))
     hubs = (buckets.join(score, "doc").groupBy("key")
             .agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("hub"), F.max("score").alias("score")))
@@ -182,11 +200,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select(F.col("hub").alias("a"), F.col("doc").alias("b")))
     texts = materialize(docs.join(buckets.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
     links = materialize(_linked(star, texts), "links")
-    low = reps.select("doc_id", "low")
-    rest = materialize(_rest_pairs(buckets, components(links), low), "rest")
-    more = materialize(_linked(rest, texts), "links")
+    more = _rest_links(buckets, components(links), texts)
     comps = components(links.unionByName(more).unionByName(copies))
-    for done in (reps, buckets, texts, rest):
+    for done in (reps, buckets, texts):
         drop(done)
     return (feats.select("doc_id", "n_shingles").join(comps, F.col("doc_id") == F.col("node"), "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

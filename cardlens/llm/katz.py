@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardlens.llm._text import U64, blocks, buffers, mix, row_ptr, words
-from cardlens.llm._util import drop, id_crc, materialize, prepare, shuffle_partitions, table
+from cardlens.llm._util import batch_rows, drop, id_crc, materialize, prepare, shuffle_partitions, table
 
 HEADS = 1024         # words of the dense pair table
 KNOWN = 1 << 19      # words broadcast with their counts, at most
@@ -452,7 +452,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
         (F.log10(1 - mass / (F.col("c") + 1.0)) - F.log10(F.greatest(1 - F.col("p"), F.lit(1e-12)))).alias("log_alpha"))
     rare = asked.where("key < 0").join(cold, "key").select(
         "rid", (F.col("n2") * F.col("log_alpha") - F.col("n1") * F.col("log_c")).alias("a"))
-    often = asked.where("key >= 0").mapInArrow(known_contexts, "rid long, a double")
+    with batch_rows(spark, 50_000):
+        often = materialize(asked.where("key >= 0").mapInArrow(known_contexts, "rid long, a double"), "opened")
     opened = often.unionByName(rare)
     none = [F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("n1"), F.lit(0).cast("long").alias("n2"),
             F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out")]
