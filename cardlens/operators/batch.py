@@ -29,7 +29,7 @@ def run_reports(cards: CardTables, p: Params,
     from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     start, end = covering_range(p)
-    path = path or shared_dir(spark, "billing_lines")
-    mat = MaterializedCards.build(cards, p, path, start, end,
-                                  promotions_path=path.rstrip("/") + "_promotions")
+    path = path or shared_dir(spark, "billing_lines")  # a new folder for each batch
+    promotions = path.rstrip("/") + "_promotions" if cards.has_promotions() else None
+    mat = MaterializedCards.build(cards, p, path, start, end, promotions_path=promotions)
     return {name: fn(mat, p) for name, fn in reports.items()}

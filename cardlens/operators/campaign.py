@@ -113,14 +113,10 @@ def campaign_offer_list(ct: CampaignTables, p: Params) -> DataFrame:
 
     SQLite accepts a bare column beside the aggregate and returns one arbitrary
     row; here every customer is listed with its benefit and the total, taken
-    from a scalar subquery computed once. The responders are checkpointed to
-    the shared folder first, so the list and the total read them instead of
-    running the three-table chain twice.
+    from a scalar subquery computed once. List and total share the exchange of
+    the distinct responders; building the frame runs no job.
     """
-    from cardlens.session import ensure_checkpoint_dir
     r = responders(ct, p, benefit_phrase=True)
-    ensure_checkpoint_dir(r.sparkSession)
-    r = r.checkpoint(eager=True)
     total = r.agg((F.count("*") * F.lit(p.benefit).cast("bigint")).alias("t")).scalar()
     return r.select("cno", F.lit(p.benefit).cast("bigint").alias("benefit"),
                     total.alias("total_offer"))

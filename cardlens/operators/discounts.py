@@ -15,7 +15,7 @@ from cardlens.functions.jsonfmt import to_json
 from cardlens.params import Params
 from cardlens.plans.broadcast import bounded_broadcast
 from cardlens.sources.cards import CardTables
-from cardlens.operators.lines import range_and_month
+from cardlens.operators.lines import ASKED, ASKED_AT_MERCHANT, range_and_month
 
 
 def discounted_lines(cards: CardTables, p: Params, **kw) -> DataFrame:
@@ -40,47 +40,38 @@ def discount_by_month(cards: CardTables, p: Params) -> DataFrame:
              .agg(F.sum("discount").cast("double").alias("monthly_discount")))
 
 
-def _month_use(cards, p, start, end_exclusive, merchant=True):
-    """Discount used per (account, service) in one month."""
-    b = cards.billing(p, start=start, end_exclusive=end_exclusive,
-                      use_merchant=merchant)
-    return b.groupBy("acct", "service").agg(F.sum("discount").alias("used"))
+def _remaining(cards: CardTables, p: Params, use: DataFrame) -> DataFrame:
+    """limit − COALESCE(used, 0) of the asked service: one row per account, also
+    for accounts without use; ``use`` has (acct, used)."""
+    used = F.coalesce(F.col("used"), F.lit(0).cast("decimal(18,2)"))
+    return (cards.accounts(p).join(use, "acct", "left")
+            .withColumn("limit_value", service_limit(cards, p))
+            .select("acct", F.col("limit_value").cast("double").alias("monthly_limit"),
+                    used.cast("double").alias("used"),
+                    (F.col("limit_value") - used).cast("double").alias("remaining")))
 
 
 def limit_remaining(cards: CardTables, p: Params) -> DataFrame:
-    """Q2 + A10: limit − COALESCE(used this month, 0) per account and service.
+    """Q2 + A10: the asked service's limit − COALESCE(used this month, 0).
 
-    Covers every (account, service) pair with a line in the month of
-    ``as_of``; pairs without lines are not enumerated (that would be the
-    accounts × services product). The service table is one row per code.
+    Used: the discounts of all listed services at the merchant in the month of
+    ``as_of``. One row per account; an idle account has its full limit.
     """
-    use = _month_use(cards, p, p.month_start, p.month_end_exclusive)
-    sv = bounded_broadcast(cards.services(p), cards.services_row_bound(p))
-    j = use.join(sv, use.service == sv.sv_code, "inner")
-    used = F.coalesce(F.col("used"), F.lit(0).cast("decimal(18,2)"))
-    return j.select(
-        "acct", "service",
-        F.col("monthly_limit").cast("double").alias("monthly_limit"),
-        used.cast("double").alias("used"),
-        (F.col("monthly_limit") - used).cast("double").alias("remaining"))
+    use = discounted_lines(cards, p, start=p.month_start, end_exclusive=p.month_end_exclusive)
+    r = _remaining(cards, p, use.groupBy("acct").agg(F.sum("discount").alias("used")))
+    return r.select("acct", F.lit(p.service).alias("service"), "monthly_limit", "used", "remaining")
 
 
 def limit_for_month(cards: CardTables, p: Params) -> DataFrame:
     """the month asked as a ``yyyyMM`` prefix, as a day range on a date.
 
-    Remaining limit of the asked service per account, all merchants.
+    Remaining limit of the asked service per account; used: that service's
+    discounts of the month at all merchants.
     """
-    use = _month_use(cards, p, p.limit_month_start, p.limit_month_end_exclusive,
-                     merchant=False).where(F.col("service") == p.service)
-    sv = bounded_broadcast(cards.services(p).where(F.col("sv_code") == p.service),
-                           cards.services_row_bound(p))
-    j = use.join(sv, use.service == sv.sv_code, "inner")
-    used = F.coalesce(F.col("used"), F.lit(0).cast("decimal(18,2)"))
-    return j.select(
-        "acct", F.lit(p.limit_month).alias("month"),
-        F.col("monthly_limit").cast("double").alias("monthly_limit"),
-        used.cast("double").alias("used"),
-        (F.col("monthly_limit") - used).cast("double").alias("remaining"))
+    use = cards.billing(p, start=p.limit_month_start, end_exclusive=p.limit_month_end_exclusive,
+                        use_merchant=False).where(F.col("service") == p.service)
+    r = _remaining(cards, p, use.groupBy("acct").agg(F.sum("discount").alias("used")))
+    return r.select("acct", F.lit(p.limit_month).alias("month"), "monthly_limit", "used", "remaining")
 
 
 def service_limit(cards: CardTables, p: Params):
@@ -97,11 +88,11 @@ def discount_by_month_limit(cards: CardTables, p: Params) -> DataFrame:
     """Q6: each month's discount with the account's remaining limit repeated.
 
     Monthly rows of the asked service at the merchant; the remaining limit is
-    limit − this month's use of the service (all merchants). One scan; the
+    limit − this month's use of the service at the merchant. One scan; the
     account's use is summed over its (few) month rows with a window.
     """
-    lines = range_and_month(cards, p)
-    sel = F.col("r") & F.col("known") & (F.col("service") == p.service)
+    lines = range_and_month(cards, p, ASKED_AT_MERCHANT)
+    sel = F.col("r") & (F.col("service") == p.service)
     g = (lines.groupBy("acct", month_text(F.col("sl_date")).alias("month"))
               .agg(F.sum(F.when(sel, F.col("discount"))).alias("monthly_discount"),
                    F.count(F.when(sel, F.lit(1))).alias("n"),
@@ -118,12 +109,13 @@ def discount_by_month_limit(cards: CardTables, p: Params) -> DataFrame:
 def discount_info(cards: CardTables, p: Params) -> DataFrame:
     """A14 + Q4: one JSON object per account with total, limit and remaining.
 
-    Accounts with a line of a listed service at the merchant in the range;
-    total = their discount, remaining = limit − this month's use of the asked
-    service. One scan of the range and the current month.
+    Accounts with a line at the merchant in the range; total = the discounts of
+    those lines, whatever their service (null if there is none), remaining =
+    limit − this month's use of the asked service at all merchants. One scan of
+    the range and the current month.
     """
-    lines = range_and_month(cards, p)
-    sel = F.col("r") & F.col("known")
+    lines = range_and_month(cards, p, ASKED)
+    sel = F.col("r")
     g = (lines.groupBy("acct")
               .agg(F.sum(F.when(sel, F.col("discount"))).alias("total_discount"),
                    F.count(F.when(sel, F.lit(1))).alias("n"),

@@ -15,15 +15,12 @@ from cardlens.params import Params
 from cardlens.sources.cards import CardTables
 
 
-def _listed(df: DataFrame, id_col: str, text_col: str, width: int, out: str, n_name: str,
-            dense: bool = True) -> DataFrame:
-    """Lists per chunk: a range of ``width`` dense ids, or for hashed ids one of
-    ceil(n / width) hash buckets (n from a scalar count)."""
-    if dense:
-        chunk = F.expr(f"{id_col} div {int(width)}")
-    else:
-        n = df.agg(F.count("*")).scalar()
-        chunk = F.pmod(F.col(id_col), F.greatest(F.ceil(n / F.lit(width)), F.lit(1)).cast("bigint"))
+def _listed(df: DataFrame, id_col: str, text_col: str, width: int, out: str, n_name: str) -> DataFrame:
+    """Lists per chunk: ceil(n / width) hash buckets of the ids, n from a scalar
+    count; the same rule for dense and hashed ids."""
+    n = df.agg(F.count("*")).scalar()
+    bucket = F.conv(F.substring(F.md5(F.col(id_col).cast("string").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    chunk = F.pmod(bucket, F.greatest(F.ceil(n / F.lit(width)), F.lit(1)).cast("bigint"))
     g = (df.groupBy(chunk.alias("chunk"))
            .agg(F.count("*").alias(n_name),
                 F.collect_list(F.struct(F.col(id_col), F.col(text_col))).alias("items")))
@@ -42,7 +39,7 @@ def active_promotions(cards: CardTables, p: Params, word: str | None = None) ->
 def promos_active(cards: CardTables, p: Params) -> DataFrame:
     """JSON lists of matching active promotion titles."""
     return _listed(active_promotions(cards, p), "promo_id", "title",
-                   p.promo_chunk_parts, "events_json", "n_events", cards.dense_line_ids)
+                   p.promo_chunk_parts, "events_json", "n_events")
 
 
 def promos_overlap(cards: CardTables, p: Params) -> DataFrame:
@@ -51,18 +48,16 @@ def promos_overlap(cards: CardTables, p: Params) -> DataFrame:
     cond = (contains_ci(F.col("title"), p.promo_word)
             & (F.col("start_date") <= F.to_date(F.lit(p.promo_end)))
             & (F.col("end_date") >= F.to_date(F.lit(p.promo_start))))
-    return _listed(pr.where(cond), "promo_id", "title", p.promo_chunk_parts, "events_json", "n_events",
-                   cards.dense_line_ids)
+    return _listed(pr.where(cond), "promo_id", "title", p.promo_chunk_parts, "events_json", "n_events")
 
 
 def promos_body_match(cards: CardTables, p: Params) -> DataFrame:
     """F9 on the body column, active on ``as_of``."""
-    pr = cards.promotions()
+    pr = cards.promotions(body_word=p.merchant)
     day = F.to_date(F.lit(p.as_of))
     cond = (contains_ci(F.col("body"), p.merchant)
             & (F.col("start_date") <= day) & (F.col("end_date") >= day))
-    return _listed(pr.where(cond), "promo_id", "title", p.promo_chunk_parts, "events_json", "n_events",
-                   cards.dense_line_ids)
+    return _listed(pr.where(cond), "promo_id", "title", p.promo_chunk_parts, "events_json", "n_events")
 
 
 def matching_messages(cards: CardTables, p: Params, word: str | None = None) -> DataFrame:
@@ -72,4 +67,4 @@ def matching_messages(cards: CardTables, p: Params, word: str | None = None) ->
 def messages_match(cards: CardTables, p: Params) -> DataFrame:
     """A11 + F9: JSON lists of whole message texts containing the word."""
     return _listed(matching_messages(cards, p), "msg_id", "msg_text",
-                   p.message_chunk_docs, "messages_json", "n_messages", cards.dense_line_ids)
+                   p.message_chunk_docs, "messages_json", "n_messages")

@@ -3,8 +3,8 @@
 The reference answers one account with five scalar subqueries over the same
 table. For all accounts this is one scan of the lines of the asked range and
 of the current month, aggregated to (account, day) with conditional sums
-(spend, discounts, this month's use of the asked service), then to one row per
-account. The global parts
+(spend, discounts, this month's use: listed services at the merchant), then to
+one row per account. The global parts
 (service limit, number of matching promotions and messages) are scalar
 subqueries evaluated once; the lists themselves are ``promos_active`` and
 ``messages_match`` and are not copied into every account row.
@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from cardlens.functions.dates import ymd_text
 from cardlens.functions.jsonfmt import sorted_json_list
 from cardlens.operators.discounts import service_limit
-from cardlens.operators.lines import range_and_month
+from cardlens.operators.lines import LISTED_AT_MERCHANT, range_and_month
 from cardlens.operators.promos import active_promotions, matching_messages
 from cardlens.params import Params
 from cardlens.sources.cards import CardTables
 
 
 def account_report(cards: CardTables, p: Params) -> DataFrame:
-    b = range_and_month(cards, p).select("acct", "sl_date", "amount", "discount", "r", "m", "known")
+    b = range_and_month(cards, p, LISTED_AT_MERCHANT).select("acct", "sl_date", "amount", "discount", "r", "m", "known")
     known = F.col("known")
     by_day = (b.groupBy("acct", "sl_date")
                .agg(F.sum(F.when(F.col("r"), F.col("amount"))).alias("day_amount"),

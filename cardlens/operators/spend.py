@@ -71,11 +71,10 @@ def spend_total_and_month(cards: CardTables, p: Params) -> DataFrame:
 def month_from_text(cards: CardTables, p: Params) -> DataFrame:
     """Month of a ``yyyyMMdd`` text date, by substr chain and by parsing.
 
-    The payment-date text of every line in the range, once per distinct day.
+    The text of every payment day in the range; only days are scanned.
     """
     from cardlens.functions.dates import month_by_substr, parse_ymd
-    b = cards.billing(p, use_merchant=False)
-    days = b.select(ymd_text(F.col("sl_date")).alias("sl_dt")).distinct()
+    days = cards.days(p).select(F.col("sl_ymd").alias("sl_dt")).distinct()
     return days.select(
         "sl_dt",
         month_by_substr(F.col("sl_dt")).alias("month_substr"),
@@ -85,8 +84,7 @@ def month_from_text(cards: CardTables, p: Params) -> DataFrame:
 def month_bounds(cards: CardTables, p: Params) -> DataFrame:
     """First and last day of the month of every payment day."""
     from cardlens.functions.dates import month_end, month_start
-    b = cards.billing(p, use_merchant=False)
-    days = b.select("sl_date").distinct()
+    days = cards.days(p).select("sl_date").distinct()
     return days.select(
         ymd_text(F.col("sl_date")).alias("sl_dt"),
         ymd_text(month_start(F.col("sl_date"))).alias("month_first"),
@@ -99,5 +97,6 @@ def top_customers(cards: CardTables, p: Params) -> DataFrame:
     ``orderBy + limit`` plans as TakeOrderedAndProject: each task keeps its
     top k and only k rows per task reach the final merge.
     """
-    totals = spend_total(cards, p)
-    return totals.orderBy(F.col("total_spent").desc(), F.col("acct").asc()).limit(p.top_k)
+    exact = cards.billing(p).groupBy("acct").agg(F.sum("amount").alias("exact"), F.count("*").alias("n_payments"))
+    top = exact.orderBy(F.col("exact").desc(), F.col("acct").asc()).limit(p.top_k)
+    return top.select("acct", F.col("exact").cast("double").alias("total_spent"), "n_payments")

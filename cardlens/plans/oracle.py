@@ -49,11 +49,14 @@ def services_cte(p: Params, name: str = "services") -> str:
   FROM part WHERE p_type IN ({codes}) GROUP BY p_type)"""
 
 
-def month_use_cte(p: Params, name: str = "month_use") -> str:
-    """Current-month discount use of the asked service per account."""
-    return f"""{billing_cte(p, name + "_lines", start=p.month_start, end_exclusive=p.month_end_exclusive, use_merchant=False)},
+def month_use_cte(p: Params, name: str = "month_use", *, service: str | None = "asked",
+                  at_merchant: bool = False) -> str:
+    """Current-month discount use per account: of the asked service, or with
+    ``service=None`` of all listed ones; at all merchants or at the asked one."""
+    cond = f"service = '{p.service}'" if service else "service IN (SELECT sv_code FROM services)"
+    return f"""{billing_cte(p, name + "_lines", start=p.month_start, end_exclusive=p.month_end_exclusive, use_merchant=at_merchant)},
 {name} AS (
-  SELECT acct, SUM(discount) AS used FROM {name}_lines WHERE service = '{p.service}' GROUP BY acct)"""
+  SELECT acct, SUM(discount) AS used FROM {name}_lines WHERE {cond} GROUP BY acct)"""
 
 
 def limit_scalar(p: Params) -> str:

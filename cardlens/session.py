@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -56,8 +57,10 @@ def apply_conf(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is. Only when it is unset (local tests) a scratch folder is created.
+    ``spark.checkpoint.dir`` names a folder that driver and executors share and is
+    used as is. Only a local master may go without it: there a scratch folder is
+    created. On a cluster a missing setting is an error, as executors would not see
+    the driver's own folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -65,12 +68,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="cardlens-ckpt-")
+        configured = local_scratch(sc.master)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def local_scratch(master: str) -> str:
+    """A scratch folder for a local master; an error for any other."""
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master or ""):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="cardlens-ckpt-")
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    return base.rstrip("/") + "/" + name if "://" in base else os.path.join(base, name)
+    """A new sub-folder of the shared checkpoint folder for written tables."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)

@@ -16,7 +16,8 @@ applications   = signup events: customer user_id, campaign props.$.k
 sales          = orders: customer, order date, total price, status as product
                  code, first priority character as channel
 META tables    = nation and region with a code, a name and synonyms
-questions      = user turns of conversations; replies = assistant turns
+questions      = the first user turn of every four turns of a conversation;
+                 replies = assistant turns, attempts 1 and 2 of their question
 spans          = events: name event_type, duration value, key user_id
 
 Filters are applied to the raw scan columns so they reach parquet as pushed
@@ -42,7 +43,7 @@ def money(c):
 
 def billing_lines(spark: SparkSession, sf_dir: str, p: Params, *,
                   start: str | None = None, end_exclusive: str | None = None,
-                  merchant: str | None = None, account: int | None = None,
+                  merchant: str | None = None, account: int | str | None = None,
                   use_range: bool = True, use_merchant: bool = True) -> DataFrame:
     """Billing lines (WBM_T_BLL_SPEC_IZ) for all accounts, or one.
 
@@ -77,6 +78,7 @@ def billing_lines(spark: SparkSession, sf_dir: str, p: Params, *,
         # unique line id: order key and line number (TPC-H line numbers are 1-7)
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line_id"),
         F.col("l_shipdate").cast("date").alias("sl_date"),
+        F.date_format("l_shipdate", "yyyyMMdd").alias("sl_ymd"),
         amount.alias("amount"),
         F.col("p_name").alias("merchant"),
         F.col("p_brand").alias("card"),
@@ -94,18 +96,37 @@ def services(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
               .agg((F.max("p_retailprice") * 100).cast(MONEY).alias("monthly_limit")))
 
 
-def promotions(spark: SparkSession, sf_dir: str, title_word: str | None = None) -> DataFrame:
+def accounts(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    """All accounts, or the asked one: one row each."""
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("acct"))
+    return c if p.account is None else c.where(F.col("acct") == F.lit(p.account).cast("bigint"))
+
+
+def payment_days(spark: SparkSession, sf_dir: str, start: str, end_exclusive: str) -> DataFrame:
+    """The distinct payment days of a range; only the date column is scanned."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_shipdate").where(
+        day_range("l_shipdate", start, end_exclusive))
+    return li.select(F.col("l_shipdate").cast("date").alias("sl_date")).distinct().select(
+        "sl_date", F.date_format("sl_date", "yyyyMMdd").alias("sl_ymd"))
+
+
+def promotions(spark: SparkSession, sf_dir: str, title_word: str | None = None,
+               body_word: str | None = None) -> DataFrame:
     """Promotions (WLP_T_EVN_INF): one per part, active over its ship days.
 
     Lines are reduced to one row per part (partial aggregation map-side) before
     the join with part, so a hot part costs one row per map task. When the
-    caller filters titles by a word, only lines of matching parts are
+    caller filters titles or bodies by a word, only lines of matching parts are
     aggregated (a semi join ahead of the aggregate).
     """
+    body = F.concat_ws(" ", "p_brand", "p_type", "p_name")
     li = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate")
     pt = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     if title_word:
         pt = pt.where(contains_ci(F.col("p_name"), title_word))
+    if body_word:
+        pt = pt.where(contains_ci(body, body_word))
+    if title_word or body_word:
         li = li.join(pt.select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_semi")
     span = (li.groupBy("l_partkey")
             .agg(F.min("l_shipdate").cast("date").alias("start_date"),
@@ -113,7 +134,7 @@ def promotions(spark: SparkSession, sf_dir: str, title_word: str | None = None)
     return (span.join(pt, span.l_partkey == pt.p_partkey, "inner")
                 .select(F.col("p_partkey").alias("promo_id"),
                         F.col("p_name").alias("title"),
-                        F.concat_ws(" ", "p_brand", "p_type", "p_name").alias("body"),
+                        body.alias("body"),
                         "start_date", "end_date"))
 
 
@@ -165,11 +186,17 @@ def meta_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"meta_nation": meta_nation, "meta_region": meta_region}
 
 
+def _question_id():
+    """A conversation is cut in groups of four turns: a question, its first reply, a
+    request to repair it, and a second reply. The group is the question."""
+    return F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.expr("turn div 4").cast("string"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions: user turns (conv_id, turn, question)."""
+    """Questions (q_id, question): the first user turn of each group."""
     cv = read_table(spark, sf_dir, "conversations")
-    return cv.where(F.col("role") == "user").select(
-        F.col("conv_id").alias("q_id"), "turn", F.col("text").alias("question"))
+    return cv.where((F.col("role") == "user") & (F.col("turn") % 4 == 0)).select(
+        _question_id().alias("q_id"), F.col("text").alias("question"))
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +206,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored SQL attempts, one per assistant turn.
+    """Stored SQL attempts, one per assistant turn, numbered within their question.
 
     Each reply is one of the four shapes on record (bare statement, prose then
     ``SQLQuery:``, code fence, statement naming a missing column), and the
@@ -198,10 +225,19 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
                .when(shape == 1, F.concat(F.lit('Error: (sqlite3.OperationalError) near "'), first_word, F.lit('": syntax error')))
                .when(shape == 2, F.lit('Error: (sqlite3.OperationalError) near "Here": syntax error'))
                .otherwise(F.lit("Error: (sqlite3.OperationalError) no such column: l_missing")))
-    return r.select(F.col("conv_id").alias("q_id"), F.col("turn").alias("attempt_no"),
+    return r.select(_question_id().alias("q_id"), F.expr("turn % 4 div 2 + 1").alias("attempt_no"),
                     reply.alias("reply"), result.alias("result_text"))
 
 
+def reply_chunks(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """Replies as stored chunks of ``size`` characters (conv_id, turn, chunk_no, chunk)."""
+    r = replies(spark, sf_dir)
+    n = F.ceil(F.length("text") / size).cast("int")
+    r = r.where(F.length("text") > 0).withColumn("chunk_no", F.explode(F.sequence(F.lit(0), n - 1)))
+    return r.select("conv_id", "turn", "chunk_no",
+                    F.substring("text", F.col("chunk_no") * size + 1, F.lit(size)).alias("chunk"))
+
+
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Span records: one per event."""
     ev = read_table(spark, sf_dir, "events")
@@ -212,5 +248,6 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("start_ts"),
         F.col("value").alias("duration_ms"),
         F.when(F.col("event_type") == "error", F.lit("ERROR")).otherwise(F.lit("OK")).alias("status"),
-        F.get_json_object("props", "$.k").cast("bigint").alias("tokens"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("input_tokens"),
+        (F.col("event_id") % 50).alias("output_tokens"),
     )

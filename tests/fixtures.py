@@ -1,8 +1,9 @@
-"""Hand fixture in the reference's table layout (invented accounts and names).
+"""Hand fixture in the reference's table layout; every value is made up.
 
-Account 1001 at merchants named like 'cafe': July 14,000, August 53,200,
-September 50,500, total 117,700. Discounts of the listed service SV1:
-August 3,040 + 6,960 = 10,000, September 5,700 + 340 = 6,040, total 16,040.
+Account 0042 at merchants named like 'tea': March 2,500, April 8,800, May 5,900 and
+1,111 on a day that is no date, together 18,311 over nine lines. May's discounts
+tell the three meanings of use apart: 310 of listed services at the merchant, 220 of
+S1 at the merchant, 720 of S1 anywhere.
 """
 
 from pyspark.sql import types as T
@@ -19,32 +20,33 @@ BILLING_SCHEMA = T.StructType([
 ])
 
 BILLING = [
-    ("1001", "20240705", 14000, "Cafe Luna Seoul", "Card X", 14000, None, None),
-    ("1001", "20240802", 11600, "cafe luna", "Card X", 11600, 6960, "SV1"),
-    ("1001", "20240806", 9100, "CAFE LUNA", "Card Y", None, 3040, "SV1"),      # NULL billed principal
-    ("1001", "20240826", 16100, "Cafe Luna", "Card X", 16000, None, None),     # billed below amount
-    ("1001", "20240826", 16400, "Cafe Luna", "Card Y", 16400, None, None),     # second line that day
-    ("1001", "20240904", 9500, "Cafe Luna", "Card X", 9500, 5700, "SV1"),
-    ("1001", "20240910", 10300, "Cafe Luna", "Card X", 10300, 340, "SV1"),
-    ("1001", "20240925", 10100, "Cafe Luna", "Card X", 10100, None, "SV1"),    # NULL discount
-    ("1001", "20240930", 20600, "Cafe Luna", "Card Y", 20600, None, None),
-    ("1001", "20240715", 5000, "Book Store", "Card X", 5000, 500, "SV2"),      # service not listed
-    ("1001", "20240931", 1234, "Book Store", "Card X", 1234, None, None),      # invalid date
-    ("1001", "20241005", 7000, "Cafe Luna", "Card X", 7000, 100, "SV1"),       # after the range
-    ("1002", "20240810", 3000, "Bakery", "Card Z", 3000, None, None),
-    ("1002", "20240812", 4500, "Bakery", "Card Z", None, 450, "SV1"),
-    ("1002", "20240912", 2000, "Bakery", "Card Z", 2000, 200, "SV1"),
+    ("0042", "20230310", 2500, "Tea House North", "Card A", 2500, None, None),
+    ("0042", "20230403", 4000, "tea house", "Card A", 4000, 400, "S1"),
+    ("0042", "20230403", 1500, "TEA HOUSE", "Card B", None, 150, "S1"),     # same day; NULL billed principal
+    ("0042", "20230418", 3300, "Tea House", "Card A", 3000, None, None),    # billed below amount
+    ("0042", "20230502", 2200, "Tea House", "Card A", 2200, 220, "S1"),
+    ("0042", "20230511", 1800, "Tea House", "Card B", 1800, 90, "S2"),
+    ("0042", "20230515", 1000, "Tea House", "Card B", 1000, 70, "S3"),      # service not listed
+    ("0042", "20230522", 900, "Tea House", "Card A", 900, None, "S1"),      # NULL discount
+    ("0042", "20230532", 1111, "Tea House", "Card A", 1111, None, None),    # no date
+    ("0042", "20230505", 5000, "Book Store", "Card A", 5000, 500, "S1"),    # other merchant
+    ("0042", "20230605", 700, "Tea House", "Card A", 700, 30, "S1"),        # after the range
+    ("77", "20230408", 3000, "Bakery", "Card C", 3000, None, None),
+    ("77", "20230412", 4500, "Bakery", "Card C", None, 450, "S1"),
+    ("77", "20230509", 2000, "Bakery", "Card C", 2000, 200, "S1"),
 ]
 
-SERVICES = [("SV1", 20000), ("SV3", 5000)]  # SV3 is unused
+ACCOUNTS = [("0042",), ("77",), ("900",)]  # 900 has no line
+
+SERVICES = [("S1", 10000), ("S2", 3000)]
 
 PROMOTIONS = [
-    ("Cafe Luna autumn coupon", "a coupon for autumn drinks", "20240901", "20240930"),
-    ("Cafe Luna summer stamps", "stamps all summer", "20240701", "20240914"),  # ended the day before
-    ("Book week", "books", "20240901", "20240930"),
+    ("Tea House spring card", "a stamp for every pot", "20230501", "20230531"),
+    ("Tea House opening week", "first week", "20230401", "20230519"),  # ended the day before
+    ("Book fair", "tea among the shelves", "20230501", "20230531"),
 ]
 
-MESSAGES = [("Cafe Luna: ten percent off this week",), ("Bakery news",)]
+MESSAGES = [("Tea House: a free refill on Friday",), ("Bakery news",)]
 
 
 def cards(spark):
@@ -55,31 +57,31 @@ def cards(spark):
         promotions_df=spark.createDataFrame(
             PROMOTIONS, "EVN_BULT_TIT_NM string, EVN_BULT_CN string, EVN_SDT string, EVN_EDT string"),
         messages_df=spark.createDataFrame(MESSAGES, "UMS_MSG_CN string"),
+        accounts_df=spark.createDataFrame(ACCOUNTS, "ACCTNO string"),
     )
 
 
 def params(**kw):
     from cardlens.params import Params
-    base = dict(start="2024-06-01", end="2024-09-30", merchant="cafe", as_of="2024-09-15",
-                service="SV1", known_services=("SV1", "SV3"), limit_month="202409",
-                promo_start="2024-07-01", promo_end="2024-09-30", promo_word="cafe",
-                message_word="cafe", payment_chunk_lines=4)
+    base = dict(start="2023-02-01", end="2023-05-31", merchant="tea", as_of="2023-05-20",
+                service="S1", known_services=("S1", "S2"), limit_month="202305",
+                promo_start="2023-03-01", promo_end="2023-05-31", promo_word="tea",
+                message_word="tea", payment_chunk_lines=4)
     base.update(kw)
     return Params(**base)
 
 
-# attempts in the shape of the stored runs: 5 questions, 12 attempts,
-# 4 syntax errors (prose sent as SQL), 3 missing columns, 5 that ran, and no
-# question whose first attempt ran
+# questions and their attempts: every kind of reply and of result, with retries
+QUESTIONS = [(q, f"request {q}") for q in "abcde"]
 ATTEMPTS = [
-    ("a", 1, "Let me help you. SQLQuery: SELECT 1;", 'Error: (sqlite3.OperationalError) near "Let": syntax error'),
-    ("a", 2, "SELECT card, SUM(x) FROM t GROUP BY card;", "[('c', 1)]"),
-    ("b", 1, "Let me help:\n```sql\nSELECT 2;\n```", 'Error: (sqlite3.OperationalError) near "Let": syntax error'),
-    ("b", 2, "SELECT month, SUM(x) FROM t GROUP BY month;", "[('2024-07', 14000)]"),
-    ("c", 1, "Let me see.\nSQLQuery: \nSELECT lim FROM t;", 'Error: (sqlite3.OperationalError) near "Let": syntax error'),
+    ("a", 1, "Sure thing. SQLQuery: SELECT 1;", 'Error: (sqlite3.OperationalError) near "Sure": syntax error'),
+    ("a", 2, "SELECT shop, SUM(x) FROM t GROUP BY shop;", "[('s', 1)]"),
+    ("b", 1, "Try this one:\n```sql\nSELECT 2;\n```", 'Error: (sqlite3.OperationalError) near "Try": syntax error'),
+    ("b", 2, "SELECT month, SUM(x) FROM t GROUP BY month;", "[('2023-04', 8800)]"),
+    ("c", 1, "Well then.\nSQLQuery: \nSELECT lim FROM t;", 'Error: (sqlite3.OperationalError) near "Well": syntax error'),
     ("c", 2, "SELECT lim FROM t;", "Error: (sqlite3.OperationalError) no such column: lim"),
     ("c", 3, "SELECT 3;", "[(3,)]"),
-    ("d", 1, "Let me find it: SQLQuery: SELECT 4;", 'Error: (sqlite3.OperationalError) near "Let": syntax error'),
+    ("d", 1, "One moment: SQLQuery: SELECT 4;", 'Error: (sqlite3.OperationalError) near "One": syntax error'),
     ("d", 2, "SELECT 4;", "[('x',)]"),
     ("e", 1, "SELECT lim FROM t;", "Error: (sqlite3.OperationalError) no such column: lim"),
     ("e", 2, "SELECT v FROM t;", "Error: (sqlite3.OperationalError) no such column: v"),

@@ -31,6 +31,30 @@ def test_materialized_reports_match(spark):
         assert _rows(out[name]) == _rows(fn(cards, DEFAULT)), name
 
 
+def test_invalid_days_and_missing_promotions(spark):
+    """A line whose day is no date stays in the batch; a source may lack promotions."""
+    import fixtures as FX
+    from cardlens.sources.cards import RecordCards
+    full = FX.cards(spark)
+    cards = RecordCards(full.billing_df, full.services_df, None, full.messages_df, full.accounts_df)
+    reports = {"spend_total": spend.spend_total, "spend_by_month": spend.spend_by_month,
+               "limit_remaining": discounts.limit_remaining, "discount_info": discounts.discount_info,
+               "payments_json": payments.payments_json}
+    p = FX.params()
+    out, again = batch.run_reports(cards, p, reports), batch.run_reports(cards, p, reports)
+    for name, fn in reports.items():
+        assert _rows(out[name]) == _rows(fn(cards, p)) == _rows(again[name]), name
+    assert out["spend_total"].first()["n_payments"] == 9
+
+
+def test_files_per_month_are_that_many(spark):
+    import glob
+    from cardlens.sources.cards import MaterializedCards
+    path = tempfile.mkdtemp(prefix="cardlens-bl-")
+    MaterializedCards.build(TpchCards(spark, SMALL), DEFAULT, path, "1997-07-01", "1997-08-01", files_per_month=8)
+    assert len(glob.glob(path + "/sl_month=199707/*.parquet")) == 8
+
+
 def test_month_partitions_are_pruned(spark):
     import contextlib
     import io

@@ -38,6 +38,17 @@ def test_campaign_has_no_fan_out_join(spark):
     assert "Inner" not in text
 
 
+def test_day_queries_scan_days_only(spark):
+    for name in ("month_from_text", "month_bounds"):
+        text = plan(E.queries()[name](spark, SMALL))
+        assert "Join" not in text and "part.parquet" not in text
+
+
+def test_body_match_reduces_lines_before_they_are_aggregated(spark):
+    text = plan(E.queries()["promos_body_match"](spark, SMALL))
+    assert "LeftSemi" in text
+
+
 def test_services_broadcast_is_hinted(spark):
     text = plan(E.queries()["limit_remaining"](spark, SMALL))
     assert "BroadcastHashJoin" in text
