@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cardlens.functions.text import (error_class, extract_sql, has_error_marker, trim_text,
                                      truncate_display)
 from cardlens.params import Params
-from cardlens.sources.standins import attempts, replies
+from cardlens.sources.standins import attempts, replies, reply_chunks
 from cardlens.sources.tables import read_table
 
 
@@ -78,22 +78,26 @@ def error_mix_of(status: DataFrame) -> DataFrame:
 
 
 def error_mix(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    """T4: attempts per error kind and attempt position."""
+    """T4: attempts per error kind and attempt number within the question."""
     return error_mix_of(attempt_status(spark, sf_dir, p))
 
 
-def chunk_join(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    """A conversation's reply chunks joined in order, blank chunks
-    dropped, the result trimmed.
+CHUNK_CHARS = 64  # characters of a stored chunk on the test tables
 
-    A group is one conversation's replies, bounded by the model's output
-    limit per reply and the turn count.
-    """
-    r = replies(spark, sf_dir).where(trim_text(F.col("text")) != "")
-    g = r.groupBy("conv_id").agg(F.count("*").alias("n_chunks"),
-                                 F.collect_list(F.struct("turn", "text")).alias("chunks"))
-    joined = F.array_join(F.transform(F.array_sort("chunks"), lambda x: x["text"]), "")
-    return g.select("conv_id", "n_chunks", trim_text(joined).alias("answer"))
+
+def join_chunks(chunks: DataFrame) -> DataFrame:
+    """R6 over (conv_id, turn, chunk_no, chunk): each reply's chunks joined in order,
+    blank chunks dropped, the result trimmed. A group is one reply, which the
+    model's output limit bounds."""
+    c = chunks.where(trim_text(F.col("chunk")) != "")
+    g = c.groupBy("conv_id", "turn").agg(F.count("*").alias("n_chunks"),
+                                         F.collect_list(F.struct("chunk_no", "chunk")).alias("chunks"))
+    joined = F.array_join(F.transform(F.array_sort("chunks"), lambda x: x["chunk"]), "")
+    return g.select("conv_id", "turn", "n_chunks", trim_text(joined).alias("answer"))
+
+
+def chunk_join(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    return join_chunks(reply_chunks(spark, sf_dir, CHUNK_CHARS))
 
 
 def display_truncate(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:

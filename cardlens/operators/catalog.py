@@ -2,20 +2,20 @@
 
 Row counts of all tables are one job: the union of the tables' column-free
 scans (parquet reads only footers for them) is counted per table name, with a
-zero row per name so an empty table still reports 0.
-Schemas are read from the tables' metadata, never from collected rows.
+zero row per name so an empty table still reports 0. Tables are discovered in the
+data folder, not listed here. Schemas are read from the tables' metadata, never from collected rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardlens.params import Params
 from cardlens.session import shared_dir
 from cardlens.sources.standins import meta_tables
-from cardlens.sources.tables import TABLES, list_tables, read_table, register_views
+from cardlens.sources.tables import chosen_tables, discover_tables, list_tables, read_table, register_views
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -46,12 +46,9 @@ def profile_views(spark: SparkSession, names: list[str]) -> DataFrame:
 
 def table_profile(spark: SparkSession, sf_dir: str, p: Params,
                   include: tuple[str, ...] | None = None) -> DataFrame:
-    """P1 + S1/S2: register the tables (only the listed ones when ``include``
-    is given), list the catalogue and count every listed table."""
-    allowed = set(include or TABLES)
-    register_views(spark, sf_dir, include)
-    names = [n for n in list_tables(spark) if n in allowed]
-    return profile_views(spark, names)
+    """P1 + S1/S2: register the folder's tables (only the included ones when
+    ``include`` is given) and count every one of them."""
+    return profile_views(spark, register_views(spark, sf_dir, include))
 
 
 def largest_of(prof: DataFrame) -> DataFrame:
@@ -71,38 +68,90 @@ def largest_table(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
     return largest_of(table_profile(spark, sf_dir, p))
 
 
-SCHEMA_CARD_SCHEMA = T.StructType([
-    T.StructField("table_name", T.StringType(), False),
-    T.StructField("ordinal", T.IntegerType(), False),
-    T.StructField("column_name", T.StringType(), False),
-    T.StructField("data_type", T.StringType(), False),
-])
+SAMPLE_ROWS = 3     # first rows of a table on its card
+SAMPLE_CHARS = 60   # display cut of a value (C13)
 
 
-def schema_rows(spark: SparkSession, sf_dir: str, tables=TABLES) -> list[tuple]:
-    rows = []
-    for t in tables:
-        for i, f in enumerate(read_table(spark, sf_dir, t).schema.fields, start=1):
-            rows.append((t, i, f.name, f.dataType.simpleString()))
-    return rows
+def value_text(c: Column, kind: T.DataType) -> Column:
+    """A value as text that is the same in other engines; cut for display."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        c = c.cast("decimal(38,6)").cast("string")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    elif isinstance(kind, T.ArrayType):
+        c = F.array_join(F.transform(F.slice(c, 1, 4), lambda x: value_text(x, kind.elementType)), ",")
+    else:
+        c = c.cast("string")
+    return F.coalesce(F.substring(c, 1, SAMPLE_CHARS), F.lit("NULL"))
 
 
-def schema_card(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    """Columns and types of every table (from parquet metadata)."""
-    return spark.createDataFrame(schema_rows(spark, sf_dir), SCHEMA_CARD_SCHEMA)
+def first_rows(frames: dict[str, DataFrame], n: int) -> dict[str, DataFrame]:
+    """The first ``n`` rows of each table in the order of all its columns, as frames.
 
-
-def schema_samples(spark: SparkSession, sf_dir: str, p: Params, n: int = 3) -> DataFrame:
-    """P3 samples: the first ``n`` rows of each table by its first column, as
-    JSON text. ``orderBy + limit`` keeps n rows per task before the merge."""
-    frames = []
-    for t in TABLES:
-        df = read_table(spark, sf_dir, t)
+    One job finds the least ``n`` values of every first column (nothing else is
+    scanned); the rows are then read with those values as a pushed filter."""
+    if not frames:
+        return {}
+    keys = _union([df.select(F.lit(t).alias("table_name"), F.struct(F.col(df.columns[0]).alias("v")).alias("k"))
+                   .orderBy(F.col("k.v").asc_nulls_first()).limit(n)
+                   .select("table_name", F.col("k.v").isNull().alias("none"), F.col("k.v").cast("string").alias("v"))
+                   for t, df in frames.items()]).distinct().collect()  # at most n rows a table
+    out = {}
+    for t, df in frames.items():
         first = df.columns[0]
-        top = df.orderBy(F.col(first).asc_nulls_first()).limit(n)
-        frames.append(top.select(F.lit(t).alias("table_name"), F.col(first).cast("string").alias("sort_key"),
-                                 F.to_json(F.struct(*df.columns)).alias("row_json")))
-    return _union(frames)
+        kind = df.schema[first].dataType
+        values = [F.lit(r["v"]).cast(kind) for r in keys if r["table_name"] == t and not r["none"]]
+        cond = F.col(first).isin(values) if values else F.lit(False)
+        if any(r["table_name"] == t and r["none"] for r in keys):
+            cond = cond | F.col(first).isNull()
+        out[t] = df.where(cond).orderBy(*[F.col(c).asc_nulls_first() for c in df.columns]).limit(n)
+    return out
+
+
+def schema_card(spark: SparkSession, sf_dir: str, p: Params, n: int = SAMPLE_ROWS,
+                include: tuple[str, ...] | None = None) -> DataFrame:
+    """Table, ordinal, column, type and the column's values in the first ``n`` rows.
+
+    Every table of the folder has a line per column, an empty one without samples."""
+    frames = {t: read_table(spark, sf_dir, t) for t in chosen_tables(spark, sf_dir, include)}
+    cells = []
+    for t, rows in first_rows(frames, n).items():
+        schema = rows.schema
+        order = [F.col(c).asc_nulls_first() for c in rows.columns]
+        rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # n rows
+        columns = [F.struct(F.lit(i).alias("ordinal"), value_text(F.col(f.name), f.dataType).alias("v"))
+                   for i, f in enumerate(schema.fields, start=1)]
+        cells.append(rows.select(F.lit(t).alias("table_name"), "_nth", F.inline(F.array(*columns))))
+    names = spark.createDataFrame(
+        [(t, i, f.name, f.dataType.simpleString()) for t, df in frames.items()
+         for i, f in enumerate(df.schema.fields, start=1)],
+        "table_name string, ordinal int, column_name string, data_type string")
+    if not cells:
+        return names.withColumn("samples", F.array().cast("array<string>"))
+    samples = (_union(cells).groupBy("table_name", "ordinal")
+               .agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "v"))), lambda x: x["v"]).alias("samples")))
+    return names.join(samples, ["table_name", "ordinal"], "left").select(
+        "table_name", "ordinal", "column_name", "data_type",
+        F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+
+
+def schema_samples(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    """P3 samples: one row per column and sampled value, by its place."""
+    card = schema_card(spark, sf_dir, p)
+    return card.select("table_name", "column_name", F.posexplode("samples").alias("place", "value"))
+
+
+def schema_text(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    """The whole card as one text, a line per table: ``table(column type: a | b | c, ...)``.
+
+    Its size is bounded by the schema: SAMPLE_ROWS values of SAMPLE_CHARS a column."""
+    card = schema_card(spark, sf_dir, p)
+    item = F.concat(F.col("column_name"), F.lit(" "), F.col("data_type"), F.lit(": "), F.array_join("samples", " | "))
+    per_table = card.groupBy("table_name").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("ordinal", item.alias("item")))), lambda x: x["item"]), ", ").alias("items"))
+    lines = per_table.select("table_name", F.concat("table_name", F.lit("("), "items", F.lit(")")).alias("line"))
+    return lines.agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("table_name", "line"))), lambda x: x["line"]), "\n").alias("card"))
 
 
 def register_meta_views(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -116,8 +165,9 @@ def register_meta_views(spark: SparkSession, sf_dir: str) -> list[str]:
 def synonym_lines(spark: SparkSession, tables: list[str] | None = None) -> tuple[DataFrame | None, list[str]]:
     """P4 + P5 over catalogue tables named like ``%meta%`` (S3).
 
-    A table that cannot be analysed is skipped and reported, the rest are
-    combined. Returns (lines, skipped).
+    A table that cannot be analysed, or not be read to its end, is skipped and
+    reported; the rest are combined. Returns (lines, skipped). Dictionaries
+    describe columns: reading each once more before it is used is cheap.
     """
     names = tables if tables is not None else list_tables(spark, "%meta%")
     frames, skipped = [], []
@@ -127,17 +177,20 @@ def synonym_lines(spark: SparkSession, tables: list[str] | None = None) -> tuple
             cols = df.columns[:3]
             if len(cols) < 3:
                 raise ValueError("needs code, name and synonyms columns")
-            frames.append(df.select(F.lit(name).alias("table_name"),
-                                    F.col(cols[0]).cast("string").alias("code"),
-                                    F.col(cols[1]).cast("string").alias("name"),
-                                    F.col(cols[2]).cast("string").alias("synonyms")))
+            df = df.select(F.lit(name).alias("table_name"),
+                           F.col(cols[0]).cast("string").alias("code"),
+                           F.col(cols[1]).cast("string").alias("name"),
+                           F.col(cols[2]).cast("string").alias("synonyms"))
+            df.agg(F.count("code"), F.count("name"), F.count("synonyms")).collect()
+            frames.append(df)
         except Exception:  # noqa: BLE001 - the reference prints and continues
             skipped.append(name)
     if not frames:
         return None, skipped
     lines = _union(frames).where(F.col("synonyms").isNotNull() & (F.length("synonyms") > 0))
-    lines = lines.withColumn("line", F.format_string("%s %s (Code: %s), Synonyms: %s",
-                                                     "table_name", "name", "code", "synonyms"))
+    text = lambda c: F.coalesce(c, F.lit(""))  # noqa: E731 - a missing code or name leaves its place empty
+    lines = lines.withColumn("line", F.concat(
+        F.col("table_name"), F.lit(" "), text("name"), F.lit(" (Code: "), text("code"), F.lit("), Synonyms: "), F.col("synonyms")))
     return lines, skipped
 
 
@@ -161,21 +214,43 @@ def synonym_card_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                     lambda x: x["line"]), "\n").alias("synonyms"))
 
 
+def _digest(df: DataFrame) -> Column:
+    """One value per column whatever the order of rows: sums of the values' hashes."""
+    return F.array(*[F.coalesce(F.sum(F.xxhash64(F.col(f"`{c}`")).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).cast("string")
+                     for c in df.columns])
+
+
+def compare_copies(frames: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(table_name, n_rows, n_columns, equal) of pairs of a table and its copy: rows are
+    counted in the copy; equal if counts, columns and the hash sums of every column agree."""
+    sides = []
+    for t, pair in frames.items():
+        for side, df in enumerate(pair):
+            sides.append(df.agg(F.count("*").alias("n"), _digest(df).alias("digest")).select(
+                F.lit(t).alias("table_name"), F.lit(side).alias("side"), "n",
+                F.concat(F.lit(",".join(df.columns)), F.lit(" "), F.col("n").cast("string"), F.lit(" "),
+                         F.array_join("digest", ",")).alias("all")))
+    widths = F.create_map(*[F.lit(x) for t, (_, copy) in frames.items() for x in (t, len(copy.columns))])
+    return (_union(sides).groupBy("table_name").agg(
+        F.max(F.when(F.col("side") == 1, F.col("n"))).alias("n_rows"), F.size(F.collect_set("all")).alias("kinds"))
+        .select("table_name", "n_rows", F.element_at(widths, F.col("table_name")).alias("n_columns"),
+                (F.col("kinds") == 1).alias("equal")))
+
+
 def table_copy(spark: SparkSession, sf_dir: str, p: Params, target: str | None = None) -> DataFrame:
-    """S4 + S5: copy every table, replacing the target; read the copies back.
+    """S4 + S5: copy every table of the folder, replacing the target, and compare the
+    copies with their sources, column by column.
 
-    One partitioned read and write per table (never through the driver). The
-    target defaults to the cluster's shared checkpoint folder.
+    One partitioned read and write per table, started one after another; no row
+    passes the driver. The target defaults to a new sub-folder of the shared folder.
     """
-    target = target or shared_dir(spark, "table_copy")
-    copies, widths = {}, {}
-    for t in TABLES:
-        out = f"{target.rstrip('/')}/{t}"
-        read_table(spark, sf_dir, t).write.mode("overwrite").parquet(out)
-        copies[t] = spark.read.parquet(out)
-        widths[t] = len(copies[t].columns)
-    n_columns = F.element_at(F.create_map(*[F.lit(x) for kv in widths.items() for x in kv]), F.col("table_name"))
-    return count_rows(spark, copies).select("table_name", "n_rows", n_columns.alias("n_columns"))
+    target = (target or shared_dir(spark, "table_copy")).rstrip("/")
+    pairs = {}
+    for t in discover_tables(spark, sf_dir):
+        source = read_table(spark, sf_dir, t)
+        source.write.mode("overwrite").parquet(f"{target}/{t}")
+        pairs[t] = (source, spark.read.schema(source.schema).parquet(f"{target}/{t}"))
+    return compare_copies(pairs)
 
 
 def table_copy_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = None,
@@ -199,9 +274,9 @@ FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_o
 WHERE CAST(l_shipdate AS DATE) BETWEEN DATE '1997-07-01' AND DATE '1997-09-30'
   AND lower(p_name) LIKE '%plate%'
 GROUP BY o_custkey, substr(CAST(CAST(l_shipdate AS DATE) AS STRING), 1, 7)""",
-    "signups_by_campaign": """SELECT CAST(substr(props, 7, length(props) - 7) AS BIGINT) AS cmp_id, COUNT(*) AS n_applications
+    "signups_by_campaign": """SELECT TRY_CAST(substr(props, 7, length(props) - 7) AS BIGINT) AS cmp_id, COUNT(*) AS n_applications
 FROM events WHERE event_type = 'signup'
-GROUP BY CAST(substr(props, 7, length(props) - 7) AS BIGINT)""",
+GROUP BY TRY_CAST(substr(props, 7, length(props) - 7) AS BIGINT)""",
     "orders_by_status": """SELECT o_orderstatus AS status, COUNT(*) AS n_orders,
   CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS total
 FROM orders GROUP BY o_orderstatus""",

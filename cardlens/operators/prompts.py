@@ -14,48 +14,42 @@ from pyspark.sql import functions as F
 
 from cardlens.functions.text import token_count
 from cardlens.operators.attempts import attempt_status
-from cardlens.operators.catalog import synonym_card_text
+from cardlens.operators.catalog import schema_text, synonym_card_text
 from cardlens.params import Params
 from cardlens.sources.standins import questions
-from cardlens.sources.tables import read_table
 
-# The tables described in prompts and the prompt texts.
-PROMPT_TABLES = ("lineitem", "orders", "part")
 DIALECT = "Spark SQL"
 
 SQL_TEMPLATE = (
-    "Write one {dialect} statement that answers the question below. "
-    "Return at most {top_k} rows and end the statement with a semicolon.\n"
-    "Tables:\n{table_info}\n"
-    "Column synonyms:\n{synonyms}\n"
-    "Worked examples:\n{few_shots}\n"
-    "Question: {question}\n"
-    "SQLQuery: "
+    "You turn a request about card data into {dialect}. Give exactly one query, closed by a semicolon, "
+    "that yields no more than {max_rows} rows.\n\n"
+    "## Schema, with the first values of each column\n{schema}\n\n"
+    "## Words people use for codes\n{words}\n\n"
+    "## Solved requests\n{examples}\n\n"
+    "## Request\n{ask}\n\n## Query\n"
 )
 
-FEW_SHOTS = (
-    "Question: monthly amount spent by account 7 at merchants named like 'plate' in Q3 1997\n"
-    "SQLQuery: SELECT substr(CAST(CAST(l_shipdate AS DATE) AS STRING), 1, 7) AS month, "
+EXAMPLES = (
+    "Request: how much did account 7 spend each month of Q3 1997 at shops with 'plate' in their name\n"
+    "Query: SELECT substr(CAST(CAST(l_shipdate AS DATE) AS STRING), 1, 7) AS month, "
     "SUM(l_extendedprice) AS total FROM lineitem JOIN part ON l_partkey = p_partkey "
     "JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 7 AND p_name LIKE '%plate%' "
     "AND l_shipdate >= '1997-07-01' AND l_shipdate < '1997-10-01' GROUP BY 1 ORDER BY 1;"
 )
 
 REPAIR_TEMPLATE = (
-    "This statement failed: {sql_query}\n"
-    "Error: {error_message}\n"
-    "Tables:\n{table_info}\n"
-    "Question: {question}\n"
-    "Reply with the corrected statement only, starting with SELECT.\n"
-    "SQLQuery: "
+    "The database refused the query for this request: {ask}\n\n"
+    "## What it said\n{failure}\n\n"
+    "## Refused query\n{statement}\n\n"
+    "## Schema, with the first values of each column\n{schema}\n\n"
+    "Send back a query that runs, and nothing else.\n\n## Query\n"
 )
 
 ANSWER_TEMPLATE = (
-    "Answer the question in plain language from the statement and its result.\n"
-    "Question: {question}\n"
-    "SQL Query: {sql_query}\n"
-    "SQL Result: {sql_result}\n"
-    "Answer: "
+    "Someone asked: {ask}\n\n"
+    "These rows came back:\n{rows}\n\n"
+    "They are the outcome of:\n{statement}\n\n"
+    "Tell them what the rows mean, in a sentence or two.\n"
 )
 
 _SLOT = re.compile(r"\{([a-z_]+)\}")
@@ -76,71 +70,51 @@ def fill(template: str, values: dict[str, Column | str]) -> Column:
     return F.concat(*parts)
 
 
-def table_info(spark: SparkSession, sf_dir: str, tables=PROMPT_TABLES) -> str:
-    """``table(col, col, ...)`` per table from parquet metadata, by table name."""
-    lines = []
-    for t in sorted(tables):
-        cols = read_table(spark, sf_dir, t).columns
-        lines.append(f"{t}({', '.join(cols)})")
-    return "\n".join(lines)
+def sql_prompts(questions: DataFrame, schema: Column, words: Column) -> DataFrame:
+    """R1 over (q_id, question): one SQL-writing prompt per question."""
+    prompt = fill(SQL_TEMPLATE, {"dialect": DIALECT, "max_rows": "1", "schema": schema, "words": words,
+                                 "examples": EXAMPLES, "ask": F.col("question")})
+    return questions.select("q_id", prompt.alias("prompt"))
 
 
-def prompt_table(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    """One SQL-writing prompt per question."""
-    q = questions(spark, sf_dir)
-    syn = synonym_card_text(spark, sf_dir).scalar()
-    prompt = fill(SQL_TEMPLATE, {
-        "dialect": DIALECT, "top_k": str(1), "table_info": table_info(spark, sf_dir),
-        "synonyms": syn, "few_shots": FEW_SHOTS, "question": F.col("question")})
-    return q.select("q_id", "turn", prompt.alias("prompt"))
+def budget_of(prompts: DataFrame, window: int) -> DataFrame:
+    """R2 over (q_id, prompt): words, room left in the context window, and ``fits``,
+    false where the prompt alone exceeds it (the reference logs and drops those)."""
+    out = prompts.select("q_id", token_count(F.col("prompt")).cast("bigint").alias("n_tokens"))
+    room = F.lit(window).cast("bigint") - F.col("n_tokens")
+    return out.select("q_id", "n_tokens", room.alias("room"), (room >= 0).alias("fits"))
 
 
-def prompt_budget(spark: SparkSession, sf_dir: str, p: Params, tokenizer: str = "whitespace") -> DataFrame:
-    """R2: room left in the context window; ``fits`` is false where the prompt
-    alone exceeds it (the reference logs and drops those)."""
-    pr = prompt_table(spark, sf_dir, p)
-    n = token_count(F.col("prompt")) if tokenizer == "whitespace" else _model_tokens(tokenizer)(F.col("prompt"))
-    out = pr.select("q_id", "turn", n.cast("bigint").alias("n_tokens"))
-    room = F.lit(p.context_window).cast("bigint") - F.col("n_tokens")
-    return out.select("q_id", "turn", "n_tokens", room.alias("room"), (room >= 0).alias("fits"))
+def repairs_of(status: DataFrame, questions: DataFrame, schema: Column) -> DataFrame:
+    """A repair prompt per failed attempt, with the attempt's own question; the
+    statement slot gets the statement (the reference put the error text there)."""
+    j = status.where(F.col("status") != "ok").join(questions, "q_id", "inner")
+    sql = F.when(F.col("sql") != "", F.col("sql")).otherwise(F.col("reply"))
+    prompt = fill(REPAIR_TEMPLATE, {"statement": sql, "failure": F.col("result_text"), "schema": schema,
+                                    "ask": F.col("question")})
+    return j.select("q_id", "attempt_no", prompt.alias("prompt"))
 
 
-def _model_tokens(encoding: str):
-    """Token counts with a BPE vocabulary as an Arrow-batched pandas UDF.
+def answers_of(status: DataFrame, questions: DataFrame) -> DataFrame:
+    """An answer prompt per successful attempt, with the attempt's own question."""
+    j = status.where(F.col("status") == "ok").join(questions, "q_id", "inner")
+    prompt = fill(ANSWER_TEMPLATE, {"ask": F.col("question"), "statement": F.col("sql"), "rows": F.col("result_text")})
+    return j.select("q_id", "attempt_no", prompt.alias("prompt"))
 
-    Optional: needs the encoding files to be available locally.
-    """
-    import pandas as pd
 
-    @F.pandas_udf("long")
-    def count(texts: pd.Series) -> pd.Series:
-        import tiktoken
-        enc = tiktoken.get_encoding(encoding)
-        return texts.map(lambda t: len(enc.encode(t or "", disallowed_special=())))
-    return count
+def prompt_table(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    """R1 on the stored questions; the cards describe all tables."""
+    return sql_prompts(questions(spark, sf_dir), schema_text(spark, sf_dir, p).scalar(),
+                       synonym_card_text(spark, sf_dir).scalar())
 
 
-def _with_questions(att: DataFrame, q: DataFrame) -> DataFrame:
-    """The question an attempt answers is the user turn just before it."""
-    return att.join(q, (att.q_id == q.q_id) & (q.turn == att.attempt_no - 1), "inner") \
-        .drop(q.q_id).drop(q.turn)
+def prompt_budget(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    return budget_of(prompt_table(spark, sf_dir, p), p.context_window)
 
 
 def repair_prompts(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    """A repair prompt per failed attempt; the statement slot gets the
-    statement (the reference put the error text there)."""
-    st = attempt_status(spark, sf_dir, p).where(F.col("status") != "ok")
-    j = _with_questions(st, questions(spark, sf_dir))
-    sql = F.when(F.col("sql") != "", F.col("sql")).otherwise(F.col("reply"))
-    prompt = fill(REPAIR_TEMPLATE, {"sql_query": sql, "error_message": F.col("result_text"),
-                                    "table_info": table_info(spark, sf_dir), "question": F.col("question")})
-    return j.select("q_id", "attempt_no", prompt.alias("prompt"))
+    return repairs_of(attempt_status(spark, sf_dir, p), questions(spark, sf_dir), schema_text(spark, sf_dir, p).scalar())
 
 
 def answer_prompts(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    """An answer prompt per successful attempt."""
-    st = attempt_status(spark, sf_dir, p).where(F.col("status") == "ok")
-    j = _with_questions(st, questions(spark, sf_dir))
-    prompt = fill(ANSWER_TEMPLATE, {"question": F.col("question"), "sql_query": F.col("sql"),
-                                    "sql_result": F.col("result_text")})
-    return j.select("q_id", "attempt_no", prompt.alias("prompt"))
+    return answers_of(attempt_status(spark, sf_dir, p), questions(spark, sf_dir))

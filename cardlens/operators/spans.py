@@ -1,8 +1,8 @@
 """Span analytics.
 
 Latency statistics are exact. The median is found from value counts ranked
-in two levels (value buckets, then the values of the middle bucket), so a
-span name with a third of all spans is never ranked in one task.
+in three levels (value buckets, slices of the middle bucket, then the values of
+a slice), so a span name with a third of all spans is never ranked in one task.
 """
 
 from __future__ import annotations
@@ -11,18 +11,29 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cardlens.params import Params
+from cardlens.session import shared_dir
 from cardlens.sources.standins import spans
+from cardlens.sources.traces import nested_records, read_span_lines
 
 TS_TEXT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
-DUR = "decimal(18,2)"
+DUR = "decimal(38,6)"  # milliseconds to the nanosecond
+SLICES = 4096
+
+
+def stored_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans read back from nested records in the shared folder."""
+    path = shared_dir(spark, "traces")
+    nested_records(spans(spark, sf_dir)).write.json(path)
+    return read_span_lines(spark, path)
 
 
 def span_flatten(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    """One flat row per span."""
-    s = spans(spark, sf_dir)
-    return s.select("span_id", "trace_key", "name",
-                    F.date_format("start_ts", TS_TEXT).alias("start_time"),
-                    "duration_ms", "status", "tokens")
+    """One flat row per span of the stored nested records."""
+    s = stored_spans(spark, sf_dir)
+    start = F.timestamp_micros(F.expr("start_ns div 1000"))
+    return s.select(F.col("span_id").cast("bigint").alias("span_id"), F.col("trace_id").cast("bigint").alias("trace_key"),
+                    "name", F.date_format(start, TS_TEXT).alias("start_time"),
+                    "duration_ms", F.col("status_code").alias("status"), "input_tokens", "output_tokens")
 
 
 def _log_bucket(v):
@@ -34,13 +45,16 @@ def _log_bucket(v):
 
 
 def latency_stats(s: DataFrame, key: str = "name", value: str = "duration_ms") -> DataFrame:
-    """n, min, median, mean, max, sum of ``value`` per ``key`` (T1), exact.
+    """n, min, median, mean, max, sum of ``value`` per ``key`` (T1), exact to a
+    nanosecond (six decimals of a millisecond, as spans are stored).
 
     1. values are counted per (key, value) map-side;
     2. counts are summed per (key, bucket) and ranked over the few hundred
        buckets of a key, which locates the bucket of each middle rank;
-    3. only the values of those (at most two) buckets are ranked.
-    No task sees all values of a key.
+    3. those (at most two) buckets are cut in ``SLICES`` equal slices each, which
+       are ranked in the same way;
+    4. only the values of the slices that hold a middle rank are ranked.
+    No task sees all values of a key: a slice is 4.4 % / ``SLICES`` of a value wide.
     """
     d = s.select(key, F.col(value).cast(DUR).alias("v")).where(F.col("v").isNotNull())
     counts = d.groupBy(key, "v").agg(F.count("*").alias("c")).withColumn("b", _log_bucket(F.col("v")))
@@ -48,27 +62,36 @@ def latency_stats(s: DataFrame, key: str = "name", value: str = "duration_ms") -
         F.sum("c").alias("bc"), F.min("v").alias("bmin"), F.max("v").alias("bmax"),
         F.sum(F.col("v") * F.col("c")).alias("bsum"))
     w_prev = Window.partitionBy(key).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(key)
     ranked = buckets.select(key, "b", "bc", "bmin", "bmax", "bsum",
                             F.coalesce(F.sum("bc").over(w_prev), F.lit(0)).alias("before"),
-                            F.sum("bc").over(w_all).alias("n"))
+                            F.sum("bc").over(Window.partitionBy(key)).alias("n"))
     lo = F.floor((F.col("n") - 1) / 2) + 1
     hi = F.floor(F.col("n") / 2) + 1
 
-    def holds(r):
-        return (F.col("before") < r) & (r <= F.col("before") + F.col("bc"))
-
-    targets = ranked.where(holds(lo) | holds(hi)).select(key, "b", "before", "n")
-    inside = counts.join(targets, [key, "b"], "inner")
-    w_in = Window.partitionBy(key, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = inside.withColumn("cum", F.col("before") + F.sum("c").over(w_in))
+    def holds(r, c):
+        return (F.col("before") < r) & (r <= F.col("before") + F.col(c))
+
+    targets = ranked.where(holds(lo, "bc") | holds(hi, "bc")).select(key, "b", "before", "n", "bmin", "bmax")
+    wide = F.greatest((F.col("bmax") - F.col("bmin")).cast("double"), F.lit(1e-9))
+    inside = counts.join(targets, [key, "b"], "inner").withColumn(
+        "slice", F.floor((F.col("v") - F.col("bmin")).cast("double") / wide * SLICES).cast("int"))
+    slices = inside.groupBy(key, "b", "slice").agg(
+        F.sum("c").alias("sc"), F.max("n").alias("n"), F.max("before").alias("first"))
+    w_slice = Window.partitionBy(key, "b").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("before", F.col("first") + F.coalesce(F.sum("sc").over(w_slice), F.lit(0)))
+    slices = slices.where(holds(lo, "sc") | holds(hi, "sc")).select(
+        key, "b", "slice", F.col("before").alias("slice_before"))
+    w_in = Window.partitionBy(key, "b", "slice").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.join(slices, [key, "b", "slice"], "inner").withColumn(
+        "cum", F.col("slice_before") + F.sum("c").over(w_in))
+    # a value holds the ranks after the count before it, up to the count through it
     mid = inside.groupBy(key).agg(
         F.min(F.when(F.col("cum") >= lo, F.col("v"))).alias("vlo"),
         F.min(F.when(F.col("cum") >= hi, F.col("v"))).alias("vhi"))
     tot = ranked.groupBy(key).agg(
         F.max("n").alias("n"), F.min("bmin").alias("vmin"), F.max("bmax").alias("vmax"),
         F.sum("bsum").alias("vsum"))
-    g = tot.join(mid, key, "inner")
+    g = tot.join(mid, tot[key].eqNullSafe(mid[key]), "inner").drop(mid[key])
     return g.select(
         key, F.col("n").alias("n_spans"),
         F.col("vmin").cast("double").alias("min_ms"),
@@ -82,14 +105,18 @@ def span_latency(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
     return latency_stats(spans(spark, sf_dir))
 
 
-def token_usage(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    """Calls and tokens per model (span name on the stand-in)."""
-    s = spans(spark, sf_dir)
+def usage_of(s: DataFrame) -> DataFrame:
+    """T2 over flat spans: calls, input and output tokens per model (the span's name)."""
+    total = F.col("input_tokens") + F.col("output_tokens")
     return s.groupBy(F.col("name").alias("model")).agg(
         F.count("*").alias("n_calls"),
-        F.sum("tokens").alias("total_tokens"),
-        F.max("tokens").alias("max_tokens"),
-        F.sum(F.when(F.col("status") == "ERROR", 1).otherwise(0)).alias("n_errors"))
+        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        F.sum(total).alias("total_tokens"), F.max(total).alias("max_tokens"),
+        F.sum(F.when(F.col("status_code") == "ERROR", 1).otherwise(0)).alias("n_errors"))
+
+
+def token_usage(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    return usage_of(stored_spans(spark, sf_dir))
 
 
 OPEN_SPAN = "signup"

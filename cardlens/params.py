@@ -21,7 +21,7 @@ class Params:
     start: str = "1997-07-01"
     end: str = "1997-09-30"
     merchant: str = "plate"
-    account: int | None = None
+    account: int | str | None = None  # text where leading zeros matter
     # "today" of the reference (SQLite 'now'), always explicit here
     as_of: str = "1997-09-15"
     # the service whose monthly limit is asked about
@@ -53,7 +53,7 @@ class Params:
     promo_chunk_parts: int = 512
     message_chunk_docs: int = 32
     # prompts and attempts
-    context_window: int = 4096
+    context_window: int = 850
     retry_budget: int = 6
     display_chars: int = 300
     # span episodes: time bucket used to split a user's timeline (skew guard)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from cardlens.functions.text import SQL_PATTERN, TOKEN_PATTERN
-from cardlens.operators.catalog import NAMED_SQL
-from cardlens.operators.prompts import (ANSWER_TEMPLATE, DIALECT, FEW_SHOTS, PROMPT_TABLES,
-                                        REPAIR_TEMPLATE, SQL_TEMPLATE, _SLOT)
+from cardlens.operators.attempts import CHUNK_CHARS
+from cardlens.operators.catalog import NAMED_SQL, SAMPLE_CHARS, SAMPLE_ROWS
+from cardlens.operators.prompts import (ANSWER_TEMPLATE, DIALECT, EXAMPLES, REPAIR_TEMPLATE,
+                                        SQL_TEMPLATE, _SLOT)
 from cardlens.params import Params
 from cardlens.sources.tables import TABLES
 from cardlens.plans.oracle import with_
@@ -34,12 +35,61 @@ def largest_table(p: Params) -> str:
 ORDER BY fallback, n_rows DESC, table_name LIMIT 1"""
 
 
+# Columns and types of the test tables.
+COLUMNS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                "l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "pages": "page_id bigint, url string, html string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+}
+
+
+def _value_text(c: str, kind: str) -> str:
+    if kind == "double":
+        c = f"CAST(CAST({c} AS DECIMAL(38,6)) AS VARCHAR)"
+    elif kind == "timestamp_ntz":
+        c = f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+    elif kind == "array<float>":
+        c = f"array_to_string([CAST(CAST(x AS DECIMAL(38,6)) AS VARCHAR) FOR x IN {c}[1:4]], ',')"
+    else:
+        c = f"CAST({c} AS VARCHAR)"
+    return f"COALESCE(substr({c}, 1, {SAMPLE_CHARS}), 'NULL')"
+
+
+def _card_cte() -> str:
+    parts = []
+    for t, text in COLUMNS.items():
+        cols = [c.split(" ") for c in text.split(", ")]
+        order = ", ".join(f"{c} NULLS FIRST" for c, _ in cols)
+        values = ", ".join(
+            f"{{'ordinal': {i}, 'column_name': '{c}', 'data_type': '{k}', 'samples': list({_value_text(c, k)} ORDER BY {order})}}"
+            for i, (c, k) in enumerate(cols, start=1))
+        parts.append(f"SELECT '{t}' AS table_name, unnest([{values}]) AS u FROM "
+                     f"(SELECT * FROM {t} ORDER BY {order} LIMIT {SAMPLE_ROWS}) x")
+    return "card AS (SELECT table_name, CAST(u.ordinal AS INTEGER) AS ordinal, u.column_name, u.data_type, u.samples FROM (\n" \
+        + "\nUNION ALL\n".join(parts) + ") c)"
+
+
 def schema_card(p: Params) -> str:
-    return f"""SELECT table_name, CAST(ordinal_position AS INTEGER) AS ordinal, column_name,
-  CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string'
-    WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'FLOAT[]' THEN 'array<float>'
-    ELSE lower(data_type) END AS data_type
-FROM information_schema.columns WHERE table_name IN ({_in(TABLES)})"""
+    return with_(_card_cte()) + "SELECT * FROM card"
+
+
+def schema_samples(p: Params) -> str:
+    return with_(_card_cte()) + """SELECT table_name, column_name, CAST(i AS INTEGER) AS place, samples[i + 1] AS value
+FROM (SELECT *, unnest(range(len(samples))) AS i FROM card) c"""
 
 
 META_CTES = """meta_nation AS (
@@ -51,7 +101,7 @@ meta_region AS (
          CASE WHEN r_regionkey = 0 THEN '' ELSE lower(r_name) END AS synonyms FROM region),
 syn_lines AS (
   SELECT table_name, code, name, synonyms,
-         table_name || ' ' || name || ' (Code: ' || code || '), Synonyms: ' || synonyms AS line
+         table_name || ' ' || COALESCE(name, '') || ' (Code: ' || COALESCE(code, '') || '), Synonyms: ' || synonyms AS line
   FROM (SELECT 'meta_nation' AS table_name, * FROM meta_nation
         UNION ALL SELECT 'meta_region' AS table_name, * FROM meta_region) u
   WHERE synonyms IS NOT NULL AND length(synonyms) > 0)"""
@@ -63,9 +113,8 @@ def synonym_card(p: Params) -> str:
 
 def table_copy(p: Params) -> str:
     return "\nUNION ALL\n".join(
-        f"""SELECT '{t}' AS table_name, COUNT(*) AS n_rows,
-  (SELECT CAST(COUNT(*) AS INTEGER) FROM information_schema.columns WHERE table_name = '{t}') AS n_columns FROM {t}"""
-        for t in TABLES)
+        f"SELECT '{t}' AS table_name, COUNT(*) AS n_rows, {len(text.split(', '))} AS n_columns, TRUE AS equal FROM {t}"
+        for t, text in COLUMNS.items())
 
 
 def run_named_sql(p: Params) -> str:
@@ -87,19 +136,20 @@ def fill(template: str, values: dict[str, str]) -> str:
     return " || ".join(parts)
 
 
-TABLE_INFO = f"""(SELECT string_agg(line, chr(10) ORDER BY table_name) FROM (
-  SELECT table_name, table_name || '(' || string_agg(column_name, ', ' ORDER BY ordinal_position) || ')' AS line
-  FROM information_schema.columns WHERE table_name IN ({_in(PROMPT_TABLES)}) GROUP BY table_name) ti)"""
+TABLE_INFO = """(SELECT string_agg(line, chr(10) ORDER BY table_name) FROM (
+  SELECT table_name, table_name || '(' || string_agg(column_name || ' ' || data_type || ': ' || array_to_string(samples, ' | '),
+    ', ' ORDER BY ordinal) || ')' AS line FROM card GROUP BY table_name) ti)"""
 
 QUESTIONS_CTE = """questions AS (
-  SELECT conv_id AS q_id, turn, text AS question FROM conversations WHERE role = 'user')"""
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn // 4 AS VARCHAR) AS q_id, text AS question
+  FROM conversations WHERE role = 'user' AND turn % 4 = 0)"""
 
 
 def _prompts_sql() -> str:
     syn = "(SELECT string_agg(line, chr(10) ORDER BY table_name, code) FROM syn_lines)"
-    prompt = fill(SQL_TEMPLATE, {"dialect": lit(DIALECT), "top_k": "'1'", "table_info": TABLE_INFO,
-                                 "synonyms": syn, "few_shots": lit(FEW_SHOTS), "question": "question"})
-    return with_(META_CTES, QUESTIONS_CTE) + f"SELECT q_id, turn, {prompt} AS prompt FROM questions"
+    prompt = fill(SQL_TEMPLATE, {"dialect": lit(DIALECT), "max_rows": "'1'", "schema": TABLE_INFO,
+                                 "words": syn, "examples": lit(EXAMPLES), "ask": "question"})
+    return with_(META_CTES, _card_cte(), QUESTIONS_CTE) + f"SELECT q_id, {prompt} AS prompt FROM questions"
 
 
 def prompt_table(p: Params) -> str:
@@ -107,14 +157,14 @@ def prompt_table(p: Params) -> str:
 
 
 def prompt_budget(p: Params) -> str:
-    return f"""SELECT q_id, turn, n_tokens, {int(p.context_window)} - n_tokens AS room,
+    return f"""SELECT q_id, n_tokens, {int(p.context_window)} - n_tokens AS room,
   {int(p.context_window)} - n_tokens >= 0 AS fits
-FROM (SELECT q_id, turn, CAST(len(regexp_extract_all(prompt, {lit(TOKEN_PATTERN)})) AS BIGINT) AS n_tokens
+FROM (SELECT q_id, CAST(len(regexp_extract_all(prompt, {lit(TOKEN_PATTERN)})) AS BIGINT) AS n_tokens
       FROM ({_prompts_sql()}) pr) x"""
 
 
 ATTEMPTS_CTE = r"""attempts AS (
-  SELECT conv_id AS q_id, turn AS attempt_no,
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn // 4 AS VARCHAR) AS q_id, turn % 4 // 2 + 1 AS attempt_no,
     CASE (conv_id + turn) % 4
       WHEN 0 THEN 'SELECT count(*) AS n FROM lineitem WHERE l_orderkey = ' || CAST(conv_id AS VARCHAR) || ';'
       WHEN 1 THEN regexp_extract(text, '^([^\n]*)', 1) || chr(10) || chr(10) || 'SQLQuery: SELECT count(*) AS n FROM orders WHERE o_custkey = ' || CAST(conv_id AS VARCHAR) || ';'
@@ -171,21 +221,19 @@ FROM status GROUP BY attempt_no, status"""
 
 
 def _join_q(where: str) -> str:
-    return f"""FROM status s JOIN questions q ON s.q_id = q.q_id AND q.turn = s.attempt_no - 1
+    return f"""FROM status s JOIN questions q ON s.q_id = q.q_id
 WHERE {where}"""
 
 
 def repair_prompts(p: Params) -> str:
-    prompt = fill(REPAIR_TEMPLATE, {"sql_query": "CASE WHEN s.sql <> '' THEN s.sql ELSE s.reply END",
-                                    "error_message": "s.result_text", "table_info": TABLE_INFO,
-                                    "question": "q.question"})
-    return with_(ATTEMPTS_CTE, STATUS_CTE, QUESTIONS_CTE) + \
+    prompt = fill(REPAIR_TEMPLATE, {"statement": "CASE WHEN s.sql <> '' THEN s.sql ELSE s.reply END",
+                                    "failure": "s.result_text", "schema": TABLE_INFO, "ask": "q.question"})
+    return with_(ATTEMPTS_CTE, STATUS_CTE, QUESTIONS_CTE, _card_cte()) + \
         f"SELECT s.q_id, s.attempt_no, {prompt} AS prompt " + _join_q("s.status <> 'ok'")
 
 
 def answer_prompts(p: Params) -> str:
-    prompt = fill(ANSWER_TEMPLATE, {"question": "q.question", "sql_query": "s.sql",
-                                    "sql_result": "s.result_text"})
+    prompt = fill(ANSWER_TEMPLATE, {"ask": "q.question", "statement": "s.sql", "rows": "s.result_text"})
     return with_(ATTEMPTS_CTE, STATUS_CTE, QUESTIONS_CTE) + \
         f"SELECT s.q_id, s.attempt_no, {prompt} AS prompt " + _join_q("s.status = 'ok'")
 
@@ -197,8 +245,11 @@ FROM conversations WHERE role = 'assistant'"""
 
 
 def chunk_join(p: Params) -> str:
-    return f"""SELECT conv_id, COUNT(*) AS n_chunks, trim(string_agg(text, '' ORDER BY turn), {TRIM}) AS answer
-FROM conversations WHERE role = 'assistant' AND trim(text, {TRIM}) <> '' GROUP BY conv_id"""
+    n = CHUNK_CHARS
+    return f"""SELECT conv_id, turn, CAST(len(kept) AS BIGINT) AS n_chunks, trim(array_to_string(kept, ''), {TRIM}) AS answer
+FROM (SELECT conv_id, turn, [c FOR c IN [substr(text, {n} * i + 1, {n}) FOR i IN range(CAST(ceil(length(text) / {n}.0) AS BIGINT))]
+        IF trim(c, {TRIM}) <> ''] AS kept FROM conversations WHERE role = 'assistant') x
+WHERE len(kept) > 0"""
 
 
 def display_truncate(p: Params) -> str:
@@ -211,20 +262,20 @@ FROM documents"""
 SPANS_CTE = """spans AS (
   SELECT event_id AS span_id, user_id AS trace_key, event_type AS name, ts AS start_ts,
          value AS duration_ms, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS status,
-         CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS input_tokens, event_id % 50 AS output_tokens
   FROM events)"""
 
 
 def span_flatten(p: Params) -> str:
     return with_(SPANS_CTE) + f"""SELECT span_id, trace_key, name, strftime(start_ts, {TS}) AS start_time,
-  duration_ms, status, tokens FROM spans"""
+  duration_ms, status, input_tokens, output_tokens FROM spans"""
 
 
 def span_latency(p: Params) -> str:
     return with_(SPANS_CTE) + """, r AS (
   SELECT name, v, row_number() OVER (PARTITION BY name ORDER BY v) AS rn,
          COUNT(*) OVER (PARTITION BY name) AS n
-  FROM (SELECT name, CAST(duration_ms AS DECIMAL(18,2)) AS v FROM spans WHERE duration_ms IS NOT NULL) s)
+  FROM (SELECT name, CAST(duration_ms AS DECIMAL(38,6)) AS v FROM spans WHERE duration_ms IS NOT NULL) s)
 SELECT name, COUNT(*) AS n_spans, CAST(MIN(v) AS DOUBLE) AS min_ms,
   (CAST(MIN(CASE WHEN rn = (n - 1) // 2 + 1 THEN v END) AS DOUBLE)
    + CAST(MIN(CASE WHEN rn = n // 2 + 1 THEN v END) AS DOUBLE)) / 2.0 AS median_ms,
@@ -234,8 +285,9 @@ FROM r GROUP BY name"""
 
 
 def token_usage(p: Params) -> str:
-    return with_(SPANS_CTE) + """SELECT name AS model, COUNT(*) AS n_calls, CAST(SUM(tokens) AS BIGINT) AS total_tokens,
-  MAX(tokens) AS max_tokens, CAST(SUM(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) AS BIGINT) AS n_errors
+    return with_(SPANS_CTE) + """SELECT name AS model, COUNT(*) AS n_calls, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens,
+  CAST(SUM(output_tokens) AS BIGINT) AS output_tokens, CAST(SUM(input_tokens + output_tokens) AS BIGINT) AS total_tokens,
+  MAX(input_tokens + output_tokens) AS max_tokens, CAST(SUM(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) AS BIGINT) AS n_errors
 FROM spans GROUP BY name"""
 
 
@@ -246,6 +298,6 @@ def episodes(p: Params) -> str:
   FROM spans)
 SELECT trace_key, episode_no, COUNT(*) AS n_spans,
   strftime(MIN(start_ts), {TS}) AS first_time, strftime(MAX(start_ts), {TS}) AS last_time,
-  CAST(SUM(CAST(duration_ms AS DECIMAL(18,2))) AS DOUBLE) AS total_ms,
+  CAST(SUM(CAST(duration_ms AS DECIMAL(38,6))) AS DOUBLE) AS total_ms,
   CAST(SUM(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) AS BIGINT) AS n_errors
 FROM e GROUP BY trace_key, episode_no"""

@@ -63,7 +63,7 @@ REGISTRY: dict[str, tuple[SparkFn, OracleFn | None]] = {
     "table_profile": (catalog.table_profile, ol.table_profile),
     "largest_table": (catalog.largest_table, ol.largest_table),
     "schema_card": (catalog.schema_card, ol.schema_card),
-    "schema_samples": (catalog.schema_samples, None),
+    "schema_samples": (catalog.schema_samples, ol.schema_samples),
     "synonym_card": (catalog.synonym_card, ol.synonym_card),
     "table_copy": (catalog.table_copy, ol.table_copy),
     "run_named_sql": (catalog.run_named_sql, ol.run_named_sql),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
 
+# The tables of the test data.
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -16,41 +18,48 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-# Schemas already read, per application and path. Inferring a parquet schema
-# reads a footer in a Spark job of its own; as a metastore table does, the
-# schema is read once and later scans are planned against it.
-_SCHEMAS: dict[tuple[str, str], StructType] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Full-table scan (S4); Catalyst prunes columns and pushes filters."""
-    path = table_path(sf_dir, name)
-    key = (spark.sparkContext.applicationId, path)
-    schema = _SCHEMAS.get(key)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[key] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.parquet(table_path(sf_dir, name))
+
+
+def discover_tables(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Names of all parquet tables in a folder, listed through Hadoop's file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [f.getPath().getName() for f in found]
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
+
+
+def chosen_tables(spark: SparkSession, sf_dir: str, include: tuple[str, ...] | list[str] | None = None) -> list[str]:
+    """All tables of the folder, or the included ones (S2); an unknown name is an error."""
+    names = discover_tables(spark, sf_dir)
+    unknown = sorted(set(include or ()) - set(names))
+    if unknown:
+        raise ValueError(f"no table named {', '.join(unknown)} in {sf_dir}")
+    return [n for n in names if include is None or n in include]
 
 
 def register_views(spark: SparkSession, sf_dir: str,
                    include: tuple[str, ...] | list[str] | None = None) -> list[str]:
     """Register one temp view per table; ``include`` restricts the set."""
-    names = [t for t in TABLES if include is None or t in include]
+    names = chosen_tables(spark, sf_dir, include)
     for name in names:
         read_table(spark, sf_dir, name).createOrReplaceTempView(name)
     return names
 
 
+def like(pattern: str, names: list[str]) -> list[str]:
+    """The names matching a case-insensitive LIKE pattern (S3): only % and _ are special."""
+    rx = re.compile("".join(".*" if c == "%" else "." if c == "_" else re.escape(c) for c in pattern),
+                    re.IGNORECASE | re.DOTALL)
+    return [n for n in names if rx.fullmatch(n)]
+
+
 def list_tables(spark: SparkSession, pattern: str | None = None) -> list[str]:
     """Catalogue listing (S1), optionally by a case-insensitive LIKE pattern (S3)."""
     names = sorted(t.name for t in spark.catalog.listTables())
-    if pattern is None:
-        return names
-    import fnmatch
-    glob = pattern.replace("%", "*").replace("_", "?").lower()
-    return [n for n in names if fnmatch.fnmatchcase(n.lower(), glob)]
+    return names if pattern is None else like(pattern, names)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, *, partition_column: str | None = None,

@@ -39,11 +39,21 @@ ATTR_OUTPUTS = "mlflow.spanOutputs"
 
 
 def read_spans(spark: SparkSession, artifacts_glob: str) -> DataFrame:
-    """Flat spans: one row per span with its trace folder as ``request_id``."""
+    """Flat spans of trace files: one row per span with its trace folder as ``request_id``."""
     raw = (spark.read.schema(TRACE).option("multiLine", "true").json(artifacts_glob)
-           .withColumn("path", F.input_file_name()))
-    req = F.regexp_extract("path", r"/([0-9a-f]{32})/artifacts/", 1)
-    sp = raw.select(req.alias("request_id"), F.explode("spans").alias("s"))
+           .withColumn("request_id", F.regexp_extract("_metadata.file_path", r"/([0-9a-f]{32})/artifacts/", 1)))
+    return flat_spans(raw)
+
+
+def read_span_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Flat spans of nested records stored one to a line, each with its ``request_id``."""
+    line = T.StructType([T.StructField("request_id", T.StringType()), *TRACE.fields])
+    return flat_spans(spark.read.schema(line).json(path))
+
+
+def flat_spans(raw: DataFrame) -> DataFrame:
+    """One row per span of nested records (request_id, spans)."""
+    sp = raw.select("request_id", F.explode("spans").alias("s"))
     attr = F.col("s.attributes")
     out_json = attr.getItem(ATTR_OUTPUTS)
     return sp.select(
@@ -64,6 +74,28 @@ def read_spans(spark: SparkSession, artifacts_glob: str) -> DataFrame:
     )
 
 
+RECORD_SPANS = 500  # spans of a nested record, about
+
+
+def nested_records(spans: DataFrame) -> DataFrame:
+    """Spans as nested records, one or more per (key, hour); the stand-in's way to the
+    stored form. Spans of a busy hour are dealt out to records by a hash of their id."""
+    hour = F.date_format("start_ts", "yyyyMMddHH")
+    key = F.concat(F.col("trace_key").cast("string"), F.lit("-"), hour)
+    s = spans.withColumn("record", key)
+    n = s.groupBy("record").agg(F.count("*").alias("n"))
+    s = s.join(n, "record").withColumn("block", F.pmod(F.xxhash64("span_id"), F.ceil(F.col("n") / RECORD_SPANS)))
+    start = F.unix_micros(F.col("start_ts").cast("timestamp")) * 1000
+    end = start + F.round(F.col("duration_ms") * 1_000_000).cast("bigint")
+    usage = F.to_json(F.struct(F.struct(F.struct("input_tokens", "output_tokens").alias("usage")).alias("llm_output")))
+    span = F.struct(
+        "name", F.struct(F.col("span_id").cast("string").alias("span_id"), F.col("trace_key").cast("string").alias("trace_id")).alias("context"),
+        start.alias("start_time"), end.alias("end_time"), F.col("status").alias("status_code"),
+        F.create_map(F.lit(ATTR_OUTPUTS), usage).alias("attributes"))
+    return s.groupBy("record", "block").agg(F.collect_list(span).alias("spans")).select(
+        F.concat("record", F.lit("-"), F.col("block").cast("string")).alias("request_id"), "spans")
+
+
 def read_trace_info(spark: SparkSession, info_glob: str) -> DataFrame:
     """``trace_info.yaml`` files as one row each (whole-text read + regex)."""
     raw = spark.read.text(info_glob, wholetext=True)
@@ -107,8 +139,8 @@ def sql_attempts_from_spans(spans: DataFrame, tool: str = "sql_db_query") -> Dat
 def read_trace_names(spark: SparkSession, tags_glob: str) -> DataFrame:
     """(request_id, trace_name) from the per-trace name tag files
     (``<root>/<request_id>/tags/<name tag>``), one whole-text file each."""
-    raw = spark.read.text(tags_glob, wholetext=True).withColumn("path", F.input_file_name())
-    return raw.select(F.regexp_extract("path", r"/([0-9a-f]{32})/tags/", 1).alias("request_id"),
+    raw = spark.read.text(tags_glob, wholetext=True)
+    return raw.select(F.regexp_extract("_metadata.file_path", r"/([0-9a-f]{32})/tags/", 1).alias("request_id"),
                       F.trim(F.col("value")).alias("trace_name"))
 
 

@@ -39,8 +39,8 @@ def test_sum_of_no_rows_is_null(spark):
 
 
 def test_bad_date_gives_null_month(spark):
-    assert one(spark, parse_ymd(F.lit("20240931"))) is None
-    assert one(spark, month_by_substr(F.lit("20240931"))) == "2024-09"
+    assert one(spark, parse_ymd(F.lit("20230431"))) is None
+    assert one(spark, month_by_substr(F.lit("20230431"))) == "2023-04"
 
 
 def test_trim_and_truncate(spark):
@@ -55,8 +55,8 @@ def test_token_count_whitespace(spark):
 
 @pytest.mark.parametrize("reply,sql", [
     ("SELECT a FROM t;", "SELECT a FROM t;"),
-    ("Let me help you.\n\nSQLQuery: \nSELECT a\nFROM t;\n\nThe query will:", "SELECT a\nFROM t;"),
-    ("Let me help.\n\nSQLQuery: \n```sql\nSELECT a FROM t;\n```", "SELECT a FROM t;"),
+    ("Sure thing.\n\nSQLQuery: \nSELECT a\nFROM t;\n\nIt lists a.", "SELECT a\nFROM t;"),
+    ("As asked.\n\nSQLQuery: \n```sql\nSELECT a FROM t;\n```", "SELECT a FROM t;"),
     ("Here it is:\nWITH x AS (SELECT 1) SELECT * FROM x", "WITH x AS (SELECT 1) SELECT * FROM x"),
     ("I will select the rows with care.", ""),  # prose 'select'/'with' is not a statement
 ])
@@ -133,13 +133,13 @@ def test_repeated_service_code_gives_one_limit(spark):
     from cardlens.operators import discounts
     from cardlens.sources.cards import RecordCards
     c = FX.cards(spark)
-    dup = RecordCards(c.billing_df, spark.createDataFrame([("SV1", 20000), ("SV1", 15000)], "SV_C string, MLIM_AM long"),
+    dup = RecordCards(c.billing_df, spark.createDataFrame([("S1", 10000), ("S1", 7000)], "SV_C string, MLIM_AM long"),
                       c.promotions_df, c.messages_df)
     got = {r["acct"]: json.loads(r["discount_info"]) for r in discounts.discount_info(dup, FX.params()).collect()}
-    assert got["1001"]["discount_limit"] == 20000.0
-    missing = FX.params(service="SV9")
+    assert got["0042"]["discount_limit"] == 10000.0
+    missing = FX.params(service="S9")
     got = {r["acct"]: json.loads(r["discount_info"]) for r in discounts.discount_info(c, missing).collect()}
-    assert got["1001"]["discount_limit"] is None and got["1001"]["remaining_limit"] is None
+    assert got["0042"]["discount_limit"] is None and got["0042"]["remaining_limit"] is None
 
 
 def test_budget_and_repair_prompt_slots(spark):
@@ -150,6 +150,40 @@ def test_budget_and_repair_prompt_slots(spark):
     roomy = prompts.prompt_budget(spark, SMALL, Params(context_window=10 ** 6))
     assert roomy.where(~F.col("fits")).count() == 0
     rp = prompts.repair_prompts(spark, SMALL, Params()).first()["prompt"]
-    stmt = rp.split("This statement failed: ", 1)[1].split("\n", 1)[0]
+    stmt = rp.split("## Refused query\n", 1)[1].split("\n", 1)[0]
     assert not stmt.startswith("Error:")  # the statement, not the error text
-    assert "\nError: Error: (sqlite3.OperationalError)" in rp
+    assert "## What it said\nError: (sqlite3.OperationalError)" in rp
+
+
+def test_budget_refuses_some_stored_questions(spark):
+    from cardlens.operators import prompts
+    from conftest import MEDIUM
+    fits = {r["fits"]: r["count"] for r in prompts.prompt_budget(spark, MEDIUM, Params()).groupBy("fits").count().collect()}
+    assert fits[True] > 0 and fits[False] > 0
+
+
+def test_prompts_keep_the_question_of_a_retry(spark):
+    from cardlens.operators import prompts
+    st = status_of(_attempts(spark))
+    questions = spark.createDataFrame(FX.QUESTIONS, "q_id string, question string")
+    card = F.lit("t(x int: 1)")
+    rep = {(r["q_id"], r["attempt_no"]): r["prompt"] for r in prompts.repairs_of(st, questions, card).collect()}
+    assert set(rep) == {("a", 1), ("b", 1), ("c", 1), ("c", 2), ("d", 1), ("e", 1), ("e", 2)}
+    assert "request e" in rep[("e", 2)] and "SELECT v FROM t;" in rep[("e", 2)]
+    ans = {(r["q_id"], r["attempt_no"]): r["prompt"] for r in prompts.answers_of(st, questions).collect()}
+    assert set(ans) == {("a", 2), ("b", 2), ("c", 3), ("d", 2), ("e", 3)} and "request c" in ans[("c", 3)]
+
+
+def test_stored_attempts_have_retries(spark):
+    from cardlens.operators.attempts import attempt_outcome
+    from conftest import MEDIUM
+    out = attempt_outcome(spark, MEDIUM, Params())
+    assert out.where("n_attempts > 1").count() > 0 and out.where("first_ok_attempt = 2").count() > 0
+
+
+def test_reply_chunks_join_again(spark):
+    from cardlens.operators.attempts import join_chunks
+    rows = [(1, 1, 0, " a"), (1, 1, 2, "c "), (1, 1, 1, "b"), (1, 1, 3, " \n"), (1, 3, 0, "other"), (2, 1, 0, "  ")]
+    got = {(r["conv_id"], r["turn"]): (r["n_chunks"], r["answer"]) for r in join_chunks(
+        spark.createDataFrame(rows, "conv_id long, turn long, chunk_no int, chunk string")).collect()}
+    assert got == {(1, 1): (3, "abc"), (1, 3): (1, "other")}

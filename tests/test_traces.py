@@ -1,4 +1,4 @@
-"""Streaming latency sink and the trace-file reader."""
+"""The reader of trace files and of nested span records."""
 
 import json
 import os
@@ -8,30 +8,10 @@ from pyspark.sql import functions as F
 
 from cardlens.sources import standins
 from cardlens.sources.traces import read_spans, read_trace_info, read_traces, trace_index
-from cardlens.streaming.spans_stream import span_stream, start_latency_sink, windowed_latency
 from conftest import SMALL
 
 
-def test_stream_totals_match_batch(spark):
-    base = tempfile.mkdtemp(prefix="cardlens-stream-")
-    src = os.path.join(base, "in")
-    sp = standins.spans(spark, SMALL)
-    # two batches of files, the second arriving after the first has been read
-    sp.where(F.col("span_id") < 500).write.parquet(src + "/a")
-    sp.where(F.col("span_id") >= 500).write.parquet(src + "/b")
-    stream = span_stream(spark, src + "/*", max_files_per_trigger=1)
-    q = start_latency_sink(windowed_latency(stream, "1 day", "0 seconds"),
-                           os.path.join(base, "out"), os.path.join(base, "ckpt"), available_now=True)
-    q.awaitTermination(300)
-    out = spark.read.parquet(os.path.join(base, "out"))
-    got = out.agg(F.sum("n_spans").alias("n"), F.sum("tokens").alias("t")).first()
-    want = sp.where(F.col("start_ts") < F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00'")) \
-        .agg(F.count("*").alias("n"), F.sum("tokens").alias("t")).first()
-    # windows still open at the end of the data are not emitted in append mode
-    assert got["n"] >= want["n"] > 0
-    assert got["n"] <= sp.count()
-
-
+# Field names and attribute keys of the trace file format.
 def _write_trace(root, req, spans, info):
     d = os.path.join(root, "artifacts", req, "artifacts")
     os.makedirs(d)
@@ -87,9 +67,25 @@ def test_trace_reader(spark):
 def test_statement_text_of_tool_spans(spark):
     from cardlens.functions.text import extract_sql
     from cardlens.sources.traces import sql_attempts_from_spans
-    sent = json.dumps("{'query': \"Let me help.\\n\\nSQLQuery: SELECT a\\nFROM t WHERE b = 'x';\"}")
-    df = spark.createDataFrame([("r", 1, "sql_db_query", sent, json.dumps("Error: near \"Let\": syntax error"))],
+    sent = json.dumps("{'query': \"As asked.\\n\\nSQLQuery: SELECT a\\nFROM t WHERE b = 'x';\"}")
+    df = spark.createDataFrame([("r", 1, "sql_db_query", sent, json.dumps("Error: near \"As\": syntax error"))],
                                "request_id string, start_ns long, name string, inputs string, outputs string")
     r = sql_attempts_from_spans(df).select("sent_text", extract_sql(F.col("sent_text")).alias("sql")).first()
-    assert r["sent_text"].startswith("Let me help.\n\nSQLQuery: ")
+    assert r["sent_text"].startswith("As asked.\n\nSQLQuery: ")
     assert r["sql"] == "SELECT a\nFROM t WHERE b = 'x';"
+
+
+def test_nested_records_are_bounded_and_whole(spark, monkeypatch):
+    import cardlens.sources.traces as traces
+    monkeypatch.setattr(traces, "RECORD_SPANS", 10)
+    sp = standins.spans(spark, SMALL).withColumn("trace_key", F.lit(1)).withColumn(
+        "start_ts", F.expr("TIMESTAMP_NTZ '2024-01-01 10:30:00'"))  # one busy hour
+    rec = traces.nested_records(sp)
+    sizes = [r["n"] for r in rec.select(F.size("spans").alias("n")).collect()]
+    assert sum(sizes) == sp.count() and max(sizes) < 40
+    path = tempfile.mkdtemp(prefix="cardlens-nested-") + "/t"
+    rec.write.json(path)
+    flat = traces.read_span_lines(spark, path)
+    want = sp.agg(F.sum("duration_ms").alias("d"), F.sum("input_tokens").alias("i")).first()
+    got = flat.agg(F.sum("duration_ms").alias("d"), F.sum("input_tokens").alias("i")).first()
+    assert abs(got["d"] - want["d"]) < 1e-6 and got["i"] == want["i"]
