@@ -442,8 +442,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
         log_c, log_alpha = alpha.value
         for batch in batches:
             at, n1, n2 = (batch.column(x).to_numpy() for x in ("key", "n1", "n2"))
-            rid, inv = np.unique(batch.column("rid").to_numpy(), return_inverse=True)
-            yield pa.RecordBatch.from_pydict({"rid": rid, "a": np.bincount(inv, weights=n2 * log_alpha[at] - n1 * log_c[at])})
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(n2 * log_alpha[at] - n1 * log_c[at])], names=["rid", "a"])
 
     asked = parts.where("kind = 3").select("key", "rid", "n1", "n2")
     mass = F.col("high") + sum(F.col(_K[r]) * F.lit(float((r + 1) * d[r])) for r in range(CUT))
@@ -453,7 +452,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
     rare = asked.where("key < 0").join(cold, "key").select(
         "rid", (F.col("n2") * F.col("log_alpha") - F.col("n1") * F.col("log_c")).alias("a"))
     with batch_rows(spark, 50_000):
-        often = materialize(asked.where("key >= 0").mapInArrow(known_contexts, "rid long, a double"), "opened")
+        often = materialize(asked.where("key >= 0").mapInArrow(known_contexts, "rid long, a double")
+                            .groupBy("rid").agg(F.sum("a").alias("a")), "opened")
     opened = often.unionByName(rare)
     none = [F.lit(0.0).alias("b"), F.lit(0).cast("long").alias("n1"), F.lit(0).cast("long").alias("n2"),
             F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out")]
