@@ -44,5 +44,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         for done in (edges, labels, to):
             drop(done)
         edges, labels = left, relabelled
-    least = labels.groupBy("label").agg(F.min("node").alias("component"))
+    # written, so that the join reads plain shuffles and AQE can split a large component
+    least = materialize(labels.groupBy("label").agg(F.min("node").alias("component")), "least")
     return labels.join(least, "label").select("node", "component")

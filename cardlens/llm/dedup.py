@@ -13,6 +13,10 @@ are still in more than one component are finished exactly: members outside the
 bucket's largest component are compared with all its members on their full shingle
 sets, block by block. Blocks are split by a hash and bounded in members and shingles;
 a comparison of two blocks returns one link per document and component at most.
+
+A set or a bucket may hold a third of all documents. What is aggregated per set or
+bucket is therefore written before it is joined back: the join then reads plain
+shuffles, whose hot partition AQE splits.
 """
 
 from __future__ import annotations
@@ -151,7 +155,8 @@ def _rest_links(buckets: DataFrame, comps: DataFrame, texts: DataFrame) -> DataF
         "key", "doc", "parts", F.coalesce("component", "doc").alias("comp"))
     sizes = member.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("kinds > 1")
-    open_ = member.join(mixed.select("key", "main"), "key")
+    mixed = materialize(mixed.select("key", "main"), "mixed")
+    open_ = member.join(mixed, "key")
     sets = texts.join(open_.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
         _sets, "doc long, shingles binary")
     open_ = materialize(open_.join(sets, "doc").select(
@@ -179,22 +184,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     feats = materialize(docs.mapInArrow(_features, _FEATURES), "features")
     real = feats.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    copies = materialize(real.select("doc_id", "d1", "d2", "n_shingles")
-                         .join(classes, ["d1", "d2", "n_shingles"])
+    same = ["d1", "d2", "n_shingles"]
+    classes = materialize(real.groupBy(same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
+    copies = materialize(real.select("doc_id", *same).join(classes.where("rows > 1"), same)
                          .select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).where("a != b"), "copies")
     # copies of another document leave the banding; a row that repeats an id but is no copy stays
-    reps = real.join(classes, ["d1", "d2", "n_shingles"]).where("doc_id = rep").select("doc_id", "n_shingles", "bands")
-    reps = materialize(reps, "reps")
+    reps = materialize(real.join(classes.select(F.col("rep").alias("doc_id"), *same), ["doc_id", *same], "left_semi")
+                       .select("doc_id", "n_shingles", "bands"), "reps")
     keyed = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("doc"), "n_shingles")
     # a row that repeats an id with other texts counts its buckets once
     keyed = keyed.groupBy("key", "doc").agg(F.max("n_shingles").alias("n"))
     full = keyed.groupBy("key").agg(F.count("*").alias("size"), F.ceil(F.greatest(
         F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("parts")).where("size > 1")
+    full = materialize(full, "full")
     buckets = materialize(keyed.select("key", "doc").join(full, "key"), "buckets")
     score = buckets.groupBy("doc").agg(F.sum("size").alias("score"))
     hubs = (buckets.join(score, "doc").groupBy("key")
             .agg(F.max_by("doc", F.struct("score", -F.col("doc"))).alias("hub"), F.max("score").alias("score")))
+    hubs = materialize(hubs, "hubs")
     star = (buckets.join(hubs, "key").where("hub != doc").groupBy("doc")
             .agg(F.max_by("hub", F.struct("score", -F.col("hub"))).alias("hub"))
             .select(F.col("hub").alias("a"), F.col("doc").alias("b")))
@@ -202,7 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = materialize(_linked(star, texts), "links")
     more = _rest_links(buckets, components(links), texts)
     comps = components(links.unionByName(more).unionByName(copies))
-    for done in (reps, buckets, texts):
+    for done in (classes, full, hubs, reps, buckets, texts):
         drop(done)
     return (feats.select("doc_id", "n_shingles").join(comps, F.col("doc_id") == F.col("node"), "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
