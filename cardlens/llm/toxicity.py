@@ -26,7 +26,7 @@ from cardlens.llm._util import id_crc, prepare, table
 EXAMPLES = 1500       # labelled documents of each label in the index, at most
 EXAMPLE_BYTES = 200_000  # longer texts are no examples (they are scored like all others)
 TERMS = 2048          # terms of the index, at most
-CLEAR = 4.0           # standard errors between the labels' shares of a term, at least
+CLEAR = 6.0           # standard errors between the labels' shares of a term, at least
 NEIGHBOURS = 15
 BLOCK = 64            # examples of a block
 
