@@ -122,6 +122,10 @@ def token_usage(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
 OPEN_SPAN = "signup"
 
 
+SLICE_SPANS = 100_000  # spans of a window, about
+_MICROS = {"minute": 60_000_000, "hour": 3_600_000_000, "day": 86_400_000_000}
+
+
 def episode_numbers(s: DataFrame, bucket: str = "hour", opener: str | None = OPEN_SPAN,
                     closer: str | None = None) -> DataFrame:
     """Number each span with its episode: the count of opening spans at or
@@ -129,26 +133,33 @@ def episode_numbers(s: DataFrame, bucket: str = "hour", opener: str | None = OPE
     instead, the count of closing spans strictly before it (an answer ends
     its question's episode).
 
-    A key's timeline is cut into time buckets. Openings are counted per
-    (key, bucket) and summed over earlier buckets; inside a bucket a running
-    count over (key, bucket) adds the rest. No window spans a whole key, so a
-    key with a third of all spans is spread over its buckets.
+    A key's timeline is cut into time buckets, and a bucket of more than
+    ``SLICE_SPANS`` spans into as many equal slices as it takes. Openings are
+    counted per slice and summed over earlier slices; inside a slice a running
+    count adds the rest. No window spans a whole key, so a key with a third of
+    all spans, or a busy hour of it, is spread over its slices.
     """
     marker = closer if closer is not None else opener
     opens = F.when(F.col("name") == marker, 1).otherwise(0)
     s = s.withColumn("is_open", opens).withColumn("bucket", F.date_trunc(bucket, "start_ts"))
-    per_bucket = s.groupBy("trace_key", "bucket").agg(F.sum("is_open").alias("b_opens"))
-    w_prev = Window.partitionBy("trace_key").orderBy("bucket") \
+    load = s.groupBy("trace_key", "bucket").agg(F.ceil(F.count("*") / SLICE_SPANS).alias("parts"))
+    into = F.unix_micros(F.col("start_ts").cast("timestamp")) - F.unix_micros(F.col("bucket").cast("timestamp"))
+    same = (F.col("trace_key").eqNullSafe(F.col("l_key"))) & (F.col("bucket").eqNullSafe(F.col("l_bucket")))
+    load = load.select(F.col("trace_key").alias("l_key"), F.col("bucket").alias("l_bucket"), "parts")
+    s = s.join(load, same, "inner").drop("l_key", "l_bucket").withColumn(
+        "slice", F.floor(into / _MICROS[bucket] * F.col("parts")).cast("bigint")).drop("parts")
+    per_slice = s.groupBy("trace_key", "bucket", "slice").agg(F.sum("is_open").alias("b_opens"))
+    w_prev = Window.partitionBy("trace_key").orderBy("bucket", "slice") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    prior = per_bucket.select("trace_key", "bucket",
-                              F.coalesce(F.sum("b_opens").over(w_prev), F.lit(0)).alias("prior_opens"))
-    w_in = Window.partitionBy("trace_key", "bucket").orderBy("start_ts", "span_id") \
+    prior = per_slice.select(F.col("trace_key").alias("l_key"), F.col("bucket").alias("l_bucket"), F.col("slice").alias("l_slice"),
+                             F.coalesce(F.sum("b_opens").over(w_prev), F.lit(0)).alias("prior_opens"))
+    w_in = Window.partitionBy("trace_key", "bucket", "slice").orderBy("start_ts", "span_id") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = s.withColumn("local_opens", F.sum("is_open").over(w_in))
-    return (local.join(prior, ["trace_key", "bucket"], "inner")
+    return (local.join(prior, same & F.col("slice").eqNullSafe(F.col("l_slice")), "inner")
                  .withColumn("episode_no", (F.col("prior_opens") + F.col("local_opens")
                                             - (F.col("is_open") if closer is not None else F.lit(0))).cast("bigint"))
-                 .drop("bucket", "is_open", "prior_opens", "local_opens"))
+                 .drop("bucket", "slice", "is_open", "prior_opens", "local_opens", "l_key", "l_bucket", "l_slice"))
 
 
 def episodes(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:

@@ -86,6 +86,21 @@ def test_episodes_on_hot_key_match_running_count(spark):
     assert got == want
 
 
+def test_a_busy_hour_is_cut_in_slices(spark, monkeypatch):
+    import cardlens.operators.spans as S
+    monkeypatch.setattr(S, "SLICE_SPANS", 50)
+    rnd = random.Random(6)
+    t0 = dt.datetime(2024, 1, 1, 10)
+    rows = [(i, 1, rnd.choice(["signup", "click"]), t0 + dt.timedelta(seconds=rnd.randint(0, 4000)), 1.0, "OK", 1)
+            for i in range(1500)]
+    got = {r["span_id"]: r["episode_no"] for r in episode_numbers(_spans(spark, rows), "hour").collect()}
+    want, n = {}, 0
+    for r in sorted(rows, key=lambda r: (r[3], r[0])):
+        n += r[2] == "signup"
+        want[r[0]] = n
+    assert got == want
+
+
 def test_hot_join_key_is_split_by_aqe(spark):
     keys = {"spark.sql.autoBroadcastJoinThreshold": "-1",
             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
