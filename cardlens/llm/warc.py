@@ -154,30 +154,48 @@ class _Window:
 
 
 def _records(file, start: int, stop: int, size: int) -> list[bytes]:
-    """The records that start in ``start:stop`` of an archive of ``size`` bytes."""
+    """The records that start in ``start:stop`` of an archive of ``size`` bytes.
+
+    A candidate counts if the members that follow it without a gap reach the range's
+    end, and over 64 KiB or the archive's end. Members of an archive that is itself
+    stored in a record without compression look like candidates, but their chain breaks
+    where deflate's stored blocks end, every 64 KiB at least. Where candidates were seen
+    and none counts, the archive is walked from its first byte, which settles it.
+    """
     stop = min(stop, size)
     window, scan, seen = _Window(file, start, stop, size), 0, False
     while True:
         at = 0 if start == 0 and scan == 0 else window.data.find(_MAGIC, scan, stop - start + len(_MAGIC) - 1)
         if at < 0 or at >= stop - start:
-            if seen or start == 0:
-                raise ValueError(f"no whole chain of members in bytes {start} to {stop}")
-            return []
+            return _walk(file, start, stop, size) if seen or start == 0 else []
         chain, here = [], at
-        while here < stop - start:
+        while start + here < size and (here < stop - start or here - at < 1 << 16):
             got = window.member(here)
             if got is None:
                 break
-            chain.append(got[0])
+            if here < stop - start:
+                chain.append(got[0])
             here = got[1]
         else:
-            # what follows the last own record must be a member too, or the end
             if start + here >= size or window.member(here, whole=False):
                 return chain
         seen = seen or bool(chain)
         scan = at + 1
 
 
+def _walk(file, start: int, stop: int, size: int) -> list[bytes]:
+    """The same from the archive's first byte on, member by member."""
+    out, at = [], 0
+    while at < stop:
+        got = _Window(file, at, min(at + (1 << 16), size), size).member(0)
+        if got is None:
+            raise ValueError(f"no whole member at byte {at}")
+        if at >= start:
+            out.append(got[0])
+        at += got[1]
+    return out
+
+
 def _parse(record: bytes) -> dict:
     head, _, rest = record.partition(b"\r\n\r\n")
     fields = {}

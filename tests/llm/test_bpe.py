@@ -62,3 +62,30 @@ def test_rows_equal_the_library(spark):
 
 def test_empty_table(spark):
     assert ids(bpe.encode(docs_of(spark, []))) == []
+
+
+def test_other_vocabularies_are_encoded_whole(spark):
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    assert bpe._apart(bpe.VOCABULARY) and not bpe._apart(path)
+    texts = ["Hello  world,\n it's naïve", "", "  x "]
+    out = {r.doc_id: r for r in bpe.encode(docs_of(spark, list(enumerate(texts))), path, with_ids=True).collect()}
+    for i, text in enumerate(texts):
+        ids = tok.encode(text, add_special_tokens=False).ids
+        assert out[i].ids == ids
+        assert out[i].decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_word_cache_starts_anew_when_full(monkeypatch):
+    import pyarrow as pa
+    from cardlens.llm._text import buffers
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 50)
+    w = bpe.Words(bpe.VOCABULARY)
+    rng = random.Random(3)
+    for _ in range(6):
+        texts = [prose(rng, 30, 1000), "", "a\x0bb\x0cc\x1cd <|endoftext|>e", prose(rng, 5)]
+        offs, data = buffers(pa.array(texts))
+        ids, bounds = w.encode(data, offs)
+        got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        assert got == [TOK.encode(t, add_special_tokens=False).ids for t in texts]
