@@ -81,8 +81,11 @@ def write_warc(pages: DataFrame, folder: str, revisit_bytes: int = REVISIT_BYTES
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                          body.alias("payload"))
     key = F.sha2("payload", 256)
-    first = (pages.groupBy(key.alias("key")).agg(F.max("page_id").alias("refers_to")))
-    rows = (pages.withColumn("key", key).join(first, "key")
+    # payloads that occur twice or more; written, so that the join reads plain shuffles and
+    # AQE can split a payload that a third of all pages have
+    again = materialize(pages.groupBy(key.alias("key")).agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n"))
+                        .where("n > 1").select("key", "refers_to"), "copies")
+    rows = (pages.withColumn("key", key).join(again, "key", "left")
             .withColumn("revisit", F.col("refers_to").isNotNull() & (F.octet_length("payload") >= revisit_bytes)
                         & ~F.col("page_id").eqNullSafe(F.col("refers_to")))
             .select("page_id", "url", "payload", "refers_to", "revisit"))
