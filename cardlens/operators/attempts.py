@@ -12,22 +12,28 @@ from cardlens.sources.standins import attempts, replies, reply_chunks
 from cardlens.sources.tables import read_table
 
 
-def response_clean(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    """Replies with surrounding whitespace and line breaks removed."""
-    r = replies(spark, sf_dir)
+def cleaned(r: DataFrame) -> DataFrame:
+    """C10 over (conv_id, turn, text): surrounding whitespace and line breaks removed."""
     clean = trim_text(F.col("text"))
     return r.select("conv_id", "turn", clean.alias("clean_text"),
                     F.length(clean).cast("bigint").alias("n_chars"), (clean != F.col("text")).alias("changed"))
 
 
-def sql_extract(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    """The statement inside each stored reply ('' when none)."""
-    a = attempts(spark, sf_dir)
+def response_clean(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    return cleaned(replies(spark, sf_dir))
+
+
+def extracted(a: DataFrame) -> DataFrame:
+    """R3 over (q_id, attempt_no, reply): the statement inside each reply ('' when none)."""
     sql = extract_sql(F.col("reply"))
     return a.select("q_id", "attempt_no", sql.alias("sql"),
                     (sql != trim_text(F.col("reply"))).alias("had_wrapping"))
 
 
+def sql_extract(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    return extracted(attempts(spark, sf_dir))
+
+
 def status_of(a: DataFrame) -> DataFrame:
     """R4 + C11 over (q_id, attempt_no, reply, result_text)."""
     return a.select("q_id", "attempt_no", "reply", "result_text",
