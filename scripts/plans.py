@@ -13,7 +13,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import __spark_entry__ as E  # noqa: E402
+from cardlens.plans import registry  # noqa: E402
 from cardlens.session import get_session  # noqa: E402
 
 DETAIL = ("account_report", "spend_by_month", "campaign_customers")
@@ -57,9 +57,9 @@ def main() -> None:
     spark = get_session("local[8]", 16)
     spark.sparkContext.setLogLevel("ERROR")
     out = ["# Physical plans", "",
-           f"Final adaptive plans of every registered query on `{sf_dir}` (local[8]),",
+           f"Final adaptive plans of every query of `cardlens.plans.registry` on `{sf_dir}` (local[8]),",
            "written by `scripts/plans.py`. Expression ids are removed.", ""]
-    for name, fn in E.queries().items():
+    for name, fn in registry.queries().items():
         df = fn(spark, sf_dir)
         out += [f"## {name}", "", "```", final_tree(df), "```", ""]
         if name in DETAIL:
