@@ -3,7 +3,7 @@
 import hashlib
 
 import numpy as np
-from llm_helpers import MEDIUM, ids, shingles, union_find
+from llm_helpers import MEDIUM, docs_of, ids, shingles, union_find
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -45,3 +45,22 @@ def test_stages_in_order_and_their_decisions(spark):
 def test_run_returns_the_last_stage(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() > 0
+
+
+def test_stages_on_awkward_rows_and_empty_tables(spark):
+    text = " ".join(f"word{i % 90} and thing{i}" for i in range(80))
+    rows = [(1, None, None), (2, "", "en"), (3, " \n", None), (4, "7", "fr"), (None, text + " x"), (5, text), (5, text),
+            (6, text.replace("thing7 ", "other "), None), (7, "long line " * 40000), (8, "é")]
+    for docs in (docs_of(spark, rows, extra=True), docs_of(spark, [], extra=True)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, "/root/testdata/sf0.001")
+            got = ids(out)
+            assert set(got) <= {None, 1, 2, 3, 4, 5, 6, 7, 8}
+            if name != "bpe":
+                assert out.columns == docs.columns
+            if docs.isEmpty():
+                assert got == []
+            elif name == "near_duplicates":
+                assert got == [None, 1, 2, 3, 4, 5, 5, 7, 8]
+            elif name in ("decontamination", "bpe"):
+                assert got == ids(docs)
