@@ -1,6 +1,9 @@
 """BPE encoding and decoding of whole texts with a public vocabulary.
 
-Texts of ordinary length are encoded in batches. A long text is cut into leaves that
+Texts of ordinary length are encoded word by word: the vocabulary's tokens never span
+white space, so each distinct word is encoded once by a task and its ids are gathered
+wherever it stands. (With a vocabulary of another kind the texts are encoded in
+batches.) A long text is cut into leaves that
 are encoded in parallel as rows of their own; neighbouring leaves are then joined in
 a tree. At each join a window around the cut is encoded again and grown until it
 agrees with both sides: it starts with a token that the left side has at that place
@@ -12,6 +15,7 @@ stands around them, so everything outside the window is exact as it is.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,15 +24,18 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cardlens.llm._text import blocks, buffers, row_ptr, words
 from cardlens.llm._util import prepare, shuffle_partitions, table
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LONG_CHARS = 1 << 16  # a text beyond this length is cut into leaves
 LEAF_CHARS = 1 << 14
 WINDOW_CHARS = 64     # first reach of a window on either side of a cut
+CACHED_WORDS = 500_000  # words whose ids a task keeps
 
 _SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -49,6 +56,87 @@ def _longest_special(path: str) -> int:
     return max((len(t.content) for t in _tokenizer(path).get_added_tokens_decoder().values()), default=0)
 
 
+@lru_cache(maxsize=2)
+def _apart(path: str) -> bool:
+    """Whether words between ASCII white space are encoded on their own: the first split
+    keeps matches of a pattern that white space is no part of."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    first = (made.get("pre_tokenizer") or {}).get("pretokenizers", [None])[0] or {}
+    if first.get("type") != "Split" or first.get("behavior") != "Removed" or not first.get("invert"):
+        return False
+    pattern = first.get("pattern", {}).get("Regex", "")
+    found = "".join(m[0] for m in regex.finditer(pattern, "a \t\n\x0b\x0c\r ' 1 ! é s"))
+    return bool(pattern) and not regex.search(r"\s", found)
+
+
+class Words:
+    """The ids of words seen so far, and of texts made of them."""
+
+    def __init__(self, path: str):
+        self.tok = _tokenizer(path)
+        self.clear()
+        # without a decoder, decoding joins the tokens by blanks
+        self.joined = self.tok.decoder is None
+        names = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
+        name = [(x + " ").encode() for x in names]
+        self.name_size = np.array([len(x) for x in name])
+        self.name_end = np.cumsum(self.name_size)
+        self.names = np.frombuffer(b"".join(name), dtype=np.uint8)
+
+    def clear(self):
+        self.at: dict[int, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, dtype=np.uint32), 0
+        self.first, self.size = np.zeros(1 << 14, dtype=np.int64), np.zeros(1 << 14, dtype=np.int64)
+
+    def _add(self, hashes: list[int], texts: list[str]) -> None:
+        """Encode new words, many as one text, and keep each word's ids."""
+        e = self.tok.encode(" ".join(texts), add_special_tokens=False)
+        ids, k, m = np.array(e.ids, dtype=np.uint32), len(self.at), len(texts)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, max(2 * len(self.flat), self.used + len(ids)))
+        if k + m > len(self.size):
+            self.first, self.size = (np.resize(x, 2 * (k + m)) for x in (self.first, self.size))
+        start = np.cumsum([0] + [len(x) + 1 for x in texts])
+        begin = np.array([o[0] for o in e.offsets], dtype=np.int64)
+        cut = np.searchsorted(begin, start)
+        self.flat[self.used:self.used + len(ids)] = ids
+        self.first[k:k + m], self.size[k:k + m] = self.used + cut[:-1], np.diff(cut)
+        self.at.update(zip(hashes, range(k, k + m)))
+        self.used += len(ids)
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds): the tokens of text i are ``ids[bounds[i]:bounds[i + 1]]``."""
+        h, row, start, end = words(data, offs, lower=False)
+        u, one, back = np.unique(h, return_index=True, return_inverse=True)
+        keys = u.tolist()
+        if len(self.at) + len(keys) > CACHED_WORDS:
+            self.clear()
+        new = [i for i, k in enumerate(keys) if k not in self.at]
+        for i in range(0, len(new), 2000):
+            some = new[i:i + 2000]
+            self._add([keys[k] for k in some], [data[start[one[k]]:end[one[k]]].tobytes().decode() for k in some])
+        at = np.array([self.at[k] for k in keys], dtype=np.int64)
+        size = self.size[at][back] if len(at) else np.zeros(0, np.int64)
+        through = np.cumsum(size)
+        first = (self.first[at][back] if len(at) else size) - (through - size)
+        ids = self.flat[np.repeat(first, size) + np.arange(through[-1] if len(size) else 0)]
+        return ids, np.concatenate(([0], through))[row_ptr(row, len(offs) - 1)]
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        if not self.joined:
+            return self.tok.decode(ids.tolist(), skip_special_tokens=False).encode()
+        size = self.name_size[ids]
+        through = np.cumsum(size)
+        src = np.repeat(self.name_end[ids] - through, size) + np.arange(through[-1] if len(ids) else 0)
+        return self.names[src][:-1].tobytes()
+
+
+@lru_cache(maxsize=2)
+def _words(path: str) -> Words:
+    return Words(path)
+
+
 @dataclass
 class Piece:
     """A stretch of text with its tokens: ids and their character spans."""
@@ -124,12 +212,12 @@ def tree(pieces: list[Piece], path: str = VOCABULARY) -> Piece:
 
 
 def decode(ids: np.ndarray, path: str = VOCABULARY) -> str:
-    return _tokenizer(path).decode(ids.tolist(), skip_special_tokens=False)
+    return _words(path).decode(ids).decode()
 
 
 def _digest(ids: np.ndarray, path: str) -> tuple[int, str, str]:
     return (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(),
-            hashlib.sha256(decode(ids, path).encode()).hexdigest())
+            hashlib.sha256(_words(path).decode(ids)).hexdigest())
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS,
@@ -157,12 +245,18 @@ def encode(docs: DataFrame, path: str = VOCABULARY, long_chars: int = LONG_CHARS
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(path)
+        tok, apart = _tokenizer(path), _apart(path)
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                got = tok.encode_batch_fast(part.column("text").to_pylist(), add_special_tokens=False)
-                yield batch_of(part.column("doc_id").to_pylist(), [np.array(e.ids, dtype=np.uint32) for e in got])
+            offs, data = buffers(batch.column("text"))
+            for i, j in blocks(offs):
+                part = batch.slice(i, j - i)
+                if apart:
+                    ids, bounds = _words(path).encode(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
+                    rows = np.split(ids, bounds[1:-1])
+                else:
+                    got = tok.encode_batch_fast(part.column("text").to_pylist(), add_special_tokens=False)
+                    rows = [np.array(e.ids, dtype=np.uint32) for e in got]
+                yield batch_of(part.column("doc_id").to_pylist(), rows)
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
