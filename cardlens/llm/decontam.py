@@ -1,18 +1,21 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, rare ones first, then Smith-Waterman alignment.
 
 The benchmark is the stated query set; it is used in blocks of bounded size, each
 broadcast to one scan over all documents. A first scan counts in how many documents
 each n-gram of a block occurs. An n-gram is a rare seed if few documents hold it, in
-the corpus or measured against the other n-grams of its item (so an item copied into
-a third of the corpus keeps its seeds). A second scan joins the documents' words to
-the seeds; around every hit a window as long as the item, with room for insertions,
-is aligned with the item word by word. No text is shuffled or collected.
+the corpus or measured against the other n-grams of its item. A second scan joins the
+documents' words to all n-grams; around every hit lies a window as long as the item,
+with room for insertions. Windows of rare seeds are aligned with the item word by
+word; those of common n-grams only if the words they share with the item could reach
+the threshold, which no alignment exceeds. So rarity saves work and loses no copy,
+however many documents hold it. No text is shuffled or collected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +32,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 SIMILARITY = 0.4       # best score over the score of the whole item, at least
 LEAST_SCORE = 16       # eight matching words; shorter items identify nothing
 BLOCK_BYTES = 4 << 20  # benchmark text broadcast at a time
+EXPANDED = 1 << 20     # pairs of a hit and a place, or words of windows, at a time
 _FILTER_BITS = 22
 
 
@@ -41,6 +45,15 @@ class Items:
     seeds: np.ndarray         # sorted distinct hashes of their n-grams
     where: np.ndarray         # (seed, item, place) of every n-gram, by seed
     first: np.ndarray         # bounds of each seed's rows in ``where``
+    rare: np.ndarray          # of each row of ``where``: a rare seed of its item
+
+    @cached_property
+    def held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted distinct words; sorted item * words + word of each item's words; how often."""
+        flat = np.concatenate([*self.hashes, np.zeros(0, np.uint64)])
+        vocabulary, word = np.unique(flat, return_inverse=True)
+        item = np.repeat(np.arange(len(self.hashes)), [len(h) for h in self.hashes])
+        return vocabulary, *np.unique(item * len(vocabulary) + word, return_counts=True)
 
     def maybe(self) -> np.ndarray:
         """A table that is True at the low bits of every seed."""
@@ -65,7 +78,7 @@ def _index(ids, hashes, flat, item, place) -> Items:
     seeds, at = np.unique(flat, return_inverse=True)
     order = np.argsort(at, kind="stable")
     where = np.stack([at[order], item[order], place[order]], axis=1) if len(flat) else np.zeros((0, 3), np.int64)
-    return Items(ids, hashes, seeds, where, np.searchsorted(where[:, 0], np.arange(len(seeds) + 1)))
+    return Items(ids, hashes, seeds, where, np.searchsorted(where[:, 0], np.arange(len(seeds) + 1)), np.ones(len(where), bool))
 
 
 def _rare(items: Items, df: np.ndarray, n_docs: int) -> Items:
@@ -79,6 +92,12 @@ def _rare(items: Items, df: np.ndarray, n_docs: int) -> Items:
     return _index(items.ids, items.hashes, items.seeds[part[:, 0]], part[:, 1], part[:, 2])
 
 
+def _marked(items: Items, df: np.ndarray, n_docs: int) -> Items:
+    """The items with all n-grams, the rare seeds marked."""
+    rare, wide = _rare(items, df, n_docs).where, max(map(len, items.hashes), default=0) + 1
+    return replace(items, rare=np.isin(items.where[:, 1] * wide + items.where[:, 2], rare[:, 1] * wide + rare[:, 2]))
+
+
 def _hits(data: np.ndarray, offs: np.ndarray, items: Items, maybe: np.ndarray):
     """(word hashes, row pointers, hit rows, hit places, hit seeds) of a block of texts."""
     h, row, _, _ = words(data, offs)
@@ -120,24 +139,77 @@ def align(item: list[np.ndarray], window: list[np.ndarray]) -> tuple[np.ndarray,
     return best, end_a, end_b
 
 
-def _windows(rows, places, seeds, ptr, items: Items) -> list[tuple[int, int, int, int]]:
-    """(row, item, first word, past last word) around the hits, merged where they overlap."""
+def _parts(size: np.ndarray) -> Iterator[slice]:
+    """Consecutive ranges of bounded sum (a larger one is a range of its own)."""
+    end, i = np.cumsum(size), 0
+    while i < len(size):
+        j = max(i + 1, int(np.searchsorted(end, end[i] - size[i] + EXPANDED, side="right")))
+        yield slice(i, j)
+        i = j
+
+
+def _around(rows, places, seeds, ptr, items: Items) -> tuple[np.ndarray, ...]:
+    """(row, item, first word, past last word, rare) of the windows around hits.
+
+    Hits on diagonals that differ by less than the room share a window."""
     count = items.first[seeds + 1] - items.first[seeds]
     hit = np.repeat(np.arange(len(seeds)), count)
     at = np.arange(len(hit)) - np.repeat(np.cumsum(count) - count, count) + items.first[seeds][hit]
-    item, shift = items.where[at, 1], places[hit] - items.where[at, 2]
+    row, item, shift, rare = rows[hit], items.where[at, 1], places[hit] - items.where[at, 2], items.rare[at]
     size = np.array([len(h) for h in items.hashes], dtype=np.int64)[item]
     room = size // 4 + 5
-    lo = np.maximum(shift - room, 0)
-    hi = np.minimum(shift + size + room, (ptr[1:] - ptr[:-1])[rows[hit]])
-    order = np.lexsort((lo, item, rows[hit]))
+    near = shift // room
+    order = np.lexsort((~rare, near, item, row))
+    key = np.stack((row, item, near))[:, order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (key[:, 1:] != key[:, :-1]).any(axis=0)
+    at = order[new]  # the first of its window: with a rare seed, if any has one
+    row, item, size, room, near = row[at], item[at], size[at], room[at], near[at]
+    return (row, item, np.maximum((near - 1) * room, 0),
+            np.minimum((near + 2) * room + size, ptr[row + 1] - ptr[row]), rare[at])
+
+
+def _reaches(row, item, lo, hi, h, ptr, items: Items) -> np.ndarray:
+    """Whether the windows share words enough with their items: an alignment scores
+    ``MATCH`` for each of them at most."""
+    vocabulary, held, times = items.held
+    word = np.searchsorted(vocabulary, h)
+    word[word == len(vocabulary)] = 0
+    known = np.flatnonzero(vocabulary[word] == h)
+    word = word[known]
+    a, b = np.searchsorted(known, ptr[row] + lo), np.searchsorted(known, ptr[row] + hi)
+    whole = MATCH * np.array([len(x) for x in items.hashes], dtype=np.int64)[item]
+    least = np.maximum(LEAST_SCORE, SIMILARITY * whole)
+    out = MATCH * (b - a) >= least
+    open_ = np.flatnonzero(out)
+    for part in _parts((b - a)[open_]):
+        of = open_[part]
+        n = (b - a)[of]
+        window = np.repeat(np.arange(len(of)), n)
+        key = item[of][window] * len(vocabulary) + word[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a[of][window]]
+        at = np.searchsorted(held, key)
+        at[at == len(held)] = 0
+        real = held[at] == key
+        pair, n = np.unique(window[real] * len(held) + at[real], return_counts=True)
+        shared = np.bincount(pair // len(held), weights=np.minimum(n, times[pair % len(held)]), minlength=len(of))
+        out[of] = MATCH * shared >= least[of]
+    return out
+
+
+def _windows(h, rows, places, seeds, ptr, items: Items) -> list[tuple[int, int, int, int]]:
+    """(row, item, first word, past last word) around the hits, merged where they overlap."""
     out: list[list[int]] = []
-    for r, i, a, b in zip(rows[hit][order].tolist(), item[order].tolist(), lo[order].tolist(), hi[order].tolist()):
-        last = out[-1] if out else None
-        if last and last[0] == r and last[1] == i and a <= (last[2] + last[3]) // 2:
-            last[3] = max(last[3], b)
-        else:
-            out.append([r, i, a, b])
+    for part in _parts(items.first[seeds + 1] - items.first[seeds]):
+        row, item, lo, hi, keep = _around(rows[part], places[part], seeds[part], ptr, items)
+        common = np.flatnonzero(~keep)
+        if len(common):
+            keep[common] = _reaches(row[common], item[common], lo[common], hi[common], h, ptr, items)
+        for r, i, a, b in zip(row[keep].tolist(), item[keep].tolist(), lo[keep].tolist(), hi[keep].tolist()):
+            last = out[-1] if out else None
+            if last and last[0] == r and last[1] == i and last[2] <= a <= (last[2] + last[3]) // 2:
+                last[3] = max(last[3], b)
+            else:
+                out.append([r, i, a, b])
     return [tuple(x) for x in out]
 
 
@@ -147,7 +219,7 @@ def _found(column: pa.Array, items: Items, maybe: np.ndarray) -> Iterator[tuple[
     offs, data = buffers(column)
     for i, j in blocks(offs):
         h, ptr, rows, places, seeds = _hits(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i], items, maybe)
-        spans = _windows(rows, places, seeds, ptr, items)
+        spans = _windows(h, rows, places, seeds, ptr, items)
         spans.sort(key=lambda s: s[3] - s[2])  # alike lengths go together
         best: dict[tuple[int, int], tuple] = {}
         k = 0
@@ -176,7 +248,7 @@ def _found(column: pa.Array, items: Items, maybe: np.ndarray) -> Iterator[tuple[
 
 
 def _seeded(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
-    """The benchmark in blocks, each with its rare seeds, counted over all documents."""
+    """The benchmark in blocks, each with its rare seeds marked, counted over all documents."""
     benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"),
                                  F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = benchmark.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
@@ -202,7 +274,7 @@ def _seeded(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
         df = np.zeros(len(items.seeds), dtype=np.int64)
         for r in texts.mapInArrow(count, "seed long, df long").groupBy("seed").agg(F.sum("df").alias("df")).collect():
             df[r["seed"]] = r["df"]  # at most one row a seed of the block
-        yield _rare(items, df, n_docs)
+        yield _marked(items, df, n_docs)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

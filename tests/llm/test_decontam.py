@@ -86,6 +86,35 @@ def test_common_ngrams_are_no_seeds():
     assert sorted(rare.where[:, 2].tolist()) == [1, 2, 3, 4]
 
 
+@pytest.mark.parametrize("n", [200, 10_000])
+def test_hot_edited_and_partial_copies_without_a_clean_one(spark, n):
+    rng = random.Random(8)
+    items = [prose(rng, 50, 10**6).split() for _ in range(3)] + [prose(rng, 60, 10**6).split()]
+    every4 = lambda w: [f"e{rng.randrange(10**6)}" if k % 4 == 3 else x for k, x in enumerate(w)]
+    # every third word changed, but for one: a single n-gram is left
+    one = lambda w: [f"e{rng.randrange(10**6)}" if k % 3 == 2 and k != 23 else x for k, x in enumerate(w)]
+    copies = {i: (0, every4(items[0])) for i in range(10, 50)} | {i: (1, one(items[1])) for i in range(50, 90)}
+    copies |= {i: (3, items[3][:27]) for i in range(100, 100 + n // 3)}
+    # so few words of an item that no alignment reaches the threshold
+    few = {i: items[2][20:24] for i in range(90, 100)}
+    rows = [(i, f"{prose(rng, 20)} {' '.join(copies[i][1] if i in copies else few.get(i, []))} {prose(rng, 20)}") for i in range(n)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs_of(spark, rows), bench).collect()}
+    assert got == {(i, c[0]) for i, c in copies.items()}
+
+
+def test_parts_of_the_hits_change_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    texts = [(i, " ".join(["a b"] * 40 + [prose(rng, 30)] + ["a"] * 60)) for i in range(30)]
+    items = decontam._items([1, 2, 3], ["a " * 30, "a b " * 12, texts[3][1][160:300]])
+    items = decontam._marked(items, np.full(len(items.seeds), 30), 30)
+    whole = list(decontam._found(pa.array([t for _, t in texts]), items, items.maybe()))
+    assert {(r, i) for r, i, *_ in whole} >= {(r, i) for r in range(30) for i in (0, 1)} | {(3, 2)}
+    monkeypatch.setattr(decontam, "EXPANDED", 50)
+    part = list(decontam._found(pa.array([t for _, t in texts]), items, items.maybe()))
+    assert [g[:4] for g in part] == [g[:4] for g in whole]
+
+
 def test_empty_tables(spark):
     docs, bench = fixture(spark)
     assert decontam.contaminated(docs_of(spark, []), bench).count() == 0
