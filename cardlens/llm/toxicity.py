@@ -1,13 +1,15 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The examples are a bounded sample of labelled documents. Terms are the ones whose
-share differs clearly between the two labels there; their document frequencies are
-counted over all documents. The examples' vectors lie in an inverted index whose
-postings are grouped into blocks of examples, each with its largest weight: a block
-is scored only while its upper bound reaches the k-th best similarity so far, so the
-neighbours are exact. Their votes, weighted by similarity, are turned into a score by
-a logistic curve fitted leaving each example out of its own vote; the nearest
-examples are given as evidence.
+The examples are a bounded sample of labelled documents. All their terms count; the
+document frequencies are taken over all documents. (A term that no example holds is no
+part of the space.) The examples' vectors lie in a sparse inverted index whose
+postings are grouped into blocks of examples, each with its largest weight: a block is
+scored only while its upper bound reaches the k-th best similarity so far, so the
+neighbours are exact. The nearest examples are given as evidence. Their votes,
+weighted by similarity, are turned into a score by a logistic curve, together with
+those of the examples nearest on the terms alone whose share differs clearly between
+the labels: on long texts these few words are lost among all others. The curve is
+fitted leaving each example out of its own votes.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ from cardlens.llm._util import id_crc, prepare, table
 
 EXAMPLES = 1500       # labelled documents of each label in the index, at most
 EXAMPLE_BYTES = 200_000  # longer texts are no examples (they are scored like all others)
-TERMS = 2048          # terms of the index, at most
-CLEAR = 6.0           # standard errors between the labels' shares of a term, at least
 NEIGHBOURS = 15
+TERMS = 2048          # terms of the second vote, at most
+CLEAR = 6.0           # standard errors between the labels' shares of such a term, at least
 BLOCK = 64            # examples of a block
+FIRST_BLOCKS = 8      # blocks scored before the bounds rule others out
 
 # words of this operator: runs of ASCII letters and of bytes of other characters
 _BREAK = SEPARATOR.copy()
@@ -61,23 +64,48 @@ class Vocabulary:
         return pair // max(1, len(self.hashes)), pair % max(1, len(self.hashes)), n
 
 
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of all ranges one after another, size of each range)."""
+    n = end - start
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n), n
+
+
 class Index:
-    """Postings of every term over the examples, in blocks with their largest weight."""
+    """Postings of every term over the examples, in blocks with their largest weight.
+
+    A cell holds a term's postings in one block of examples; empty cells take no room."""
 
     def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]],
                  labels: np.ndarray, ids: np.ndarray):
         # alike examples share a block: by label, then by their heaviest term
         top = [int(t[np.argmax(n * idf[t])]) if len(t) else -1 for t, n in vectors]
         by = np.lexsort((ids, top, labels))
-        self.vocabulary, self.idf = vocabulary, idf
+        self.vocabulary, self.idf, self.by = vocabulary, idf, by
         self.labels, self.ids = labels[by], ids[by]
         self.vectors = [self._unit(*vectors[i]) for i in by]
-        n_blocks = max(1, -(-len(by) // BLOCK))
-        # blocked postings: one row of weights per term, BLOCK examples to a block
-        self.postings = np.zeros((max(1, len(idf)), n_blocks * BLOCK), dtype=np.float32)
+        self.n_blocks = max(1, -(-len(by) // BLOCK))
+        term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in self.vectors)])
+        example = np.repeat(np.arange(len(by)), [len(t) for t, _ in self.vectors])
+        order = np.lexsort((example, term))
+        self.example = example[order].astype(np.int32)
+        self.weight = np.concatenate([np.zeros(0, np.float32), *(w for _, w in self.vectors)])[order]
+        cell, start = np.unique(term[order] * self.n_blocks + self.example // BLOCK, return_index=True)
+        self.block = (cell % self.n_blocks).astype(np.int32)
+        self.start = np.append(start, len(order))  # bounds of each cell's postings
+        self.cell = np.searchsorted(cell, np.arange(len(idf) + 1) * self.n_blocks)  # bounds of each term's cells
+        self.largest = np.maximum.reduceat(self.weight, start) if len(order) else self.weight
+        self.held_by = np.bincount(term, minlength=len(idf))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"vectors": None}  # tasks read the postings only
+
+    @property
+    def postings(self) -> np.ndarray:
+        """All weights, a row a term and a column an example (for small indexes only)."""
+        out = np.zeros((len(self.idf), len(self.ids)), dtype=np.float32)
         for i, (t, w) in enumerate(self.vectors):
-            self.postings[t, i] = w
-        self.largest = self.postings.reshape(len(self.postings), n_blocks, BLOCK).max(axis=2)
+            out[t, i] = w
+        return out
 
     def _unit(self, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(n)) * self.idf[term] if len(term) else np.zeros(0)
@@ -86,38 +114,61 @@ class Index:
 
     def nearest(self, term: np.ndarray, w: np.ndarray, skip: int = -1, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(examples, similarities) of the ``k`` nearest with a term in common, best first."""
-        if not len(term):
-            return np.zeros(0, np.int64), np.zeros(0, np.float32)
-        bound = w @ self.largest[term]
+        cell, n = _ranges(self.cell[term], self.cell[term + 1])
+        block, weight = self.block[cell], np.repeat(w.astype(np.float64), n)
+        bound = np.bincount(block, weights=weight * self.largest[cell], minlength=self.n_blocks)
         order = np.argsort(-bound, kind="stable")
-        at, sim, least = np.zeros(0, np.int64), np.zeros(0, np.float32), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or bound[b] * 1.00001 < least:
-                break  # no later block can hold a nearer example
-            s = w @ self.postings[term, b * BLOCK:(b + 1) * BLOCK]
-            if 0 <= skip - b * BLOCK < BLOCK:
-                s[skip - b * BLOCK] = 0
+        at, sim, least, i, m = np.zeros(0, np.int64), np.zeros(0), 0.0, 0, FIRST_BLOCKS
+        while i < len(order):
+            # the next blocks by their bounds; no later one can hold a nearer example than the last that may
+            now = np.zeros(self.n_blocks, dtype=bool)
+            now[order[i:i + m]] = (bound[order[i:i + m]] > 0) & (bound[order[i:i + m]] * 1.00001 >= least)
+            if not now.any():
+                break
+            mine = now[block]
+            post, n = _ranges(self.start[cell[mine]], self.start[cell[mine] + 1])
+            s = np.bincount(self.example[post], weights=np.repeat(weight[mine], n) * self.weight[post], minlength=len(self.ids))
+            if skip >= 0:
+                s[skip] = 0
             new = np.flatnonzero(s > 0)
-            at, sim = np.concatenate((at, new + b * BLOCK)), np.concatenate((sim, s[new]))
-            if len(at) > k:
-                best = np.lexsort((at, -sim))[:k]
-                at, sim = at[best], sim[best]
+            at, sim = np.concatenate((at, new)), np.concatenate((sim, s[new]))
+            best = np.lexsort((at, -sim))[:k]
+            at, sim = at[best], sim[best]
             if len(at) == k:
                 least = float(sim.min())
-        best = np.lexsort((at, -sim))
-        return at[best], sim[best]
-
-    def vote(self, at: np.ndarray, sim: np.ndarray) -> tuple[float, float]:
-        """(toxic, other) weight of the neighbours, by their squared similarity."""
-        w = sim.astype(np.float64) ** 2
+            i, m = i + m, 2 * m
+        return at, sim
+
+    def without(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The vector of example ``i`` as it would be if it were none: without its own terms."""
+        t, w = self.vectors[i]
+        shared = self.held_by[t] > 1
+        size = np.sqrt((w[shared].astype(np.float64) ** 2).sum())
+        return t[shared], w[shared] / size if size else w[shared]
+
+    def vote(self, at: np.ndarray, sim: np.ndarray, steep: bool) -> tuple[float, float]:
+        """(toxic, other) weight of the neighbours, by their squared similarity or, if
+        ``steep``, its squared odds, by which a copy outweighs all weak neighbours."""
+        sim = sim.astype(np.float64)
+        w = (sim / (1.001 - np.minimum(sim, 1)) if steep else sim) ** 2
         toxic = self.labels[at] == 1
         return float(w[toxic].sum()), float(w[~toxic].sum())
 
+    def own_votes(self, steep: bool) -> np.ndarray:
+        """The votes on every example, in the order given, as if it were none."""
+        out = np.zeros((len(self.by), 2))
+        for i, j in enumerate(self.by.tolist()):
+            out[j] = self.vote(*self.nearest(*(self.without(i) if steep else self.vectors[i]), skip=i), steep)
+        return out
+
 
 def _evidence(votes: np.ndarray) -> np.ndarray:
-    """What the logistic curve sees: a constant, the balance of the votes and their log odds."""
-    a, b = votes[:, 0], votes[:, 1]
-    return np.stack([np.ones(len(a)), (a - b) / (a + b + 0.5), np.log((a + 0.05) / (b + 0.05))], axis=1)
+    """What the logistic curve sees: a constant, and of the votes on all and on the clear
+    terms (toxic, other each) the balance and the log odds."""
+    out = [np.ones(len(votes))]
+    for a, b in (votes[:, :2].T, votes[:, 2:].T):
+        out += [(a - b) / (a + b + 0.5), np.log((a + 0.05) / (b + 0.05))]
+    return np.stack(out, axis=1)
 
 
 def _sigmoid(x):
@@ -138,14 +189,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    index: Index | None
+    index: Index | None    # over all terms
+    marks: Index | None    # over the clear terms
+    mark: np.ndarray       # each term's place among the clear ones, or -1
     theta: np.ndarray
 
+    def marked(self, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = self.mark[term]
+        return at[at >= 0], n[at >= 0]
+
     def score(self, column: pa.Array):
         """(score, nearest example, its similarity, neighbours) of every text."""
         offs, data = buffers(column)
         n = len(offs) - 1
-        votes, nearest, sim, count = np.zeros((n, 2)), [None] * n, np.zeros(n), np.zeros(n, np.int64)
+        votes, nearest, sim, count = np.zeros((n, 4)), [None] * n, np.zeros(n), np.zeros(n, np.int64)
         if self.index is not None:
             for i, j in blocks(offs):
                 row, term, c = self.index.vocabulary.counts(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
@@ -153,11 +210,12 @@ class Model:
                 for r in range(j - i):
                     if ptr[r] == ptr[r + 1]:
                         continue
-                    t, w = self.index._unit(term[ptr[r]:ptr[r + 1]], c[ptr[r]:ptr[r + 1]])
-                    at, s = self.index.nearest(t, w)
+                    t, k = term[ptr[r]:ptr[r + 1]], c[ptr[r]:ptr[r + 1]]
+                    at, s = self.index.nearest(*self.index._unit(t, k))
                     if len(at):
-                        votes[i + r] = self.index.vote(at, s)
-                        nearest[i + r], sim[i + r], count[i + r] = int(self.index.ids[at[0]]), float(s[0]), len(at)
+                        votes[i + r, :2] = self.index.vote(at, s, True)
+                        nearest[i + r], sim[i + r], count[i + r] = int(self.index.ids[at[0]]), min(float(s[0]), 1.0), len(at)
+                    votes[i + r, 2:] = self.marks.vote(*self.marks.nearest(*self.marks._unit(*self.marked(t, k))), False)
         return _sigmoid(_evidence(votes) @ self.theta), nearest, sim, count
 
 
@@ -197,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
              .agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
     share = known.agg(F.avg("toxic").alias("p")).first()["p"]
     share = min(max(0.5 if share is None else float(share), 0.001), 0.999)
-    none = Model(None, np.array([np.log(share / (1 - share)), 0.0, 0.0]))
+    none = Model(None, None, np.zeros(0, np.int64), np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES) for v in (0, 1)]
     got = (texts.where(F.octet_length("text") <= EXAMPLE_BYTES).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
@@ -207,7 +265,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if len(set(y.tolist())) < 2:
         return none
     terms = [np.frombuffer(r["term"], np.uint64) for r in got]
-    vocabulary = Vocabulary(_choose(terms, y))
+    vocabulary = Vocabulary(np.unique(np.concatenate(terms)))
     if not len(vocabulary.hashes):
         return none
 
@@ -219,11 +277,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             for i, j in blocks(offs):
                 _, term, _ = vocabulary.counts(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
                 df += np.bincount(term, minlength=len(df))
-        yield pa.RecordBatch.from_pydict({"term": np.append(np.arange(len(df)), -1), "df": np.append(df, n)})
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"term": np.append(at, -1), "df": np.append(df[at], n)})
 
     df = np.zeros(len(vocabulary.hashes) + 1)
-    for r in texts.select("text").mapInArrow(frequency, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
-        df[r["term"]] = r["df"]  # one row a term; the last place holds the number of documents
+    # one row a term; the last place holds the number of documents
+    counted = texts.select("text").mapInArrow(frequency, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df[counted["term"].to_numpy()] = counted["df"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     vectors = []
     for r, t in zip(got, terms):
@@ -231,19 +291,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         at[at == len(vocabulary.hashes)] = 0
         real = vocabulary.hashes[at] == t
         vectors.append((at[real], np.frombuffer(r["count"], np.int32)[real].astype(np.float64)))
-    index = Index(vocabulary, idf, vectors, y, np.array([r["doc_id"] for r in got], dtype=np.int64))
-    votes = np.array([index.vote(*index.nearest(t, w, skip=i)) for i, (t, w) in enumerate(index.vectors)])
+    ids = np.array([r["doc_id"] for r in got], dtype=np.int64)
+    clear = np.searchsorted(vocabulary.hashes, _choose(terms, y))
+    mark = np.full(len(idf), -1)
+    mark[clear] = np.arange(len(clear))
+    model = Model(Index(vocabulary, idf, vectors, y, ids), None, mark, none.theta)
+    model.marks = Index(Vocabulary(vocabulary.hashes[clear]), idf[clear], [model.marked(*v) for v in vectors], y, ids)
+    votes = np.concatenate((model.index.own_votes(True), model.marks.own_votes(False)), axis=1)
     # the sample holds the labels in other shares than the corpus: weigh them back
-    weight = np.where(index.labels == 1, share / max(1, (index.labels == 1).sum()),
-                      (1 - share) / max(1, (index.labels == 0).sum())) * len(y)
-    return Model(index, _logistic(_evidence(votes), index.labels, weight))
+    weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
+    model.theta = _logistic(_evidence(votes), y, weight)
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted, nearest_id, nearest_similarity, n_neighbours of every row.
 
     Only ``doc_id`` and ``text`` are read. A null or empty text, or one without a term
-    of the index, has no neighbours and gets the score of that case. Null and repeated
+    of the examples, has no neighbours and gets the score of that case. Null and repeated
     ids come back as they are; an empty table gives none."""
     prepare(docs.sparkSession)
 

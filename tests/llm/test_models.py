@@ -100,6 +100,40 @@ def test_neighbours_are_the_exact_nearest(seed):
         assert np.allclose(every[at], sim, atol=1e-5)
 
 
+def test_rare_words_have_neighbours_and_a_copy_gets_its_label(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(300):
+        # a tenth is toxic, by words that few or no others hold
+        bad = i % 10 == 0
+        rows.append((i, prose(rng, 60, 300) + (" " + " ".join("x" + "abcdefghij"[rng.randrange(10)] * rng.randrange(2, 9) for _ in range(6)) if bad else "")))
+        labels.append((i, int(bad)))
+    letters = str.maketrans("0123456789", "abcdefghij")
+    rows = [(i, t.translate(letters)) for i, t in rows]
+    rows += [(1000 + i, t) for i, t in rows if i % 10 == 0] + [(2000, "zz zzz"), (2001, rows[1][1])]
+    docs = docs_of(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    out = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    for i in range(0, 300, 10):
+        r = out[1000 + i]
+        assert r.nearest_id == i and r.nearest_similarity > 0.999 and r.score > 0.5
+    assert out[2000].n_neighbours == 0 and out[2001].score < 0.5
+    assert len(model.index.vocabulary.hashes) == len({w for i, t in rows if i < 300 for w in t.split()})
+
+
+def test_blocks_left_out_hold_no_neighbour(monkeypatch):
+    rng = np.random.default_rng(4)
+    n, terms = 1000, 400
+    vectors = [(np.sort(rng.choice(terms, 20, replace=False)), np.ones(20)) for _ in range(n)]
+    args = toxicity.Vocabulary(np.arange(terms, dtype=np.uint64)), rng.uniform(0.5, 5, terms), vectors, rng.integers(0, 2, n), np.arange(n)
+    index = toxicity.Index(*args)
+    few = [index.nearest(t, w, skip=i) for i, (t, w) in enumerate(index.vectors[:100])]
+    monkeypatch.setattr(toxicity, "FIRST_BLOCKS", 1)
+    for (a, s), (i, (t, w)) in zip(few, enumerate(index.vectors[:100])):
+        b, z = index.nearest(t, w, skip=i)
+        assert a.tolist() == b.tolist() and np.allclose(s, z) and i not in a
+
+
 def test_codewords_differ_and_use_both_classes():
     for n in (2, 3, 4, 7, 8, 30):
         code = langid.codewords(n)
