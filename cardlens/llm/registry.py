@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardlens.llm import bpe, crf, decontam, dedup, katz, langid, rules, shards, toxicity, warc
+from cardlens.llm import bpe, crf, decontam, dedup, katz, langid, periodic, rules, shards, toxicity, warc
 
 # name -> (query, DuckDB SQL or None where SQL cannot express it)
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -20,6 +20,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_bpe": (bpe.op8_bpe, None),
     "op9_decontamination": (decontam.op9_decontamination, None),
     "op10_warc": (warc.op10_warc, warc.ORACLE),
+    "op11_periodic_runs": (periodic.op11_periodic_runs, periodic.ORACLE),
 }
 
 
