@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardlens.llm import bpe, crf, decontam, dedup, katz, langid, periodic, rules, shards, toxicity, trie, warc
+from cardlens.llm import ann, bpe, crf, decontam, dedup, katz, langid, periodic, rules, shards, toxicity, trie, warc
 
 # name -> (query, DuckDB SQL or None where SQL cannot express it)
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -22,6 +22,7 @@ REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op10_warc": (warc.op10_warc, warc.ORACLE),
     "op11_periodic_runs": (periodic.op11_periodic_runs, periodic.ORACLE),
     "op12_prefix_trie": (trie.op12_prefix_trie, trie.ORACLE),
+    "op13_nearest_neighbours": (ann.op13_nearest_neighbours, None),
 }
 
 
