@@ -262,7 +262,9 @@ FROM documents"""
 SPANS_CTE = """spans AS (
   SELECT event_id AS span_id, user_id AS trace_key, event_type AS name, ts AS start_ts,
          value AS duration_ms, CASE WHEN event_type = 'error' THEN 'ERROR' ELSE 'OK' END AS status,
-         CAST(json_extract_string(props, '$.k') AS BIGINT) AS input_tokens, event_id % 50 AS output_tokens
+         CAST(json_extract_string(props, '$.k') AS BIGINT) AS input_tokens, event_id % 50 AS output_tokens,
+         CASE WHEN event_type IN ('view', 'click') AND event_id % 3 <> 0 THEN 'model-' || (event_id % 2) END AS model,
+         CASE WHEN event_id % 64 <> 0 THEN event_id - event_id % 64 + (event_id % 64 - 1) // 2 END AS parent_id
   FROM events)"""
 
 
@@ -285,19 +287,36 @@ FROM r GROUP BY name"""
 
 
 def token_usage(p: Params) -> str:
-    return with_(SPANS_CTE) + """SELECT name AS model, COUNT(*) AS n_calls, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens,
+    return with_(SPANS_CTE) + """SELECT COALESCE(model, name) AS model, COUNT(*) AS n_calls, CAST(SUM(input_tokens) AS BIGINT) AS input_tokens,
   CAST(SUM(output_tokens) AS BIGINT) AS output_tokens, CAST(SUM(input_tokens + output_tokens) AS BIGINT) AS total_tokens,
   MAX(input_tokens + output_tokens) AS max_tokens, CAST(SUM(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) AS BIGINT) AS n_errors
-FROM spans GROUP BY name"""
+FROM spans GROUP BY COALESCE(model, name)"""
 
 
 def episodes(p: Params) -> str:
-    return with_(SPANS_CTE) + f""", e AS (
-  SELECT *, CAST(SUM(CASE WHEN name = 'signup' THEN 1 ELSE 0 END) OVER (
+    # a marker counts by the marker before it; a span is inside if the last marker at or
+    # before it opens, or if it closes what was open
+    return with_(SPANS_CTE) + f""", m AS (
+  SELECT *, CASE name WHEN 'signup' THEN 1 WHEN 'purchase' THEN 0 END AS mark FROM spans),
+b AS (SELECT *, COALESCE(last_value(mark IGNORE NULLS) OVER (
+      PARTITION BY trace_key ORDER BY start_ts, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS was FROM m),
+e AS (
+  SELECT *, CAST(SUM(CASE WHEN mark = 1 AND was = 0 THEN 1 ELSE 0 END) OVER (
       PARTITION BY trace_key ORDER BY start_ts, span_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS episode_no
-  FROM spans)
+  FROM b)
 SELECT trace_key, episode_no, COUNT(*) AS n_spans,
   strftime(MIN(start_ts), {TS}) AS first_time, strftime(MAX(start_ts), {TS}) AS last_time,
   CAST(SUM(CAST(duration_ms AS DECIMAL(38,6))) AS DOUBLE) AS total_ms,
-  CAST(SUM(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) AS BIGINT) AS n_errors
-FROM e GROUP BY trace_key, episode_no"""
+  CAST(SUM(CASE WHEN status = 'ERROR' THEN 1 ELSE 0 END) AS BIGINT) AS n_errors, bool_or(name = 'purchase') AS answered
+FROM e WHERE was = 1 OR mark = 1 GROUP BY trace_key, episode_no"""
+
+
+def span_tree(p: Params) -> str:
+    return with_(SPANS_CTE).replace("WITH ", "WITH RECURSIVE ", 1) + """, t AS (
+  SELECT span_id // 64 AS request_id, span_id, span_id AS root_id, 0 AS depth FROM spans s
+  WHERE parent_id IS NULL OR parent_id NOT IN (SELECT span_id FROM spans)
+  UNION ALL SELECT t.request_id, s.span_id, t.root_id, t.depth + 1 FROM t JOIN spans s ON s.parent_id = t.span_id),
+k AS (SELECT parent_id, SUM(CAST(duration_ms AS DECIMAL(38,6))) AS c FROM spans GROUP BY parent_id)
+SELECT t.request_id, t.span_id, t.root_id, CAST(t.depth AS BIGINT) AS depth,
+  CAST(CAST(s.duration_ms AS DECIMAL(38,6)) - COALESCE(k.c, 0) AS DOUBLE) AS own_ms, CAST(CAST(s.duration_ms AS DECIMAL(38,6)) AS DOUBLE) AS total_ms
+FROM t JOIN spans s ON s.span_id = t.span_id LEFT JOIN k ON k.parent_id = t.span_id"""

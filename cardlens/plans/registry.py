@@ -82,6 +82,7 @@ REGISTRY: dict[str, tuple[SparkFn, OracleFn | None]] = {
     "span_latency": (spans.span_latency, ol.span_latency),
     "token_usage": (spans.token_usage, ol.token_usage),
     "episodes": (spans.episodes, ol.episodes),
+    "span_tree": (spans.span_tree, ol.span_tree),
 }
 
 

@@ -250,4 +250,10 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", F.lit("ERROR")).otherwise(F.lit("OK")).alias("status"),
         F.get_json_object("props", "$.k").cast("bigint").alias("input_tokens"),
         (F.col("event_id") % 50).alias("output_tokens"),
+        # views and clicks are calls of a model, a third of them without its name
+        F.when(F.col("event_type").isin("view", "click") & (F.col("event_id") % 3 != 0),
+               F.concat(F.lit("model-"), (F.col("event_id") % 2).cast("string"))).alias("model"),
+        # traces of 64 spans, each a binary tree below its first
+        F.when(F.col("event_id") % 64 != 0,
+               F.expr("event_id - event_id % 64 + (event_id % 64 - 1) div 2")).alias("parent_id"),
     )

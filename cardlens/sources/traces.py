@@ -67,6 +67,8 @@ def flat_spans(raw: DataFrame) -> DataFrame:
         ((F.col("s.end_time") - F.col("s.start_time")) / F.lit(1_000_000.0)).alias("duration_ms"),
         F.col("s.status_code").alias("status_code"),
         F.get_json_object(attr.getItem(ATTR_TYPE), "$").alias("span_type"),
+        F.coalesce(F.get_json_object(out_json, "$.llm_output.model"),
+                   F.get_json_object(out_json, "$.llm_output.model_name")).alias("model"),
         F.get_json_object(out_json, "$.llm_output.usage.input_tokens").cast("bigint").alias("input_tokens"),
         F.get_json_object(out_json, "$.llm_output.usage.output_tokens").cast("bigint").alias("output_tokens"),
         attr.getItem(ATTR_INPUTS).alias("inputs"),
@@ -79,17 +81,24 @@ RECORD_SPANS = 500  # spans of a nested record, about
 
 def nested_records(spans: DataFrame) -> DataFrame:
     """Spans as nested records, one or more per (key, hour); the stand-in's way to the
-    stored form. Spans of a busy hour are dealt out to records by a hash of their id."""
+    stored form. Spans of a busy hour are dealt out to records by a hash of their id. A
+    missing key or start leaves its place in the record's name empty; no span is lost."""
     hour = F.date_format("start_ts", "yyyyMMddHH")
-    key = F.concat(F.col("trace_key").cast("string"), F.lit("-"), hour)
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    key = F.concat(blank(F.col("trace_key").cast("string")), F.lit("-"), blank(hour))
     s = spans.withColumn("record", key)
     n = s.groupBy("record").agg(F.count("*").alias("n"))
     s = s.join(n, "record").withColumn("block", F.pmod(F.xxhash64("span_id"), F.ceil(F.col("n") / RECORD_SPANS)))
     start = F.unix_micros(F.col("start_ts").cast("timestamp")) * 1000
     end = start + F.round(F.col("duration_ms") * 1_000_000).cast("bigint")
-    usage = F.to_json(F.struct(F.struct(F.struct("input_tokens", "output_tokens").alias("usage")).alias("llm_output")))
+    output = [F.struct("input_tokens", "output_tokens").alias("usage")]
+    if "model" in spans.columns:
+        output.append(F.col("model"))
+    usage = F.to_json(F.struct(F.struct(*output).alias("llm_output")))
+    text = lambda c: F.col(c).cast("string").alias(c)
     span = F.struct(
-        "name", F.struct(F.col("span_id").cast("string").alias("span_id"), F.col("trace_key").cast("string").alias("trace_id")).alias("context"),
+        "name", F.struct(text("span_id"), F.col("trace_key").cast("string").alias("trace_id")).alias("context"),
+        *([text("parent_id")] if "parent_id" in spans.columns else []),
         start.alias("start_time"), end.alias("end_time"), F.col("status").alias("status_code"),
         F.create_map(F.lit(ATTR_OUTPUTS), usage).alias("attributes"))
     return s.groupBy("record", "block").agg(F.collect_list(span).alias("spans")).select(
