@@ -10,10 +10,19 @@ from pyspark.sql import functions as F
 TRIM_CHARS = " \t\n\r"
 TOKEN_PATTERN = r"[^ \t\n\r\f]+"
 
-# Fixed value. A statement starts with SELECT or WITH at the very start, after a
-# line break, after a code fence or after "SQLQuery:", and runs to the first ';'
-# or the end of the text. Valid in both Java regex and RE2.
-SQL_PATTERN = r"(?is)(?:^|\n|```sql|SQLQuery:)[ \t\r\n]*((?:select|with)[ \t\r\n(].*?(?:;|\z))"
+# A statement starts with SELECT, or with WITH and a name defined AS (...), at the very
+# start, after a line break, after a code fence or after "SQLQuery:". Prose that begins
+# with "With" is none.
+STATEMENT_START = (
+    r"(?is)(?:^|\n|```sql|SQLQuery:)[ \t\r\n]*"
+    r"((?:select[ \t\r\n(*'\"`]|with[ \t\r\n]+(?:recursive[ \t\r\n]+)?(?:\w+|\"[^\"]*\"|`[^`]*`)[ \t\r\n]*"
+    r"(?:\([^()]*\)[ \t\r\n]*)?as[ \t\r\n]*(?:(?:not[ \t\r\n]+)?materialized[ \t\r\n]*)?\().*)")
+
+# The pieces of a statement: a fence, a semicolon, literals, quoted names and comments
+# (one without an end runs to the end of the text), runs of other characters, single
+# ones. A quote doubled inside a literal is two literals side by side.
+PIECE = (r"(?s)(```|;|'[^']*(?:'|\z)|\"[^\"]*(?:\"|\z)|`[^`]*(?:`|\z)|--[^\n]*"
+         r"|/\*.*?(?:\*/|\z)|[^;'\"`/-]+|.)")
 
 # Fixed values. Error classes from the database's error text.
 ERROR_CLASSES = (
@@ -49,8 +58,24 @@ def token_count(c: Column) -> Column:
 
 
 def extract_sql(c: Column) -> Column:
-    """The statement inside a chatty reply; '' when there is none."""
-    return F.trim(F.regexp_extract(c, SQL_PATTERN, 1), F.lit(TRIM_CHARS))
+    """The statement inside a chatty reply; '' when there is none.
+
+    The reply is cut into pieces in one pass from the statement's start; the statement
+    runs through the first ``;`` that is a piece of its own, or up to a closing code
+    fence, or to the end of the text. A ``;`` inside a literal, a quoted name or a
+    comment is part of its piece.
+    """
+    pieces = F.regexp_extract_all(F.regexp_extract(c, STATEMENT_START, 1), F.lit(PIECE), F.lit(1))
+    return F.trim(F.transform(F.array(pieces), _through_end)[0], F.lit(TRIM_CHARS))
+
+
+def _through_end(pieces: Column) -> Column:
+    """The pieces up to a fence, or through the first ``;``, as one text."""
+    whole = F.size(pieces)
+    fence, end = F.array_position(pieces, "```").cast("int"), F.array_position(pieces, ";").cast("int")
+    # array_position is 0 where there is none
+    stop = F.least(F.when(fence > 0, fence - 1).otherwise(whole), F.when(end > 0, end).otherwise(whole))
+    return F.array_join(F.slice(pieces, F.lit(1), stop), "")
 
 
 def error_class(result: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cardlens.functions.text import SQL_PATTERN, TOKEN_PATTERN
+from cardlens.functions.text import TOKEN_PATTERN
 from cardlens.operators.attempts import CHUNK_CHARS
 from cardlens.operators.catalog import NAMED_SQL, SAMPLE_CHARS, SAMPLE_ROWS
 from cardlens.operators.prompts import (ANSWER_TEMPLATE, DIALECT, EXAMPLES, REPAIR_TEMPLATE,
@@ -166,9 +166,11 @@ FROM (SELECT q_id, CAST(len(regexp_extract_all(prompt, {lit(TOKEN_PATTERN)})) AS
 ATTEMPTS_CTE = r"""attempts AS (
   SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn // 4 AS VARCHAR) AS q_id, turn % 4 // 2 + 1 AS attempt_no,
     CASE (conv_id + turn) % 4
-      WHEN 0 THEN 'SELECT count(*) AS n FROM lineitem WHERE l_orderkey = ' || CAST(conv_id AS VARCHAR) || ';'
-      WHEN 1 THEN regexp_extract(text, '^([^\n]*)', 1) || chr(10) || chr(10) || 'SQLQuery: SELECT count(*) AS n FROM orders WHERE o_custkey = ' || CAST(conv_id AS VARCHAR) || ';'
-      WHEN 2 THEN 'Here is the query:' || chr(10) || '```sql' || chr(10) || 'SELECT sum(l_quantity) AS q FROM lineitem WHERE l_partkey = ' || CAST(conv_id AS VARCHAR) || ';' || chr(10) || '```'
+      WHEN 0 THEN 'SELECT count(*) AS n FROM lineitem WHERE l_orderkey = ' || CAST(conv_id AS VARCHAR) || ' AND l_comment <> ''it''''s; --'';'
+      WHEN 1 THEN regexp_extract(text, '^([^\n]*)', 1) || chr(10) || chr(10) || 'SQLQuery: SELECT count(*) AS n /* by; account */ FROM orders -- all; of them'
+        || chr(10) || 'WHERE o_custkey = ' || CAST(conv_id AS VARCHAR) || '; That is it.'
+      WHEN 2 THEN 'Here is the query:' || chr(10) || '```sql' || chr(10) || 'SELECT sum(l_quantity) AS "q;1" FROM lineitem WHERE l_partkey = ' || CAST(conv_id AS VARCHAR)
+        || CASE WHEN conv_id % 4 = 0 THEN '' ELSE ';' END || chr(10) || '```'
       ELSE 'SELECT l_missing FROM lineitem WHERE l_orderkey = ' || CAST(conv_id AS VARCHAR) || ';'
     END AS reply,
     CASE (conv_id + turn) % 4
@@ -180,24 +182,42 @@ ATTEMPTS_CTE = r"""attempts AS (
   FROM conversations WHERE role = 'assistant')"""
 
 
-def _extract(col: str) -> str:
-    return f"trim(regexp_extract({col}, {lit(SQL_PATTERN)}, 1), {TRIM})"
-
-
-STATUS_CTE = f"""status AS (
-  SELECT q_id, attempt_no, reply, result_text, {_extract('reply')} AS sql,
+# R3 by its rules: the statement starts where the reply does, after SQLQuery: or in a
+# fence; its characters are walked one by one with a state (code, inside a quote of one of
+# three kinds, line or block comment) until a semicolon or a fence is met as code.
+SCAN_CTES = f"""begun AS (
+  SELECT q_id, attempt_no, CASE WHEN starts_with(reply, 'SELECT') THEN reply
+      WHEN contains(reply, 'SQLQuery: ') THEN split_part(reply, 'SQLQuery: ', 2)
+      WHEN contains(reply, '```sql' || chr(10)) THEN split_part(reply, '```sql' || chr(10), 2) ELSE '' END AS t FROM attempts),
+walk AS (
+  SELECT q_id, attempt_no, t, 1 AS i, 'code' AS state FROM begun
+  UNION ALL
+  SELECT q_id, attempt_no, t, CASE WHEN state = 'block' AND t[i:i + 1] = '*/' THEN i + 2 ELSE i + 1 END,
+    CASE WHEN state = 'code' AND (t[i] = ';' OR t[i:i + 2] = '```') THEN 'end'
+         WHEN state = 'code' AND t[i:i + 1] = '--' THEN 'line' WHEN state = 'code' AND t[i:i + 1] = '/*' THEN 'block'
+         WHEN state = 'code' AND t[i] IN (chr(39), '"', '`') THEN t[i]
+         WHEN state = t[i] OR (state = 'line' AND t[i] = chr(10)) OR (state = 'block' AND t[i:i + 1] = '*/') THEN 'code'
+         ELSE state END
+  FROM walk WHERE state <> 'end' AND i <= length(t)),
+found AS (
+  SELECT q_id, attempt_no, trim(CASE WHEN state <> 'end' THEN t WHEN t[i - 1] = ';' THEN t[:i - 1] ELSE t[:i - 2] END, {TRIM}) AS sql
+  FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY q_id, attempt_no ORDER BY i DESC) = 1) w)"""
+
+STATUS_CTE = SCAN_CTES + """,
+status AS (
+  SELECT a.q_id, a.attempt_no, reply, result_text, sql,
     CASE WHEN NOT (starts_with(result_text, 'Error:') OR contains(result_text, 'OperationalError')) THEN 'ok'
          WHEN regexp_matches(lower(result_text), 'syntax error') THEN 'syntax'
          WHEN regexp_matches(lower(result_text), 'no such column') THEN 'missing_column'
          WHEN regexp_matches(lower(result_text), 'no such table') THEN 'missing_table'
          ELSE 'other' END AS status,
     contains(result_text, 'OperationalError') AS has_error_marker
-  FROM attempts)"""
+  FROM attempts a JOIN found f ON f.q_id = a.q_id AND f.attempt_no = a.attempt_no)"""
 
 
 def sql_extract(p: Params) -> str:
-    return with_(ATTEMPTS_CTE) + f"""SELECT q_id, attempt_no, sql, sql <> trim(reply, {TRIM}) AS had_wrapping
-FROM (SELECT q_id, attempt_no, reply, {_extract('reply')} AS sql FROM attempts) a"""
+    return with_(ATTEMPTS_CTE, SCAN_CTES) + f"""SELECT a.q_id, a.attempt_no, sql, sql <> trim(reply, {TRIM}) AS had_wrapping
+FROM attempts a JOIN found f ON f.q_id = a.q_id AND f.attempt_no = a.attempt_no"""
 
 
 def attempt_status(p: Params) -> str:
@@ -312,7 +332,7 @@ FROM e WHERE was = 1 OR mark = 1 GROUP BY trace_key, episode_no"""
 
 
 def span_tree(p: Params) -> str:
-    return with_(SPANS_CTE).replace("WITH ", "WITH RECURSIVE ", 1) + """, t AS (
+    return with_(SPANS_CTE) + """, t AS (
   SELECT span_id // 64 AS request_id, span_id, span_id AS root_id, 0 AS depth FROM spans s
   WHERE parent_id IS NULL OR parent_id NOT IN (SELECT span_id FROM spans)
   UNION ALL SELECT t.request_id, s.span_id, t.root_id, t.depth + 1 FROM t JOIN spans s ON s.parent_id = t.span_id),

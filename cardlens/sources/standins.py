@@ -210,16 +210,21 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Each reply is one of the four shapes on record (bare statement, prose then
     ``SQLQuery:``, code fence, statement naming a missing column), and the
-    stored result text is what the database returned for the reply sent raw.
+    stored result text is what the database returned for the reply sent raw. The
+    statements hold semicolons that do not end them, in literals, quoted names and
+    comments, and some fenced ones have none of their own.
     """
     r = replies(spark, sf_dir)
     shape = F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4))
     first_word = F.regexp_extract("text", r"^([^ \n]+)", 1)
     first_line = F.regexp_extract("text", r"^([^\n]*)", 1)
     cid = F.col("conv_id").cast("string")
-    reply = (F.when(shape == 0, F.concat(F.lit("SELECT count(*) AS n FROM lineitem WHERE l_orderkey = "), cid, F.lit(";")))
-              .when(shape == 1, F.concat(first_line, F.lit("\n\nSQLQuery: SELECT count(*) AS n FROM orders WHERE o_custkey = "), cid, F.lit(";")))
-              .when(shape == 2, F.concat(F.lit("Here is the query:\n```sql\nSELECT sum(l_quantity) AS q FROM lineitem WHERE l_partkey = "), cid, F.lit(";\n```")))
+    literal, name = F.lit(" AND l_comment <> 'it''s; --'"), F.lit('SELECT sum(l_quantity) AS "q;1"')
+    note = F.lit(" /* by; account */ FROM orders -- all; of them\n")
+    last = F.when(F.col("conv_id") % 4 == 0, F.lit("")).otherwise(F.lit(";"))
+    reply = (F.when(shape == 0, F.concat(F.lit("SELECT count(*) AS n FROM lineitem WHERE l_orderkey = "), cid, literal, F.lit(";")))
+              .when(shape == 1, F.concat(first_line, F.lit("\n\nSQLQuery: SELECT count(*) AS n"), note, F.lit("WHERE o_custkey = "), cid, F.lit("; That is it.")))
+              .when(shape == 2, F.concat(F.lit("Here is the query:\n```sql\n"), name, F.lit(" FROM lineitem WHERE l_partkey = "), cid, last, F.lit("\n```")))
               .otherwise(F.concat(F.lit("SELECT l_missing FROM lineitem WHERE l_orderkey = "), cid, F.lit(";"))))
     result = (F.when(shape == 0, F.lit("[(1,)]"))
                .when(shape == 1, F.concat(F.lit('Error: (sqlite3.OperationalError) near "'), first_word, F.lit('": syntax error')))
