@@ -8,8 +8,9 @@ a neighbouring cell are ranked by the distance to that cell's border, and sets o
 steps are taken by their expected sum of squared distances, the least (likeliest) first.
 Bucket contents and probing queries are packed in blocks, so a bucket of any size is
 compared with its queries block by block, all of it, and a pair of blocks returns no
-more than the best of each query. Candidates of all tables are merged and ranked by
-their exact inner product.
+more than the best of each query. What scores below as many rows of a bounded sample as a query
+can need is dropped at once. Candidates of all tables are merged and ranked by their
+exact inner product.
 
 K, W and the number of probes follow from a bounded sample: ``SAMPLE_QUERIES`` queries
 are compared with every row once, and the cheapest setting is taken by which their true
@@ -140,29 +141,33 @@ def best_of(q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of one key as blocks of at most ``BLOCK`` vectors."""
-    key, ids, vectors = None, [], []
+    key, ids, vectors, floors = None, [], [], []
 
     def block() -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"key": pa.array([key], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())),
-                                           "vectors": pa.array([b"".join(vectors)], pa.binary())})
+                                           "vectors": pa.array([b"".join(vectors)], pa.binary()),
+                                           "floors": pa.array([floors], pa.list_(pa.float64()))})
 
     for batch in batches:
-        for k, i, v in zip(*(batch.column(c).to_pylist() for c in ("key", "class", "vector")), strict=True):
+        for k, i, v, f in zip(*(batch.column(c).to_pylist() for c in ("key", "class", "vector", "floor")), strict=True):
             if ids and (k != key or len(ids) == BLOCK or len(v) != len(vectors[0])):
                 yield block()
-                ids, vectors = [], []
+                ids, vectors, floors = [], [], []
             key = k
             ids.append(i)
             vectors.append(v)
+            floors.append(f)
     if ids:
         yield block()
 
 
 def _blocks(df: DataFrame, spread: str) -> DataFrame:
-    """key, ids, vectors: the rows of each key in blocks; ranges split a hot key."""
+    """key, ids, vectors, floors: the rows of each key in blocks; ranges split a hot key."""
     n = shuffle_partitions(df.sparkSession)
+    if "floor" not in df.columns:
+        df = df.withColumn("floor", F.lit(float("-inf")))
     return df.repartitionByRange(n, "key", spread).sortWithinPartitions("key", spread).mapInArrow(
-        _pack, "key long, ids array<long>, vectors binary")
+        _pack, "key long, ids array<long>, vectors binary, floors array<double>")
 
 
 def _vectors(df: DataFrame) -> DataFrame:
@@ -253,7 +258,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = NEIGHBOURS, target: fl
 
     sample = ask.orderBy(F.xxhash64("vector"), "vector").limit(SAMPLE_QUERIES).collect()  # at most SAMPLE_QUERIES vectors
     n = least.count()
-    functions, width, visits, _ = _fit(spark, least, [bytes(r["vector"]) for r in sample], n, norm, k, target)
+    (functions, width, visits, _), seen = _fit(spark, least, [bytes(r["vector"]) for r in sample], n, norm, k, target)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,17 +274,19 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = NEIGHBOURS, target: fl
             for at, m in _matrices(batch.column("vector")) if batch.num_rows else ():
                 for i in range(0, len(at), 64):
                     x = _as_query(m[i:i + 64])
+                    floor = _floors(m[i:i + 64], seen, wide)
                     for t in range(TABLES):
                         keys = _keys(_probes(x, functions, width, t, visits), m.shape[1], functions, width, t)
                         own = batch.take(pa.array(np.repeat(at[i:i + 64], keys.shape[1])))
-                        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), own.column("class"), own.column("vector")],
-                                                         ["key", "class", "vector"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(keys.ravel()), own.column("class"), own.column("vector"), pa.array(np.repeat(floor, keys.shape[1]))],
+                            ["key", "class", "vector", "floor"])
 
     packed = "key long, class long, vector binary"
     with batch_rows(spark, 500):
         buckets = materialize(_blocks(least.select("class", "vector").mapInArrow(index, packed), "class"), "buckets")
-        probing = materialize(_blocks(ask.mapInArrow(visit, packed), "class"), "probes")
-    pairs = probing.select("key", F.col("ids").alias("qids"), F.col("vectors").alias("queries")).join(buckets, "key")
+        probing = materialize(_blocks(ask.mapInArrow(visit, packed + ", floor double"), "class"), "probes")
+    pairs = probing.select("key", F.col("ids").alias("qids"), F.col("vectors").alias("queries"), "floors").join(buckets.drop("floors"), "key")
     found = materialize(_merge(_compare(pairs, wide), wide), "found")
 
     # queries that met too few candidates see every row of their dimension
@@ -291,7 +298,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = NEIGHBOURS, target: fl
     if not short.isEmpty():
         whole = _blocks(least.select(F.length("vector").cast("long").alias("key"), "class", "vector"), "class")
         few = _blocks(short.select(F.col("bytes").cast("long").alias("key"), "class", "vector"), "class")
-        pairs = few.select("key", F.col("ids").alias("qids"), F.col("vectors").alias("queries")).join(whole, "key")
+        pairs = few.select("key", F.col("ids").alias("qids"), F.col("vectors").alias("queries"), "floors").join(whole.drop("floors"), "key")
         found = materialize(_merge(found.unionByName(_compare(pairs, wide)), wide), "found")
 
     # classes become ids again, each query without its own
@@ -315,11 +322,11 @@ def _norm(stored: DataFrame) -> float | None:
 
 
 def _fit(spark: SparkSession, least: DataFrame, sample: list[bytes], n: int, norm: float, k: int, target: float
-         ) -> tuple[int, float, int, float]:
-    """The setting for these rows, from the sample queries' true neighbours."""
+         ) -> tuple[tuple[int, float, int, float], np.ndarray]:
+    """(the setting for these rows from the sample queries' true neighbours, a sample of rows)."""
     dims = sorted({len(v) for v in sample}, key=lambda d: -sum(len(v) == d for v in sample))
     if not dims:
-        return SETTINGS[0][0], SETTINGS[0][1], 1, 1.0
+        return (SETTINGS[0][0], SETTINGS[0][1], 1, 1.0), np.zeros((0, 1))
     sample = [v for v in sample if len(v) == dims[0]]  # most of them; other dimensions follow the same setting
     q = np.frombuffer(b"".join(sample), dtype="<f8").reshape(len(sample), -1)
 
@@ -337,10 +344,21 @@ def _fit(spark: SparkSession, least: DataFrame, sample: list[bytes], n: int, nor
     near = [[r["vector"] for r in best if r["query"] == i and bytes(r["vector"]) != v] for i, v in enumerate(sample)]
     share = min(1.0, SAMPLE_ROWS / max(1, n))
     picked = least.where((F.length("vector") == len(sample[0])) & (F.pmod(F.xxhash64("vector", F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
-    some = [r["vector"] for r in picked.select("vector").limit(2 * SAMPLE_ROWS).collect()] or sample
+    some = [r["vector"] for r in picked.select("vector").limit(2 * SAMPLE_ROWS).collect()]
     matrix = lambda vs: np.frombuffer(b"".join(bytes(v) for v in vs), dtype="<f8").reshape(len(vs), -1)
+    seen = matrix(some) if some else np.zeros((0, q.shape[1]))
     return _choose(_as_query(q), [_on_sphere(matrix(x), norm) if x else np.zeros((0, q.shape[1] + 1)) for x in near],
-                   _on_sphere(matrix(some), norm), n, target)
+                   _on_sphere(seen if some else q, norm), n, target), seen
+
+
+def _floors(q: np.ndarray, seen: np.ndarray, wide: int) -> np.ndarray:
+    """A score that ``wide`` rows of the sample reach: nothing below is among the best ``wide``."""
+    if seen.shape[1] != q.shape[1] or len(seen) < wide:
+        return np.full(len(q), -np.inf)
+    s = q @ seen.T
+    floor = np.partition(s, s.shape[1] - wide, axis=1)[:, s.shape[1] - wide]
+    floor = floor - 1e-12 * np.abs(q).max(axis=1) * np.abs(seen).max() * q.shape[1]
+    return np.where(np.isfinite(floor), floor, -np.inf)
 
 
 def _compare(pairs: DataFrame, wide: int) -> DataFrame:
@@ -361,12 +379,14 @@ def _compare(pairs: DataFrame, wide: int) -> DataFrame:
 
         size = 0
         for batch in batches:
-            for qids, queries, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("qids", "queries", "ids", "vectors")), strict=True):
+            for qids, queries, floors, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("qids", "queries", "floors", "ids", "vectors")), strict=True):
                 q = np.frombuffer(queries, dtype="<f8").reshape(len(qids), -1)
                 v = np.frombuffer(vectors, dtype="<f8").reshape(len(ids), -1)
                 if q.shape[1] != v.shape[1]:
                     continue  # keys of two dimensions may agree by chance
                 a, b, s = best_of(q, v, wide)
+                up = ~(s < np.asarray(floors)[a])
+                a, b, s = a[up], b[up], s[up]
                 held.append((np.asarray(qids)[a], np.asarray(ids)[b], s))
                 size += len(a)
                 if size > 2_000_000:
@@ -379,7 +399,7 @@ def _compare(pairs: DataFrame, wide: int) -> DataFrame:
             yield _scores(*shrink())
 
     with batch_rows(pairs.sparkSession, 16):
-        return materialize(pairs.select("qids", "queries", "ids", "vectors").mapInArrow(run, "query long, class long, score double"), "scores")
+        return materialize(pairs.select("qids", "queries", "floors", "ids", "vectors").mapInArrow(run, "query long, class long, score double"), "scores")
 
 
 def _scores(a: np.ndarray, b: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
