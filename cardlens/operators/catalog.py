@@ -8,12 +8,16 @@ data folder, not listed here. Schemas are read from the tables' metadata, never
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import json
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cardlens.params import Params
-from cardlens.session import shared_dir
+from cardlens.session import remove_dir, shared_dir
 from cardlens.sources.standins import meta_tables
 from cardlens.sources.tables import chosen_tables, discover_tables, list_tables, read_table, register_views
 
@@ -72,55 +76,83 @@ SAMPLE_ROWS = 3     # first rows of a table on its card
 SAMPLE_CHARS = 60   # display cut of a value (C13)
 
 
+def column(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def value_text(c: Column, kind: T.DataType) -> Column:
     """A value as text that is the same in other engines; cut for display."""
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        c = c.cast("decimal(38,6)").cast("string")
+        c = F.coalesce(c.cast("double").try_cast("decimal(38,6)").cast("string"), c.cast("string"))
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
     elif isinstance(kind, T.ArrayType):
         c = F.array_join(F.transform(F.slice(c, 1, 4), lambda x: value_text(x, kind.elementType)), ",")
-    else:
+    elif isinstance(kind, T.BinaryType):
+        c = F.hex(F.substring(c, 1, SAMPLE_CHARS))
+    else:  # maps and structs too have a text form
         c = c.cast("string")
     return F.coalesce(F.substring(c, 1, SAMPLE_CHARS), F.lit("NULL"))
 
 
+def first_files(df: DataFrame, n: int) -> list[tuple[str, int]]:
+    """(file, rows before it) of the first files, by name, that hold ``n`` rows together.
+
+    Only the footers of these files are read, on the driver; no job runs.
+    """
+    spark = df.sparkSession
+    conf = spark._jsc.hadoopConfiguration()
+    parquet = spark._jvm.org.apache.parquet.hadoop
+    out, before = [], 0
+    for file in sorted(df.inputFiles()):
+        if before >= n:
+            break
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(file))
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(path, conf))
+        rows = reader.getRecordCount()
+        reader.close()
+        if rows:
+            out.append((file, before))
+            before += rows
+    return out
+
+
 def first_rows(frames: dict[str, DataFrame], n: int) -> dict[str, DataFrame]:
-    """The first ``n`` rows of each table in the order of all its columns, as frames.
+    """The first ``n`` rows of each parquet table by their place, with the place (from 0)
+    as ``_nth``: rows of the first file by name, then of the next one if it is short.
 
-    One job finds the least ``n`` values of every first column (nothing else is
-    scanned); the rows are then read with those values as a pushed filter."""
-    if not frames:
-        return {}
-    keys = _union([df.select(F.lit(t).alias("table_name"), F.struct(F.col(df.columns[0]).alias("v")).alias("k"))
-                   .orderBy(F.col("k.v").asc_nulls_first()).limit(n)
-                   .select("table_name", F.col("k.v").isNull().alias("none"), F.col("k.v").cast("string").alias("v"))
-                   for t, df in frames.items()]).distinct().collect()  # at most n rows a table
+    A row is picked by its file and row index, so nothing else of the table is scanned
+    and any type of column will do. An empty table gives no rows. Building runs no job.
+    """
     out = {}
     for t, df in frames.items():
-        first = df.columns[0]
-        kind = df.schema[first].dataType
-        values = [F.lit(r["v"]).cast(kind) for r in keys if r["table_name"] == t and not r["none"]]
-        cond = F.col(first).isin(values) if values else F.lit(False)
-        if any(r["table_name"] == t and r["none"] for r in keys):
-            cond = cond | F.col(first).isNull()
-        out[t] = df.where(cond).orderBy(*[F.col(c).asc_nulls_first() for c in df.columns]).limit(n)
+        parts = []
+        for file, before in first_files(df, n):
+            # the file is picked when the scan lists its files, so no other is opened
+            # (a local file's name has one slash or three there)
+            here = df.where(F.col("_metadata.file_path").isin(file, re.sub("^file:///", "file:/", file))
+                            & (F.col("_metadata.row_index") < n - before))
+            parts.append(here.select("*", (F.col("_metadata.row_index") + before).cast("int").alias("_nth")))
+        out[t] = _union(parts) if parts else df.limit(0).withColumn("_nth", F.lit(0))
     return out
 
 
 def schema_card(spark: SparkSession, sf_dir: str, p: Params, n: int = SAMPLE_ROWS,
                 include: tuple[str, ...] | None = None) -> DataFrame:
-    """Table, ordinal, column, type and the column's values in the first ``n`` rows.
+    """Table, ordinal, column, type and the column's values in the table's first ``n`` rows.
 
     Every table of the folder has a line per column, an empty one without samples."""
     frames = {t: read_table(spark, sf_dir, t) for t in chosen_tables(spark, sf_dir, include)}
+    return card_of(spark, frames, n)
+
+
+def card_of(spark: SparkSession, frames: dict[str, DataFrame], n: int = SAMPLE_ROWS) -> DataFrame:
+    """P3 over parquet tables by name."""
     cells = []
     for t, rows in first_rows(frames, n).items():
-        schema = rows.schema
-        order = [F.col(c).asc_nulls_first() for c in rows.columns]
-        rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))  # n rows
-        columns = [F.struct(F.lit(i).alias("ordinal"), value_text(F.col(f.name), f.dataType).alias("v"))
-                   for i, f in enumerate(schema.fields, start=1)]
+        columns = [F.struct(F.lit(i).alias("ordinal"), value_text(column(f.name), f.dataType).alias("v"))
+                   for i, f in enumerate(frames[t].schema.fields, start=1)]
         cells.append(rows.select(F.lit(t).alias("table_name"), "_nth", F.inline(F.array(*columns))))
     names = spark.createDataFrame(
         [(t, i, f.name, f.dataType.simpleString()) for t, df in frames.items()
@@ -214,10 +246,24 @@ def synonym_card_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                     lambda x: x["line"]), "\n").alias("synonyms"))
 
 
+def sorted_form(c: Column, kind: T.DataType) -> Column:
+    """A value in a form that can be hashed and is equal for equal values: maps become
+    their entries by key, at any depth; what has no hash becomes its text."""
+    if isinstance(kind, T.MapType):
+        return F.array_sort(F.transform(F.map_entries(c), lambda e: F.struct(
+            sorted_form(e["key"], kind.keyType).alias("key"), sorted_form(e["value"], kind.valueType).alias("value"))))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: sorted_form(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[sorted_form(c.getField(f.name), f.dataType).alias(f"f{i}")
+                                                for i, f in enumerate(kind.fields)]))
+    return c.cast("string") if isinstance(kind, (T.VariantType, T.DayTimeIntervalType, T.YearMonthIntervalType)) else c
+
+
 def _digest(df: DataFrame) -> Column:
     """One value per column whatever the order of rows: sums of the values' hashes."""
-    return F.array(*[F.coalesce(F.sum(F.xxhash64(F.col(f"`{c}`")).cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)")).cast("string")
-                     for c in df.columns])
+    return F.array(*[F.coalesce(F.sum(F.xxhash64(sorted_form(column(f.name), f.dataType)).cast("decimal(20,0)")),
+                                F.lit(0).cast("decimal(30,0)")).cast("string") for f in df.schema.fields])
 
 
 def compare_copies(frames: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
@@ -237,20 +283,77 @@ def compare_copies(frames: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
                 (F.col("kinds") == 1).alias("equal")))
 
 
+MANIFEST = "current.json"
+
+
+def _fs(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def read_manifest(spark: SparkSession, target: str) -> dict[str, str]:
+    """Table name -> folder of the current copy below ``target``; empty without one."""
+    fs, jpath = _fs(spark, f"{target.rstrip('/')}/{MANIFEST}")
+    if not fs.exists(jpath):
+        return {}
+    return json.loads("\n".join(r["value"] for r in spark.read.text(jpath.toString()).collect()))  # a name a table
+
+
+def read_copy(spark: SparkSession, target: str, table: str) -> DataFrame:
+    """A table of the current copy; the frame keeps reading it after a later swap."""
+    return spark.read.parquet(f"{target.rstrip('/')}/{read_manifest(spark, target)[table]}")
+
+
+def _swap(spark: SparkSession, target: str, manifest: dict[str, str]) -> None:
+    """Put the manifest in place by one rename over the old one."""
+    fs, at = _fs(spark, f"{target}/{MANIFEST}")
+    jvm = spark._jvm
+    staged = jvm.org.apache.hadoop.fs.Path(f"{target}/.{uuid.uuid4().hex}.json")
+    out = fs.create(staged)
+    out.write(bytearray(json.dumps(manifest), "utf-8"))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(staged.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(staged, at, options)
+
+
+def replace_tables(spark: SparkSession, frames: dict[str, DataFrame], target: str) -> dict[str, DataFrame]:
+    """Copy named frames into ``target``, replacing what it held as a whole.
+
+    Every table is first written to a new folder of this copy. Only when all are there
+    does one rename swap the manifest, so a reader sees the old tables or the new ones,
+    never a mixture, and a copy that fails midway changes nothing. Folders of the copies
+    before the last one are removed; the last one stays for frames still reading it.
+    One partitioned read and write a table, one after another; no row passes the driver.
+    """
+    target = target.rstrip("/")
+    old = read_manifest(spark, target)
+    copy = f"copy-{uuid.uuid4().hex}"
+    try:
+        for t, df in frames.items():
+            df.write.parquet(f"{target}/{copy}/{t}")
+    except Exception:
+        remove_dir(spark, f"{target}/{copy}")
+        raise
+    _swap(spark, target, {t: f"{copy}/{t}" for t in frames})
+    keep = {copy, *(folder.split("/")[0] for folder in old.values())}
+    fs, jpath = _fs(spark, target)
+    for f in fs.listStatus(jpath):
+        if f.getPath().getName().startswith("copy-") and f.getPath().getName() not in keep:
+            fs.delete(f.getPath(), True)
+    return {t: spark.read.schema(df.schema).parquet(f"{target}/{copy}/{t}") for t, df in frames.items()}
+
+
 def table_copy(spark: SparkSession, sf_dir: str, p: Params, target: str | None = None) -> DataFrame:
-    """S4 + S5: copy every table of the folder, replacing the target, and compare the
-    copies with their sources, column by column.
+    """S4 + S5: copy every table of the folder, replacing the target as a whole, and
+    compare the copies with their sources, column by column.
 
-    One partitioned read and write per table, started one after another; no row
-    passes the driver. The target defaults to a new sub-folder of the shared folder.
+    The target defaults to a new sub-folder of the shared folder.
     """
-    target = (target or shared_dir(spark, "table_copy")).rstrip("/")
-    pairs = {}
-    for t in discover_tables(spark, sf_dir):
-        source = read_table(spark, sf_dir, t)
-        source.write.mode("overwrite").parquet(f"{target}/{t}")
-        pairs[t] = (source, spark.read.schema(source.schema).parquet(f"{target}/{t}"))
-    return compare_copies(pairs)
+    frames = {t: read_table(spark, sf_dir, t) for t in discover_tables(spark, sf_dir)}
+    copies = replace_tables(spark, frames, target or shared_dir(spark, "table_copy"))
+    return compare_copies({t: (frames[t], copies[t]) for t in frames})
 
 
 def table_copy_jdbc(df: DataFrame, url: str, table: str, properties: dict | None = None,

@@ -12,7 +12,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlens.functions.text import token_count
+from cardlens.functions import tokens
+from cardlens.functions.text import token_count, trim_text
 from cardlens.operators.attempts import attempt_status
 from cardlens.operators.catalog import schema_text, synonym_card_text
 from cardlens.params import Params
@@ -29,12 +30,16 @@ SQL_TEMPLATE = (
     "## Request\n{ask}\n\n## Query\n"
 )
 
-EXAMPLES = (
-    "Request: how much did account 7 spend each month of Q3 1997 at shops with 'plate' in their name\n"
-    "Query: SELECT substr(CAST(CAST(l_shipdate AS DATE) AS STRING), 1, 7) AS month, "
-    "SUM(l_extendedprice) AS total FROM lineitem JOIN part ON l_partkey = p_partkey "
-    "JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 7 AND p_name LIKE '%plate%' "
-    "AND l_shipdate >= '1997-07-01' AND l_shipdate < '1997-10-01' GROUP BY 1 ORDER BY 1;"
+# The built-in solved requests: (request, query).
+EXAMPLE_ROWS = (
+    ("how much did account 7 spend each month of Q3 1997 at shops with 'plate' in their name",
+     "SELECT substr(CAST(CAST(l_shipdate AS DATE) AS STRING), 1, 7) AS month, "
+     "SUM(l_extendedprice) AS total FROM lineitem JOIN part ON l_partkey = p_partkey "
+     "JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 7 AND p_name LIKE '%plate%' "
+     "AND l_shipdate >= '1997-07-01' AND l_shipdate < '1997-10-01' GROUP BY 1 ORDER BY 1;"),
+    ("which five accounts paid most in 1997",
+     "SELECT o_custkey, SUM(l_extendedprice) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey "
+     "WHERE l_shipdate >= '1997-01-01' AND l_shipdate < '1998-01-01' GROUP BY o_custkey ORDER BY total DESC, o_custkey LIMIT 5;"),
 )
 
 REPAIR_TEMPLATE = (
@@ -70,19 +75,35 @@ def fill(template: str, values: dict[str, Column | str]) -> Column:
     return F.concat(*parts)
 
 
-def sql_prompts(questions: DataFrame, schema: Column, words: Column) -> DataFrame:
+def sql_prompts(questions: DataFrame, schema: Column, words: Column, examples: Column | str) -> DataFrame:
     """R1 over (q_id, question): one SQL-writing prompt per question."""
     prompt = fill(SQL_TEMPLATE, {"dialect": DIALECT, "max_rows": "1", "schema": schema, "words": words,
-                                 "examples": EXAMPLES, "ask": F.col("question")})
+                                 "examples": examples, "ask": F.col("question")})
     return questions.select("q_id", prompt.alias("prompt"))
 
 
-def budget_of(prompts: DataFrame, window: int) -> DataFrame:
-    """R2 over (q_id, prompt): words, room left in the context window, and ``fits``,
-    false where the prompt alone exceeds it (the reference logs and drops those)."""
-    out = prompts.select("q_id", token_count(F.col("prompt")).cast("bigint").alias("n_tokens"))
+def budget_of(prompts: DataFrame, window: int, vocabulary: str | None = None) -> DataFrame:
+    """R2 over (q_id, prompt): tokens, room left in the context window, and ``fits``,
+    false where the prompt alone exceeds it (the reference logs and drops those).
+
+    Tokens are words between blanks, or those of a tokenizer file (``functions.tokens``)."""
+    count = token_count(F.col("prompt")) if vocabulary is None else tokens.counter(vocabulary)(F.col("prompt"))
+    return _room(prompts.select("q_id", count.cast("bigint").alias("n_tokens")), window)
+
+
+def _room(counts: DataFrame, window: int) -> DataFrame:
     room = F.lit(window).cast("bigint") - F.col("n_tokens")
-    return out.select("q_id", "n_tokens", room.alias("room"), (room >= 0).alias("fits"))
+    return counts.select("q_id", "n_tokens", room.alias("room"), (room >= 0).alias("fits"))
+
+
+def word_budget(questions: DataFrame, schema: Column, words: Column, examples: Column | str, window: int) -> DataFrame:
+    """R2 over (q_id, question) without building the prompts: the template's words with
+    everything but the question are counted once, a question's own are added. The
+    question stands between line breaks in the template, so no word runs across."""
+    fixed = questions.sparkSession.range(1).select(token_count(fill(SQL_TEMPLATE, {
+        "dialect": DIALECT, "max_rows": "1", "schema": schema, "words": words, "examples": examples, "ask": ""})).alias("n"))
+    own = token_count(F.coalesce("question", F.lit("")))
+    return _room(questions.select("q_id", (own + fixed.scalar()).cast("bigint").alias("n_tokens")), window)
 
 
 def repairs_of(status: DataFrame, questions: DataFrame, schema: Column) -> DataFrame:
@@ -102,14 +123,39 @@ def answers_of(status: DataFrame, questions: DataFrame) -> DataFrame:
     return j.select("q_id", "attempt_no", prompt.alias("prompt"))
 
 
-def prompt_table(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    """R1 on the stored questions; the cards describe all tables."""
-    return sql_prompts(questions(spark, sf_dir), schema_text(spark, sf_dir, p).scalar(),
-                       synonym_card_text(spark, sf_dir).scalar())
+def examples_of(examples: DataFrame) -> DataFrame:
+    """Solved requests as one text, ``Request: ... Query: ...`` by their place.
+
+    Rows (place, request, query); a row without a request or a query is left out. The
+    list is written by people and bounded by the prompt it has to fit in."""
+    line = F.concat(F.lit("Request: "), trim_text(F.col("request")), F.lit("\nQuery: "), trim_text(F.col("query")))
+    rows = examples.where((trim_text(F.col("request")) != "") & (trim_text(F.col("query")) != ""))
+    return rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))),
+                                             lambda x: x["line"]), "\n\n").alias("examples"))
+
+
+def example_rows(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, r, q) for i, (r, q) in enumerate(EXAMPLE_ROWS, start=1)], "place int, request string, query string")
+
+
+def prompt_table(spark: SparkSession, sf_dir: str, p: Params, examples: DataFrame | None = None) -> DataFrame:
+    """R1 on the stored questions; the cards describe all tables, the solved requests
+    come from ``examples`` (place, request, query) or the built-in ones."""
+    return sql_prompts(questions(spark, sf_dir), schema_text(spark, sf_dir, p).scalar(), synonym_card_text(spark, sf_dir).scalar(),
+                       examples_of(examples if examples is not None else example_rows(spark)).scalar())
+
+
+def prompt_budget(spark: SparkSession, sf_dir: str, p: Params, vocabulary: str | None = None) -> DataFrame:
+    """R2 on the stored questions, in words or in the tokens of a tokenizer file."""
+    if vocabulary is None:
+        return word_budget(questions(spark, sf_dir), schema_text(spark, sf_dir, p).scalar(), synonym_card_text(spark, sf_dir).scalar(),
+                           examples_of(example_rows(spark)).scalar(), p.context_window)
+    return budget_of(prompt_table(spark, sf_dir, p), p.context_window, vocabulary)
 
 
-def prompt_budget(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
-    return budget_of(prompt_table(spark, sf_dir, p), p.context_window)
+def prompt_tokens(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:
+    """R2 in the tokens of a public vocabulary."""
+    return prompt_budget(spark, sf_dir, p, tokens.public_vocabulary(p.vocabulary))
 
 
 def repair_prompts(spark: SparkSession, sf_dir: str, p: Params) -> DataFrame:

@@ -53,7 +53,8 @@ class Params:
     promo_chunk_parts: int = 512
     message_chunk_docs: int = 32
     # prompts and attempts
-    context_window: int = 850
+    context_window: int = 16384
+    vocabulary: str = "byte_bpe_50k.json"  # of the token counts
     retry_budget: int = 6
     display_chars: int = 300
     # span episodes: time bucket used to split a user's timeline (skew guard)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from cardlens.functions.text import TOKEN_PATTERN
 from cardlens.operators.attempts import CHUNK_CHARS
 from cardlens.operators.catalog import NAMED_SQL, SAMPLE_CHARS, SAMPLE_ROWS
-from cardlens.operators.prompts import (ANSWER_TEMPLATE, DIALECT, EXAMPLES, REPAIR_TEMPLATE,
+from cardlens.operators.prompts import (ANSWER_TEMPLATE, DIALECT, EXAMPLE_ROWS, REPAIR_TEMPLATE,
                                         SQL_TEMPLATE, _SLOT)
 from cardlens.params import Params
 from cardlens.sources.tables import TABLES
@@ -73,12 +73,12 @@ def _card_cte() -> str:
     parts = []
     for t, text in COLUMNS.items():
         cols = [c.split(" ") for c in text.split(", ")]
-        order = ", ".join(f"{c} NULLS FIRST" for c, _ in cols)
         values = ", ".join(
-            f"{{'ordinal': {i}, 'column_name': '{c}', 'data_type': '{k}', 'samples': list({_value_text(c, k)} ORDER BY {order})}}"
+            f"{{'ordinal': {i}, 'column_name': '{c}', 'data_type': '{k}', 'samples': list({_value_text(c, k)} ORDER BY nth)}}"
             for i, (c, k) in enumerate(cols, start=1))
+        # a scan keeps the order of the file
         parts.append(f"SELECT '{t}' AS table_name, unnest([{values}]) AS u FROM "
-                     f"(SELECT * FROM {t} ORDER BY {order} LIMIT {SAMPLE_ROWS}) x")
+                     f"(SELECT *, row_number() OVER () AS nth FROM (SELECT * FROM {t} LIMIT {SAMPLE_ROWS}) y) x")
     return "card AS (SELECT table_name, CAST(u.ordinal AS INTEGER) AS ordinal, u.column_name, u.data_type, u.samples FROM (\n" \
         + "\nUNION ALL\n".join(parts) + ") c)"
 
@@ -123,6 +123,14 @@ def run_named_sql(p: Params) -> str:
         for name, sql in NAMED_SQL.items())
 
 
+def question_ledger(p: Params) -> str:
+    ran = "\nUNION ALL\n".join(
+        f"SELECT {lit(name)} AS query_name, 'done' AS status, COUNT(*) AS n_rows, NULL AS error_class FROM ({sql}) t"
+        for name, sql in NAMED_SQL.items())
+    failed = [("missing_column", "missing_column"), ("missing_table", "missing_table"), ("prose", "syntax")]
+    return ran + "".join(f"\nUNION ALL SELECT {lit(n)}, 'failed', NULL, {lit(c)}" for n, c in failed)
+
+
 def fill(template: str, values: dict[str, str]) -> str:
     """SQL concat of template pieces; values are SQL expressions."""
     parts, pos = [], 0
@@ -147,8 +155,9 @@ QUESTIONS_CTE = """questions AS (
 
 def _prompts_sql() -> str:
     syn = "(SELECT string_agg(line, chr(10) ORDER BY table_name, code) FROM syn_lines)"
+    examples = "\n\n".join(f"Request: {r}\nQuery: {q}" for r, q in EXAMPLE_ROWS)
     prompt = fill(SQL_TEMPLATE, {"dialect": lit(DIALECT), "max_rows": "'1'", "schema": TABLE_INFO,
-                                 "words": syn, "examples": lit(EXAMPLES), "ask": "question"})
+                                 "words": syn, "examples": lit(examples), "ask": "question"})
     return with_(META_CTES, _card_cte(), QUESTIONS_CTE) + f"SELECT q_id, {prompt} AS prompt FROM questions"
 
 

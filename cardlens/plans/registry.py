@@ -10,7 +10,7 @@ from cardlens.params import DEFAULT, Params
 from cardlens.sources.cards import CardTables, TpchCards
 from cardlens.plans import oracle_billing as ob
 from cardlens.plans import oracle_logs as ol
-from cardlens.operators import (attempts, campaign, catalog, discounts, payments, prompts, promos,
+from cardlens.operators import (attempts, campaign, catalog, discounts, ledger, payments, prompts, promos,
                                 report, spans, spend)
 
 SparkFn = Callable[[SparkSession, str, Params], DataFrame]
@@ -67,8 +67,10 @@ REGISTRY: dict[str, tuple[SparkFn, OracleFn | None]] = {
     "synonym_card": (catalog.synonym_card, ol.synonym_card),
     "table_copy": (catalog.table_copy, ol.table_copy),
     "run_named_sql": (catalog.run_named_sql, ol.run_named_sql),
+    "question_ledger": (ledger.question_ledger, ol.question_ledger),
     "prompt_table": (prompts.prompt_table, ol.prompt_table),
     "prompt_budget": (prompts.prompt_budget, ol.prompt_budget),
+    "prompt_tokens": (prompts.prompt_tokens, None),
     "repair_prompts": (prompts.repair_prompts, ol.repair_prompts),
     "answer_prompts": (prompts.answer_prompts, ol.answer_prompts),
     "response_clean": (attempts.response_clean, ol.response_clean),

@@ -47,7 +47,7 @@ def test_table_copy_reads_back(spark):
     got = {r["table_name"]: r["n_rows"] for r in copied}
     want = {r["table_name"]: r["n_rows"] for r in catalog.table_profile(spark, SMALL, DEFAULT).collect()}
     assert got == want
-    assert os.path.isdir(os.path.join(target, "lineitem"))
+    assert catalog.read_copy(spark, target, "lineitem").count() == want["lineitem"]
 
 
 def _folder(spark):
@@ -86,9 +86,9 @@ def test_a_changed_value_in_a_copy_is_noticed(spark):
 def test_card_of_empty_table_and_nulls(spark):
     folder = tempfile.mkdtemp(prefix="cardlens-tables-")
     spark.createDataFrame([], "a int, b string").write.parquet(folder + "/none.parquet")
-    spark.createDataFrame([(None, "z"), (2, None), (1, "q"), (1, "p")], "a int, b string").write.parquet(folder + "/some.parquet")
+    spark.createDataFrame([(None, "z"), (2, None), (1, "q"), (1, "p")], "a int, b string").coalesce(1).write.parquet(folder + "/some.parquet")
     got = {(r["table_name"], r["column_name"]): r["samples"] for r in catalog.schema_card(spark, folder, DEFAULT).collect()}
-    assert got == {("none", "a"): [], ("none", "b"): [], ("some", "a"): ["NULL", "1", "1"], ("some", "b"): ["z", "p", "q"]}
+    assert got == {("none", "a"): [], ("none", "b"): [], ("some", "a"): ["NULL", "2", "1"], ("some", "b"): ["z", "NULL", "q"]}
 
 
 def test_like_pattern_is_literal_but_for_its_wildcards():

@@ -155,11 +155,15 @@ def test_budget_and_repair_prompt_slots(spark):
     assert "## What it said\nError: (sqlite3.OperationalError)" in rp
 
 
-def test_budget_refuses_some_stored_questions(spark):
+def test_budget_refuses_what_exceeds_a_real_window(spark):
     from cardlens.operators import prompts
     from conftest import MEDIUM
-    fits = {r["fits"]: r["count"] for r in prompts.prompt_budget(spark, MEDIUM, Params()).groupBy("fits").count().collect()}
-    assert fits[True] > 0 and fits[False] > 0
+    assert Params().context_window == 16384
+    rows = prompts.prompt_budget(spark, MEDIUM, Params()).collect()
+    most = max(r["n_tokens"] for r in rows)
+    assert all(r["fits"] and r["room"] == 16384 - r["n_tokens"] for r in rows)
+    fits = {r["fits"] for r in prompts.prompt_budget(spark, MEDIUM, Params(context_window=most - 1)).collect()}
+    assert fits == {True, False}
 
 
 def test_prompts_keep_the_question_of_a_retry(spark):
