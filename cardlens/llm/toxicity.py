@@ -1,15 +1,18 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The examples are a bounded sample of labelled documents. All their terms count; the
-document frequencies are taken over all documents. (A term that no example holds is no
-part of the space.) The examples' vectors lie in a sparse inverted index whose
-postings are grouped into blocks of examples, each with its largest weight: a block is
-scored only while its upper bound reaches the k-th best similarity so far, so the
-neighbours are exact. The nearest examples are given as evidence. Their votes,
-weighted by similarity, are turned into a score by a logistic curve, together with
-those of the examples nearest on the terms alone whose share differs clearly between
-the labels: on long texts these few words are lost among all others. The curve is
-fitted leaving each example out of its own votes.
+The examples are a bounded sample of labelled documents. All their terms count (a term
+that no example holds is no part of the space). A term of a text weighs its inverse
+document frequency times the root of its burstiness, whatever its count: how much rarer
+the documents that hold it are than they would be if its occurrences were strewn evenly
+over all words of the corpus. Both are taken over all documents and look at no label. The
+examples' unit vectors lie in a sparse inverted index whose postings are grouped into
+blocks of examples, each with its largest weight: a block is scored only while its
+upper bound reaches the k-th best similarity so far, so the neighbours are exact.
+
+The votes of the nearest 5, 15, 50 and 100 examples, each weighted by its similarity as
+odds (a copy outweighs all weak neighbours), are turned into a score by a logistic curve
+fitted leaving each example out of its own votes. Nothing else enters the score. The
+nearest example and its similarity are given as evidence.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from cardlens.llm._text import SEPARATOR, blocks, buffers, hash_spans, word_boun
 from cardlens.llm._util import id_crc, prepare, table
 
 EXAMPLES = 1500       # labelled documents of each label in the index, at most
-EXAMPLE_BYTES = 200_000  # longer texts are no examples (they are scored like all others)
-NEIGHBOURS = 15
-TERMS = 2048          # terms of the second vote, at most
-CLEAR = 6.0           # standard errors between the labels' shares of such a term, at least
+EXAMPLE_TOTAL = 64_000_000  # bytes of all their texts together, at most
+VOTES = (5, 15, 50, 100)  # neighbours that vote
+NEIGHBOURS = VOTES[-1]
+FLOOR = 0.05          # burstiness of a term that is strewn evenly
 BLOCK = 64            # examples of a block
 FIRST_BLOCKS = 8      # blocks scored before the bounds rule others out
 
@@ -73,7 +76,7 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Index:
     """Postings of every term over the examples, in blocks with their largest weight.
 
-    A cell holds a term's postings in one block of examples; empty cells take no room."""
+    ``idf`` is each term's weight. A cell holds a term's postings in one block of examples; empty cells take no room."""
 
     def __init__(self, vocabulary: Vocabulary, idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]],
                  labels: np.ndarray, ids: np.ndarray):
@@ -108,7 +111,7 @@ class Index:
         return out
 
     def _unit(self, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(n)) * self.idf[term] if len(term) else np.zeros(0)
+        w = self.idf[term] if len(term) else np.zeros(0)
         size = np.sqrt((w * w).sum())
         return term, (w / size if size else w).astype(np.float32)
 
@@ -146,28 +149,26 @@ class Index:
         size = np.sqrt((w[shared].astype(np.float64) ** 2).sum())
         return t[shared], w[shared] / size if size else w[shared]
 
-    def vote(self, at: np.ndarray, sim: np.ndarray, steep: bool) -> tuple[float, float]:
-        """(toxic, other) weight of the neighbours, by their squared similarity or, if
-        ``steep``, its squared odds, by which a copy outweighs all weak neighbours."""
+    def votes(self, at: np.ndarray, sim: np.ndarray) -> np.ndarray:
+        """(toxic, other) weight among the nearest of each number in VOTES; best first."""
         sim = sim.astype(np.float64)
-        w = (sim / (1.001 - np.minimum(sim, 1)) if steep else sim) ** 2
+        w = sim / (1.001 - np.minimum(sim, 1))
         toxic = self.labels[at] == 1
-        return float(w[toxic].sum()), float(w[~toxic].sum())
+        return np.array([x for k in VOTES for x in (w[:k][toxic[:k]].sum(), w[:k][~toxic[:k]].sum())])
 
-    def own_votes(self, steep: bool) -> np.ndarray:
+    def own_votes(self) -> np.ndarray:
         """The votes on every example, in the order given, as if it were none."""
-        out = np.zeros((len(self.by), 2))
+        out = np.zeros((len(self.by), 2 * len(VOTES)))
         for i, j in enumerate(self.by.tolist()):
-            out[j] = self.vote(*self.nearest(*(self.without(i) if steep else self.vectors[i]), skip=i), steep)
+            out[j] = self.votes(*self.nearest(*self.without(i), skip=i))
         return out
 
 
 def _evidence(votes: np.ndarray) -> np.ndarray:
-    """What the logistic curve sees: a constant, and of the votes on all and on the clear
-    terms (toxic, other each) the balance and the log odds."""
+    """What the logistic curve sees: a constant, and of each vote the balance and the log odds."""
     out = [np.ones(len(votes))]
-    for a, b in (votes[:, :2].T, votes[:, 2:].T):
-        out += [(a - b) / (a + b + 0.5), np.log((a + 0.05) / (b + 0.05))]
+    for a, b in zip(votes.T[::2], votes.T[1::2], strict=True):
+        out += [(a - b) / (a + b + 1e-9), np.log((a + 0.02) / (b + 0.02))]
     return np.stack(out, axis=1)
 
 
@@ -177,11 +178,11 @@ def _sigmoid(x):
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weighted logistic regression by Newton steps with a weak prior."""
-    theta = np.zeros(x.shape[1])
+    theta, prior = np.zeros(x.shape[1]), 0.1
     for _ in range(60):
         p = _sigmoid(x @ theta)
-        g = x.T @ (weight * (y - p)) - 0.01 * theta
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(x.shape[1])
+        g = x.T @ (weight * (y - p)) - prior * theta
+        h = (x * (weight * p * (1 - p))[:, None]).T @ x + prior * np.eye(x.shape[1])
         d = np.linalg.solve(h, g)
         theta = theta + d * min(1.0, 2.0 / (np.abs(d).max() + 1e-9))
     return theta
@@ -189,20 +190,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    index: Index | None    # over all terms
-    marks: Index | None    # over the clear terms
-    mark: np.ndarray       # each term's place among the clear ones, or -1
+    index: Index | None
     theta: np.ndarray
 
-    def marked(self, term: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.mark[term]
-        return at[at >= 0], n[at >= 0]
-
     def score(self, column: pa.Array):
         """(score, nearest example, its similarity, neighbours) of every text."""
         offs, data = buffers(column)
         n = len(offs) - 1
-        votes, nearest, sim, count = np.zeros((n, 4)), [None] * n, np.zeros(n), np.zeros(n, np.int64)
+        votes, nearest, sim, count = np.zeros((n, 2 * len(VOTES))), [None] * n, np.zeros(n), np.zeros(n, np.int64)
         if self.index is not None:
             for i, j in blocks(offs):
                 row, term, c = self.index.vocabulary.counts(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
@@ -210,12 +205,10 @@ class Model:
                 for r in range(j - i):
                     if ptr[r] == ptr[r + 1]:
                         continue
-                    t, k = term[ptr[r]:ptr[r + 1]], c[ptr[r]:ptr[r + 1]]
-                    at, s = self.index.nearest(*self.index._unit(t, k))
+                    at, s = self.index.nearest(*self.index._unit(term[ptr[r]:ptr[r + 1]], c[ptr[r]:ptr[r + 1]]))
                     if len(at):
-                        votes[i + r, :2] = self.index.vote(at, s, True)
+                        votes[i + r] = self.index.votes(at, s)
                         nearest[i + r], sim[i + r], count[i + r] = int(self.index.ids[at[0]]), min(float(s[0]), 1.0), len(at)
-                    votes[i + r, 2:] = self.marks.vote(*self.marks.nearest(*self.marks._unit(*self.marked(t, k))), False)
         return _sigmoid(_evidence(votes) @ self.theta), nearest, sim, count
 
 
@@ -231,34 +224,44 @@ def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                                           pa.array(count, pa.binary())], names=["doc_id", "toxic", "term", "count"])
 
 
-def _choose(terms: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the terms whose shares differ most between the labels."""
-    every, at = np.unique(np.concatenate(terms), return_inverse=True)
-    label = np.repeat(labels, [len(t) for t in terms])
-    n1, n0 = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    c1 = np.bincount(at, weights=label, minlength=len(every))
-    c0 = np.bincount(at, minlength=len(every)) - c1
-    p = (c1 + c0) / (n1 + n0)
-    z = np.abs(c1 / n1 - c0 / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-    best = np.argsort(-z, kind="stable")[:TERMS]
-    return np.sort(every[best[z[best] >= CLEAR]])
+LENGTHS = 4  # classes of text length to a doubling
+
+
+def term_weights(df: np.ndarray, cf: np.ndarray, lengths: dict[int, tuple[int, int]]) -> np.ndarray:
+    """IDF times the root of burstiness of each term, from its documents ``df``, its
+    occurrences ``cf`` and the texts by class of length (class -> texts, words)."""
+    n, words = sum(c for c, _ in lengths.values()), max(1, sum(w for _, w in lengths.values()))
+    even = np.zeros(len(df))  # documents that would hold the term if its occurrences were strewn evenly
+    for c, w in lengths.values():
+        even += c * (1 - np.exp(-cf * (w / c) / words))
+    burst = np.maximum(np.log((1 + even) / (1 + df)), 0)
+    return np.log((2 + n) / (1 + df)) * np.sqrt(FLOOR + burst)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of at most ``EXAMPLES`` documents of each label of ``labels``
-    (doc_id, toxic), with document frequencies over all of ``docs``.
+    (doc_id, toxic), with frequencies over all of ``docs``.
 
-    The driver receives the examples' terms (bounded by ``EXAMPLES`` and
-    ``EXAMPLE_BYTES``) and one frequency a term. Without both labels every text gets
-    the share of label 1 among the labels."""
+    Examples are taken in the order of a hash of the id, as long as their texts fit into
+    ``EXAMPLE_TOTAL`` bytes together; of texts that share an id the least counts. The
+    driver receives their terms and two numbers a term. Without both labels every
+    text gets the share of label 1 among the labels."""
     known = (labels.where("doc_id is not null and toxic is not null").groupBy("doc_id")
              .agg(F.max(F.col("toxic").cast("int")).alias("toxic")))
     share = known.agg(F.avg("toxic").alias("p")).first()["p"]
     share = min(max(0.5 if share is None else float(share), 0.001), 0.999)
-    none = Model(None, None, np.zeros(0, np.int64), np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0]))
+    none = Model(None, np.array([np.log(share / (1 - share))] + [0.0] * 2 * len(VOTES)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = [known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES) for v in (0, 1)]
-    got = (texts.where(F.octet_length("text") <= EXAMPLE_BYTES).join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id")
+    # at most 2 * EXAMPLES ids, and one text for each
+    sampled = texts.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    sizes = sampled.select("doc_id", "toxic", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    chosen, total = [], 0
+    for r in sizes:
+        if total + r["size"] <= EXAMPLE_TOTAL:
+            chosen.append(r["doc_id"])
+            total += r["size"]
+    got = (sampled.where(F.col("doc_id").isin(chosen))
            .mapInArrow(_example_terms, "doc_id long, toxic int, term binary, count binary").toArrow().to_pylist())
     got.sort(key=lambda r: r["doc_id"])
     y = np.array([r["toxic"] for r in got], dtype=np.int64)
@@ -270,38 +273,40 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return none
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = np.zeros(len(vocabulary.hashes), dtype=np.int64), 0
+        df, cf, lengths = np.zeros(len(vocabulary.hashes), dtype=np.int64), np.zeros(len(vocabulary.hashes), dtype=np.int64), {}
         for batch in batches:
             offs, data = buffers(batch.column("text"))
-            n += batch.num_rows
             for i, j in blocks(offs):
-                _, term, _ = vocabulary.counts(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
+                part, cut = data[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
+                _, term, n = vocabulary.counts(part, cut)
                 df += np.bincount(term, minlength=len(df))
+                cf += np.bincount(term, weights=n, minlength=len(cf)).astype(np.int64)
+                size = np.bincount(word_bounds(part, cut, _BREAK)[2], minlength=j - i)
+                for k, w in zip((LENGTHS * np.log2(1 + size)).astype(int).tolist(), size.tolist(), strict=True):
+                    c = lengths.setdefault(k, [0, 0])
+                    c[0] += 1
+                    c[1] += w
         at = np.flatnonzero(df)
-        yield pa.RecordBatch.from_pydict({"term": np.append(at, -1), "df": np.append(df[at], n)})
-
-    df = np.zeros(len(vocabulary.hashes) + 1)
-    # one row a term; the last place holds the number of documents
-    counted = texts.select("text").mapInArrow(frequency, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
-    df[counted["term"].to_numpy()] = counted["df"].to_numpy()
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+        yield pa.RecordBatch.from_pydict({
+            "term": np.append(at, [-1 - k for k in lengths]).astype(np.int64), "df": np.append(df[at], [c for c, _ in lengths.values()]).astype(np.int64),
+            "cf": np.append(cf[at], [w for _, w in lengths.values()]).astype(np.int64)})
+
+    # one row a term, and (numbered below 0) one a class of length
+    counted = texts.select("text").mapInArrow(frequency, "term long, df long, cf long").groupBy("term").agg(
+        F.sum("df").alias("df"), F.sum("cf").alias("cf")).toArrow()
+    term, counts = counted["term"].to_numpy(), np.stack([counted["df"].to_numpy(), counted["cf"].to_numpy()], axis=1)
+    figures = np.zeros((len(vocabulary.hashes), 2))
+    figures[term[term >= 0]] = counts[term >= 0]
+    lengths = {int(-1 - t): (int(c), int(w)) for t, (c, w) in zip(term[term < 0], counts[term < 0], strict=True)}
+    weights = term_weights(figures[:, 0], figures[:, 1], lengths)
     vectors = []
-    for r, t in zip(got, terms):
+    for r, t in zip(got, terms, strict=True):
         at = np.searchsorted(vocabulary.hashes, t)
-        at[at == len(vocabulary.hashes)] = 0
-        real = vocabulary.hashes[at] == t
-        vectors.append((at[real], np.frombuffer(r["count"], np.int32)[real].astype(np.float64)))
-    ids = np.array([r["doc_id"] for r in got], dtype=np.int64)
-    clear = np.searchsorted(vocabulary.hashes, _choose(terms, y))
-    mark = np.full(len(idf), -1)
-    mark[clear] = np.arange(len(clear))
-    model = Model(Index(vocabulary, idf, vectors, y, ids), None, mark, none.theta)
-    model.marks = Index(Vocabulary(vocabulary.hashes[clear]), idf[clear], [model.marked(*v) for v in vectors], y, ids)
-    votes = np.concatenate((model.index.own_votes(True), model.marks.own_votes(False)), axis=1)
+        vectors.append((at, np.frombuffer(r["count"], np.int32).astype(np.float64)))
+    index = Index(vocabulary, weights, vectors, y, np.array([r["doc_id"] for r in got], dtype=np.int64))
     # the sample holds the labels in other shares than the corpus: weigh them back
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
-    model.theta = _logistic(_evidence(votes), y, weight)
-    return model
+    return Model(index, _logistic(_evidence(index.own_votes()), y, weight))
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

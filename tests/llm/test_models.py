@@ -1,7 +1,9 @@
 """The learned operators: exact inference against brute force, and held-out accuracy."""
 
 import itertools
+import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -194,3 +196,57 @@ def test_stages_keep_columns_and_clean_documents(spark):
     for stage in (langid.keep_identified, crf.keep_good):
         out = stage(spark, docs, SMALL)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
+
+
+def test_toxicity_score_equals_brute_force(spark):
+    rng = random.Random(8)
+    bad = ["vile", "rotten", "foul"]
+    rows, labels = [(0, None), (1, ""), (2, "1 2 3"), (3, "unseen words only")], []
+    for i in range(10, 130):
+        toxic = i % 4 == 0
+        words = [rng.choice("abcdefghijklmnop") * rng.randrange(1, 5) for _ in range(rng.choice([8, 40, 90]))]
+        for _ in range(rng.randrange(1, 5) if toxic else 0):
+            words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append((i, " ".join(words)))
+        if i % 3:
+            labels.append((i, int(toxic)))
+    docs = docs_of(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    terms = {i: re.findall("[A-Za-z]+", (t or "").lower()) for i, t in rows}
+    sizes = {}
+    for i in terms:
+        sizes.setdefault(int(4 * math.log2(1 + len(terms[i]))), []).append(len(terms[i]))
+    words = sum(map(sum, sizes.values()))
+    known = {w for i, _ in labels for w in terms[i]}
+
+    def weight(w):
+        df, cf = sum(w in t for t in terms.values()), sum(t.count(w) for t in terms.values())
+        even = sum(len(s) * (1 - math.exp(-cf * (sum(s) / len(s)) / words)) for s in sizes.values())
+        return math.log((2 + len(rows)) / (1 + df)) * math.sqrt(toxicity.FLOOR + max(0, math.log((1 + even) / (1 + df))))
+    weights = {w: weight(w) for w in known}
+
+    def unit(i):
+        v = {w: weights[w] for w in set(terms[i]) & known}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+    vectors = {i: unit(i) for i in terms}
+    for i in terms:
+        near = sorted(((sum(x * vectors[e].get(w, 0) for w, x in vectors[i].items()), y, e) for e, y in labels), reverse=True)
+        near = [n for n in near if n[0] > 0]
+        z = model.theta[0]
+        for k, (b, o) in zip(toxicity.VOTES, model.theta[1:].reshape(-1, 2)):
+            vote = [sum(s / (1.001 - min(s, 1)) for s, y, _ in near[:k] if y == label) for label in (1, 0)]
+            z += b * (vote[0] - vote[1]) / (sum(vote) + 1e-9) + o * math.log((vote[0] + 0.02) / (vote[1] + 0.02))
+        assert abs(got[i].score - 1 / (1 + math.exp(-z))) < 2e-3, i  # weights are kept in single precision
+        assert got[i].n_neighbours == len(near[:toxicity.NEIGHBOURS])
+        assert got[i].nearest_similarity == pytest.approx(near[0][0] if near else 0, abs=1e-5)
+
+
+def test_a_repeated_id_is_one_example_and_long_texts_are_bounded(spark, monkeypatch):
+    rows = [(1, f"words that repeat {i}") for i in range(5000)] + [(2, "vile words"), (3, "x " * 50000 + "vile"), (4, "plain words here")]
+    docs, labels = docs_of(spark, rows), spark.createDataFrame([(1, 0), (2, 1), (3, 1), (4, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert sorted(model.index.ids.tolist()) == [1, 2, 3, 4]
+    monkeypatch.setattr(toxicity, "EXAMPLE_TOTAL", 1000)
+    assert sorted(toxicity.fit(docs, labels).index.ids.tolist()) == [1, 2, 4]
