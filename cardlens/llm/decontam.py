@@ -8,7 +8,16 @@ documents' words to all n-grams; around every hit lies a window as long as the i
 with room for insertions. Windows of rare seeds are aligned with the item word by
 word; those of common n-grams only if the words they share with the item could reach
 the threshold, which no alignment exceeds. So rarity saves work and loses no copy,
-however many documents hold it. No text is shuffled or collected.
+however many documents hold it.
+
+A copy in which every third word is another has no such n-gram. An alignment without
+gaps that reaches the threshold T of an item of n words agrees with it in at least
+(2 T - n) / 3 - 1 pairs of neighbouring words, all on one diagonal. So pairs are seeds
+too: a diagonal with as many of them goes on to the same test of shared words and
+alignment. All but two of the pairs may be spared; the commonest are.
+
+Items of three to seven words are found where their whole word sequence occurs, items of
+one or two words where they are the whole text. No text is shuffled or collected.
 """
 
 from __future__ import annotations
@@ -30,7 +39,7 @@ RARE_SHARE = 0.001     # a seed is rare in at most so many of all documents,
 RARE_FACTOR = 4        # or in so many times the median of its item's n-grams
 MATCH, MISMATCH, GAP = 2, -1, -1
 SIMILARITY = 0.4       # best score over the score of the whole item, at least
-LEAST_SCORE = 16       # eight matching words; shorter items identify nothing
+LEAST_SCORE = 16       # eight matching words; a shorter item must occur as a whole
 BLOCK_BYTES = 4 << 20  # benchmark text broadcast at a time
 EXPANDED = 1 << 20     # pairs of a hit and a place, or words of windows, at a time
 _FILTER_BITS = 22
@@ -47,6 +56,35 @@ class Items:
     first: np.ndarray         # bounds of each seed's rows in ``where``
     rare: np.ndarray          # of each row of ``where``: a rare seed of its item
 
+    @cached_property
+    def least(self) -> np.ndarray:
+        """The score that an alignment with each item must reach."""
+        n = np.array([len(h) for h in self.hashes], dtype=np.int64)
+        return np.where(MATCH * n < LEAST_SCORE, MATCH * n, np.maximum(LEAST_SCORE, SIMILARITY * MATCH * n))
+
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(sorted pair hashes, bounds of their rows, item, place, pairs needed by each item)."""
+        n = np.array([len(h) for h in self.hashes], dtype=np.int64)
+        sure = np.maximum(1, np.ceil((2 * self.least - n) / 3 - 1 - 1e-9).astype(np.int64))
+        grams = [combine(h, 2) if len(h) * MATCH >= LEAST_SCORE else h[:0] for h in self.hashes]
+        flat = np.concatenate([*grams, np.zeros(0, np.uint64)])
+        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
+        _, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+        # the pairs that most items share are spared
+        order = np.lexsort((place, -times[at], item))
+        nth = np.arange(len(order)) - np.searchsorted(item[order], item[order])
+        spare = np.maximum(sure - 2, 0)
+        keep = order[nth >= spare[item[order]]]
+        hashes, at = np.unique(flat[keep], return_inverse=True)
+        by = np.argsort(at, kind="stable")
+        return hashes, np.searchsorted(at[by], np.arange(len(hashes) + 1)), item[keep][by], place[keep][by], sure - spare
+
+    @cached_property
+    def maybe_pairs(self) -> np.ndarray:
+        return _table(self.pairs[0])
+
     @cached_property
     def held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct words; sorted item * words + word of each item's words; how often."""
@@ -57,9 +95,22 @@ class Items:
 
     def maybe(self) -> np.ndarray:
         """A table that is True at the low bits of every seed."""
-        out = np.zeros(1 << _FILTER_BITS, dtype=bool)
-        out[(self.seeds & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
-        return out
+        return _table(self.seeds)
+
+
+def _table(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << _FILTER_BITS, dtype=bool)
+    out[(hashes & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
+    return out
+
+
+def _among(grams: np.ndarray, hashes: np.ndarray, maybe: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the grams that are among the sorted hashes, which of them)."""
+    at = np.flatnonzero(maybe[(grams & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
+    which = np.searchsorted(hashes, grams[at])
+    which[which == len(hashes)] = 0
+    real = hashes[which] == grams[at] if len(hashes) else np.zeros(len(at), bool)
+    return at[real], which[real]
 
 
 def _items(ids: list, texts: list) -> Items:
@@ -67,7 +118,7 @@ def _items(ids: list, texts: list) -> Items:
     for text in texts:
         offs, data = buffers(pa.array([text or ""]))
         hashes.append(words(data, offs)[0])
-    grams = [combine(h, SEED) for h in hashes]
+    grams = [combine(h, min(SEED, len(h))) if len(h) else h for h in hashes]
     flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
     item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
     place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else item
@@ -99,17 +150,18 @@ def _marked(items: Items, df: np.ndarray, n_docs: int) -> Items:
 
 
 def _hits(data: np.ndarray, offs: np.ndarray, items: Items, maybe: np.ndarray):
-    """(word hashes, row pointers, hit rows, hit places, hit seeds) of a block of texts."""
+    """(word hashes, row of each word, row pointers, hit rows, hit places, hit seeds) of a block of texts."""
     h, row, _, _ = words(data, offs)
     ptr = np.searchsorted(row, np.arange(len(offs)))
-    grams = combine(h, SEED)
-    at = np.flatnonzero(maybe[(grams & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)])
-    at = at[row[at] == row[at + SEED - 1]]
-    seed = np.searchsorted(items.seeds, grams[at])
-    seed[seed == len(items.seeds)] = 0
-    real = items.seeds[seed] == grams[at] if len(items.seeds) else np.zeros(len(at), bool)
-    at, seed = at[real], seed[real]
-    return h, ptr, row[at], at - ptr[row[at]], seed
+    at, seed = _among(combine(h, SEED), items.seeds, maybe)
+    own = row[at] == row[at + SEED - 1]
+    at, seed = at[own], seed[own]
+    for n in range(1, SEED):  # texts of so few words, as a whole
+        short = ptr[:-1][np.diff(ptr) == n]
+        if len(short):
+            few, which = _among(combine(h, n)[short], items.seeds, maybe)
+            at, seed = np.concatenate((at, short[few])), np.concatenate((seed, which))
+    return h, row, ptr, row[at], at - ptr[row[at]], seed
 
 
 def align(item: list[np.ndarray], window: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,14 +224,15 @@ def _around(rows, places, seeds, ptr, items: Items) -> tuple[np.ndarray, ...]:
 def _reaches(row, item, lo, hi, h, ptr, items: Items) -> np.ndarray:
     """Whether the windows share words enough with their items: an alignment scores
     ``MATCH`` for each of them at most."""
+    if not len(row):
+        return np.zeros(0, bool)
     vocabulary, held, times = items.held
     word = np.searchsorted(vocabulary, h)
     word[word == len(vocabulary)] = 0
     known = np.flatnonzero(vocabulary[word] == h)
     word = word[known]
     a, b = np.searchsorted(known, ptr[row] + lo), np.searchsorted(known, ptr[row] + hi)
-    whole = MATCH * np.array([len(x) for x in items.hashes], dtype=np.int64)[item]
-    least = np.maximum(LEAST_SCORE, SIMILARITY * whole)
+    least = items.least[item]
     out = MATCH * (b - a) >= least
     open_ = np.flatnonzero(out)
     for part in _parts((b - a)[open_]):
@@ -213,13 +266,55 @@ def _windows(h, rows, places, seeds, ptr, items: Items) -> list[tuple[int, int,
     return [tuple(x) for x in out]
 
 
+def _pair_windows(h, row, ptr, items: Items) -> list[tuple[int, int, int, int]]:
+    """Windows around diagonals with enough pairs of an item, if they can reach the threshold."""
+    hashes, first, of, place, need = items.pairs
+    at, which = _among(combine(h, 2), hashes, items.maybe_pairs)
+    own = row[at] == row[at + 1]
+    at, which = at[own], which[own]
+    count = first[which + 1] - first[which]
+    size = np.array([len(x) for x in items.hashes], dtype=np.int64)
+    room = size // 4 + 5
+    out: list[tuple[int, int, int, int]] = []
+    # the hits of a text stay together
+    per_row = np.bincount(row[at], weights=count, minlength=len(ptr) - 1).astype(np.int64)
+    bound = np.searchsorted(row[at], np.arange(len(ptr)))
+    for part in _parts(per_row):
+        a, b = bound[part.start], bound[part.stop]
+        n = count[a:b]
+        if not n.sum():
+            continue
+        hit = np.repeat(np.arange(a, b), n)
+        to = np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n) + first[which[hit]]
+        r, i = row[at[hit]], of[to]
+        near = (at[hit] - ptr[r] - place[to]) // room[i]
+        low, span = int(near.min()) - 1, int(near.max() - near.min()) + 4
+        key, found = np.unique(((r - part.start) * len(size) + i) * span + near - low, return_counts=True)
+        # copies with a few words more or less lie on neighbouring diagonals
+        enough = found.copy()
+        for step in (-1, 1):
+            k = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+            enough += np.where(key[k] == key + step, found[k], 0)
+        key = key[enough >= need[key // span % len(size)]]
+        r, i, near = key // span // len(size) + part.start, key // span % len(size), key % span + low
+        lo, hi = np.maximum((near - 1) * room[i], 0), np.minimum((near + 2) * room[i] + size[i], ptr[r + 1] - ptr[r])
+        keep = _reaches(r, i, lo, hi, h, ptr, items)
+        out += zip(r[keep].tolist(), i[keep].tolist(), lo[keep].tolist(), hi[keep].tolist())
+    return out
+
+
 def _found(column: pa.Array, items: Items, maybe: np.ndarray) -> Iterator[tuple[int, int, int, float, int, int]]:
     """(row, item, score, similarity, first word, last word): the best alignment of
     every row and item that reaches the threshold."""
     offs, data = buffers(column)
     for i, j in blocks(offs):
-        h, ptr, rows, places, seeds = _hits(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i], items, maybe)
+        h, row, ptr, rows, places, seeds = _hits(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i], items, maybe)
         spans = _windows(h, rows, places, seeds, ptr, items)
+        have: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for r, t, a, b in spans:
+            have.setdefault((r, t), []).append((a, b))
+        spans += [w for w in _pair_windows(h, row, ptr, items)
+                  if not any(a <= w[2] and w[3] <= b for a, b in have.get(w[:2], ()))]
         spans.sort(key=lambda s: s[3] - s[2])  # alike lengths go together
         best: dict[tuple[int, int], tuple] = {}
         k = 0
@@ -236,7 +331,7 @@ def _found(column: pa.Array, items: Items, maybe: np.ndarray) -> Iterator[tuple[
             score, end_a, end_b = align(item, window)
             for p, s in enumerate(part):
                 whole = MATCH * len(item[p])
-                if score[p] < LEAST_SCORE or score[p] < SIMILARITY * whole:
+                if score[p] < items.least[s[1]]:
                     continue
                 back, _, far = align([item[p][end_a[p]::-1]], [window[p][end_b[p]::-1]])
                 got = (i + s[0], s[1], int(score[p]), float(score[p] / whole),
@@ -265,7 +360,7 @@ def _seeded(docs: DataFrame, benchmark: DataFrame) -> Iterator[Items]:
             for batch in batches:
                 offs, data = buffers(batch.column("text"))
                 for i, j in blocks(offs):
-                    _, _, rows, _, seeds = _hits(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i], items, maybe)
+                    _, _, _, rows, _, seeds = _hits(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i], items, maybe)
                     pair = np.unique(rows * len(items.seeds) + seeds)
                     df += np.bincount(pair % max(1, len(items.seeds)), minlength=len(df))
             at = np.flatnonzero(df)
@@ -282,8 +377,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     that holds a copy, edited or not, of a benchmark row: its best alignment.
 
     Only ``doc_id``, ``text``, ``item_id`` and ``text`` are read. Null and empty texts
-    match nothing, as do items of fewer than eight words; null and repeated ids come
-    back as they are. An empty table on either side gives no rows.
+    match nothing; an item of one or two words matches texts that consist of it, one of
+    three to seven its verbatim occurrences. Null and repeated ids come back as they are. An empty table on either side gives no rows.
     """
     prepare(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

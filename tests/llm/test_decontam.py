@@ -56,7 +56,7 @@ def test_planted_copies_are_found_and_clean_texts_left(spark):
     out = decontam.contaminated(docs, bench).collect()
     got = {(r.doc_id, r.item_id) for r in out}
     want = {(b + i, i) for b in (100, 200, 300, 400) for i in range(6)}
-    want |= {(700, 0), (701, 1), (701, 2), (None, 3), (705, None), (706, 4)}
+    want |= {(700, 0), (701, 1), (701, 2), (None, 3), (705, None), (706, 4), (702, 6)}
     assert got == want
     exact = {r.doc_id: r for r in out if r.doc_id is not None and 100 <= r.doc_id < 106}
     assert all(r.similarity == 1 and r.first_word == 200 and r.last_word == 229 for r in exact.values())
@@ -141,3 +141,64 @@ def test_every_full_copy_in_the_documents_is_found(spark):
 def test_texts_shorter_than_a_seed(n):
     items = decontam._items([1], ["a b c d e f g h i j"])
     assert not list(decontam._found(pa.array([" ".join("abc"[:n])]), items, items.maybe()))
+
+
+def test_short_items_match_as_whole_sequences(spark):
+    items = [(1, "one two three four five six seven"), (2, "just three words"), (3, "Paris"), (4, "two words"), (5, "a a a"), (6, "  ")]
+    rows = [(10, "One two three four five six seven"), (11, "x one two three four five six seven y"), (12, "one two three four five six eight"),
+            (13, "here are just three words more"), (14, "just three  words"), (15, "paris"), (16, "in Paris it is"), (17, "two words"),
+            (18, "two words more"), (19, "b a a a a b"), (20, "words two"), (21, ""), (22, None), (23, "just three other words")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.similarity) for r in decontam.contaminated(docs_of(spark, rows), bench).collect()}
+    assert got == {(10, 1, 1.0), (11, 1, 1.0), (13, 2, 1.0), (14, 2, 1.0), (15, 3, 1.0), (17, 4, 1.0), (19, 5, 1.0)}
+
+
+def test_every_third_word_changed_is_found():
+    rng = random.Random(9)
+    item = prose(rng, 48, 10**6).split()
+    copy = [f"e{k}" if k % 3 == 2 else w for k, w in enumerate(item)]
+    items = decontam._items([1], [" ".join(item)])
+    got = list(decontam._found(pa.array([f"{prose(rng, 50)} {' '.join(copy)} {prose(rng, 50)}"]), items, items.maybe()))
+    assert [g[:2] for g in got] == [(0, 0)] and got[0][2] >= 0.4 * 96
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_result_equals_aligning_every_text_with_every_item(seed):
+    """Substituted words at every rate: found exactly where a full alignment reaches the threshold."""
+    rng = random.Random(seed)
+    common = [f"c{i}" for i in range(12)]
+    items = [" ".join(rng.choice(common) if rng.random() < 0.5 else f"r{rng.randrange(10**6)}" for _ in range(n))
+             for n in (3, 5, 7, 8, 9, 12, 20, 21, 35, 60)]
+    texts = []
+    for _ in range(120):
+        w = rng.choice(items).split()
+        share = rng.choice([0, 0.1, 0.25, 0.33, 0.4, 0.45, 0.5])
+        step = rng.choice([0, 2, 3, 4])
+        w = [rng.choice(common) if (step and k % step == step - 1) or (not step and rng.random() < share) else x for k, x in enumerate(w)]
+        around = lambda: [rng.choice(common) if rng.random() < 0.7 else f"o{rng.randrange(10**6)}" for _ in range(rng.randrange(40))]
+        texts.append(" ".join(around() + w[rng.randrange(3):] + around()))
+    block = decontam._items(list(range(len(items))), items)
+    block = decontam._marked(block, np.zeros(len(block.seeds), np.int64) + 500, 1000) if seed % 2 else block
+    got = {g[:2] for g in decontam._found(pa.array(texts), block, block.maybe())}
+    hashes = decontam._items(list(range(len(texts))), texts).hashes
+    want = set()
+    for t, x in enumerate(hashes):
+        for i, y in enumerate(block.hashes):
+            if brute_align(y.tolist(), x.tolist()) >= block.least[i]:
+                want.add((t, i))
+    missed = want - got
+    # an alignment that needs gaps may lack seeds; none without gaps does
+    assert got <= want and all(no_gap(block.hashes[i], hashes[t]) < block.least[i] for t, i in missed), missed
+    assert len(missed) <= 0.02 * len(want)
+
+
+def no_gap(item, text):
+    """The best alignment on one diagonal."""
+    best = 0
+    for shift in range(-len(item), len(text)):
+        s = 0
+        for k, w in enumerate(item.tolist()):
+            if 0 <= k + shift < len(text):
+                s = max(0, s + (decontam.MATCH if text[k + shift] == w else decontam.MISMATCH))
+                best = max(best, s)
+    return best
