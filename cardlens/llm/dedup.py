@@ -257,12 +257,32 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: keep one document of each near-duplicate group, and all without an id.
+    """Pipeline stage: keep one row of each near-duplicate group.
 
-    Rows that repeat the id of a kept document stay as they are.
+    Rows are told apart even where they share an id or have none: each of these becomes
+    a node of its own, so equal texts without an id or under one id are one group of
+    which one row stays, and a row goes for its own text only. A row whose id is its own
+    stays before one whose id is not. Null and empty texts are linked with nothing and stay.
     """
-    gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    prepare(spark)
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    again = materialize(ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1 or id is null").select("id"), "again")
+    if again.isEmpty():
+        gone = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # a new id for each such row, out of the way of the others
+    low, high = ids.agg(F.min("id"), F.max("id")).first()
+    room = 1 << 61
+    base = 0 if high is None else high + 1 if high < room else low - room if low >= -room else None
+    own = F.col("doc_id").cast("long")
+    rest = docs.join(again, own.eqNullSafe(F.col("id")), "left_anti") if base is not None else docs.where("false")
+    odd = docs.join(again, own.eqNullSafe(F.col("id")), "left_semi") if base is not None else docs
+    node = next(f"node{k}" for k in range(len(docs.columns) + 1) if f"node{k}" not in docs.columns)
+    odd = materialize(odd.withColumn(node, F.monotonically_increasing_id() + F.lit(base or 0)), "odd")
+    nodes = rest.select(own.alias("doc_id"), "text").unionByName(odd.select(F.col(node).alias("doc_id"), "text"))
+    gone = materialize(near_duplicates(nodes).where("not kept").select(F.col("doc_id").alias("gone")), "gone")
+    return (rest.join(gone, own == F.col("gone"), "left_anti").select(docs.columns)
+            .unionByName(odd.join(gone, F.col(node) == F.col("gone"), "left_anti").select(docs.columns)))
 
 
 # Words of every text, lower-cased in A-Z only; shingles as texts joined by blanks.

@@ -2,7 +2,8 @@ import random
 import re
 
 import pytest
-from llm_helpers import SMALL, docs_of, ids, shingles, union_find
+from pyspark.sql import functions as F
+from llm_helpers import SMALL, docs_of, ids, prose, shingles, union_find
 
 from cardlens.llm import dedup
 from cardlens.llm._graph import components
@@ -76,7 +77,7 @@ def test_stage_keeps_one_of_each_group(spark):
     docs = docs_of(spark, [(7, text), (3, text), (5, "other words here now then"), (None, text), (8, None)], extra=True)
     out = dedup.deduplicate(spark, docs, SMALL)
     assert out.columns == docs.columns
-    assert ids(out) == [None, 3, 5, 8]
+    assert ids(out) == [3, 5, 8]  # the copy without an id is a copy too
 
 
 def test_components_of_paths_and_stars(spark):
@@ -99,3 +100,26 @@ def test_signature_of_small_sets(n):
     import numpy as np
     s = np.arange(n, dtype=np.uint64)
     assert (dedup._signature(s) == dedup._signature(s.copy())).all()
+
+
+def test_stage_decides_by_row_not_by_id(spark):
+    rng = random.Random(12)
+    same, other, third, clean = (prose(rng, 60) for _ in range(4))
+    rows = [(1, same), (1, same), (2, same), (None, same), (None, same), (2, clean), (3, other), (4, other + " x"), (4, third), (5, third),
+            (None, None), (None, ""), (6, ""), (6, ""), (7, None), (2**63 - 1, "short one"), (8, clean + " y")]
+    for extra in ([], [(-2**63, "lowest id of all")]):  # no room for new ids at either end
+        docs = docs_of(spark, rows + extra, extra=True).withColumn("node0", F.lit("kept"))
+        out = dedup.deduplicate(spark, docs, "")
+        assert out.columns == docs.columns
+        left = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+        groups = [same, clean, other, third]
+        assert all(sum((t or "").startswith(g) for _, t in left) == 1 for g in groups)
+        assert sum(not t for _, t in left) == 5 and ("short one" in [t for _, t in left])
+        assert len(left) == 4 + 5 + 1 + len(extra)
+
+
+def test_stage_keeps_the_least_id_where_ids_are_unique(spark):
+    rng = random.Random(13)
+    a, b = prose(rng, 60), prose(rng, 60)
+    docs = docs_of(spark, [(9, a), (4, a), (7, a + " z"), (3, b), (8, "alone here")])
+    assert ids(dedup.deduplicate(spark, docs, "")) == [3, 4, 8]

@@ -61,6 +61,6 @@ def test_stages_on_awkward_rows_and_empty_tables(spark):
             if docs.isEmpty():
                 assert got == []
             elif name == "near_duplicates":
-                assert got == [None, 1, 2, 3, 4, 5, 5, 7, 8]
+                assert got == [1, 2, 3, 4, 6, 7, 8]  # one row of the four alike, the one whose id is its own
             elif name in ("decontamination", "bpe"):
                 assert got == ids(docs)
