@@ -34,6 +34,7 @@ from cardlens.llm._util import prepare, shuffle_partitions, table
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LONG_CHARS = 1 << 16  # a text beyond this length is cut into leaves
 LEAF_CHARS = 1 << 14
+LEAVES = 32             # leaves of a batch
 WINDOW_CHARS = 64     # first reach of a window on either side of a cut
 CACHED_WORDS = 500_000  # words whose ids a task keeps
 
@@ -220,6 +221,19 @@ def _digest(ids: np.ndarray, path: str) -> tuple[int, str, str]:
             hashlib.sha256(_words(path).decode(ids)).hexdigest())
 
 
+def cut_leaves(batches: Iterator[pa.RecordBatch], leaf_chars: int) -> Iterator[pa.RecordBatch]:
+    """Each text as leaves of ``leaf_chars`` code points, cut in one pass over it."""
+    names = ["place", "doc_id", "nth", "leaf"]
+    for batch in batches:
+        for place, doc_id, text in zip(*(batch.column(c) for c in ("place", "doc_id", "text")), strict=True):
+            text = text.as_py()
+            for first in range(0, len(text), LEAVES * leaf_chars):
+                leaf = [text[i:i + leaf_chars] for i in range(first, min(first + LEAVES * leaf_chars, len(text)), leaf_chars)]
+                nth = np.arange(len(leaf), dtype=np.int32) + first // leaf_chars
+                yield pa.RecordBatch.from_arrays([pa.array([place.as_py()] * len(leaf), pa.int64()), pa.array([doc_id.as_py()] * len(leaf), pa.int64()),
+                                                  pa.array(nth), pa.array(leaf, pa.string())], names=names)
+
+
 def encode(docs: DataFrame, path: str = VOCABULARY, long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS,
            with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 (and the ids, if asked for) of every row.
@@ -275,9 +289,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY, long_chars: int = LONG_CHARS
 
     size = F.char_length("text")
     long = (docs.where(size > long_chars).withColumn("place", F.monotonically_increasing_id())
-            .select("place", "doc_id", "text", F.explode(F.sequence(
-                F.lit(0), F.floor((size - 1) / leaf_chars).cast("int"))).alias("nth"))
-            .select("place", "doc_id", "nth", F.substring("text", F.col("nth") * leaf_chars + 1, F.lit(leaf_chars)).alias("leaf"))
+            .mapInArrow(lambda batches: cut_leaves(batches, leaf_chars), "place long, doc_id long, nth int, leaf string")
             .repartition(shuffle_partitions(spark), "place", "nth")
             .mapInArrow(leaves, "place long, doc_id long, nth int, leaf string, tokens binary, spans binary")
             .groupBy("place").applyInArrow(grow, schema))

@@ -89,3 +89,26 @@ def test_word_cache_starts_anew_when_full(monkeypatch):
         ids, bounds = w.encode(data, offs)
         got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
         assert got == [TOK.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_cutting_a_text_takes_time_in_proportion_to_it():
+    import time
+
+    import pyarrow as pa
+    took = []
+    for n in (8_000_000, 16_000_000):
+        text = "abcdéfg " * (n // 8)
+        batch = pa.RecordBatch.from_pydict({"doc_id": [7], "text": [text], "place": [3]})
+        began = time.perf_counter()
+        rows = [(p, d, k, len(t)) for b in bpe.cut_leaves(iter([batch]), 4096) for p, d, k, t in zip(*(c.to_pylist() for c in b.columns))]
+        took.append(time.perf_counter() - began)
+        assert [r[2] for r in rows] == list(range(-(-n // 4096))) and sum(r[3] for r in rows) == n and {r[:2] for r in rows} == {(3, 7)}
+    assert took[1] < 3 * took[0]
+
+
+def test_leaves_of_a_text_are_its_whole_text():
+    import pyarrow as pa
+    text = "ab é\U0001f600" * 1000 + "z"
+    batch = pa.RecordBatch.from_pydict({"place": [1, 2], "doc_id": pa.array([None, 2], pa.int64()), "text": [text, "x"]})
+    got = [(p, t) for b in bpe.cut_leaves(iter([batch]), 7) for p, t in zip(b["place"].to_pylist(), b["leaf"].to_pylist())]
+    assert "".join(t for p, t in got if p == 1) == text and [t for p, t in got if p == 2] == ["x"]
