@@ -22,7 +22,7 @@ from cardlens.llm._text import U64, blocks, buffers, hash_spans, mix, word_bound
 from cardlens.llm._util import id_crc, prepare, table
 
 TRAIN_DOCS = 4000         # labelled documents the field is fitted on, at most
-TRAIN_BYTES = 200_000     # longer texts are not fitted on (they are scored like all others)
+TRAIN_LINES = 2_000_000   # and lines of all of them together, at most
 STEPS, RATE, L2 = 200, 0.1, 1e-4
 
 _CLASSES = np.zeros((5, 256), dtype=bool)  # symbols, capitals, letters, digits, exclamation marks
@@ -204,23 +204,32 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["quality", "size", "x"])
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(label, text) of at most ``rows`` labelled documents, taken by a hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, lines: int) -> DataFrame:
+    """(label, text) of at most ``rows`` labelled documents, taken by a hash of the id as
+    long as all of them together have no more than ``lines`` lines.
 
-    The ids are few enough to be broadcast; repeated labels of an id count once."""
+    The ids are few enough to be broadcast; of labels that share an id the largest
+    counts, of texts the least, so an id is one example however many rows repeat it."""
     ids = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id")
            .agg(F.max(F.col(label).cast("int")).alias(label))
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(
-        F.broadcast(ids), "doc_id").select(label, "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    found = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text"))
+    sizes = found.select("doc_id", (F.regexp_count("text", F.lit("\n")) + 1).alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    chosen, total = [], 0
+    for r in sizes:  # at most ``rows``
+        if total + r["n"] <= lines:
+            chosen.append(r["doc_id"])
+            total += r["n"]
+    return found.where(F.col("doc_id").isin(chosen)).select(label, "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model of at most ``TRAIN_DOCS`` documents of ``labels`` (doc_id, quality).
 
-    The driver receives their lines' figures, 40 bytes a line. Without both labels the
+    The driver receives their lines' figures, 40 bytes a line of at most ``TRAIN_LINES``. Without both labels the
     score is the share of the label there is (0.5 without any)."""
-    rows = sample(docs.where(F.octet_length(F.coalesce("text", F.lit(""))) <= TRAIN_BYTES), labels, "quality", TRAIN_DOCS)
+    rows = sample(docs, labels, "quality", TRAIN_DOCS, TRAIN_LINES)
     got = rows.mapInArrow(_lines, "quality int, size binary, x binary").toArrow().to_pylist()
     y = np.array([r["quality"] for r in got], dtype=np.int64)
     if len(set(y.tolist())) < 2:

@@ -250,3 +250,14 @@ def test_a_repeated_id_is_one_example_and_long_texts_are_bounded(spark, monkeypa
     assert sorted(model.index.ids.tolist()) == [1, 2, 3, 4]
     monkeypatch.setattr(toxicity, "EXAMPLE_TOTAL", 1000)
     assert sorted(toxicity.fit(docs, labels).index.ids.tolist()) == [1, 2, 4]
+
+
+def test_quality_sample_is_bounded_in_rows_and_lines(spark, monkeypatch):
+    docs = docs_of(spark, [(1, f"words that repeat {i}") for i in range(5000)] + [(2, "a line\n" * 100_000), (3, "good line"), (4, None)])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 1), (4, 0), (None, 1), (9, 1)], "doc_id long, quality int")
+    got = lambda rows, lines: sorted((r.quality, len(r.text)) for r in crf.sample(docs, labels, "quality", rows, lines).collect())
+    assert got(10, 10**6) == [(0, 0), (1, 9), (1, len("words that repeat 0")), (1, 700_000)]
+    assert got(10, 1000) == [(0, 0), (1, 9), (1, len("words that repeat 0"))]
+    assert len(got(2, 10**6)) <= 2
+    monkeypatch.setattr(crf, "TRAIN_LINES", 1000)
+    assert crf.score_quality(docs, crf.fit(docs, labels)).count() == 5003
