@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import io
+import os
 import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -89,3 +93,35 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def package_zip() -> bytes:
+    """This package's modules as a zip file, the same bytes for the same modules."""
+    root = os.path.dirname(os.path.abspath(__file__))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in sorted(os.walk(root)):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                with open(path, "rb") as f:
+                    z.writestr(zipfile.ZipInfo(os.path.relpath(path, os.path.dirname(root))), f.read())
+    return out.getvalue()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once a session and version.
+
+    The zip file is written to the shared folder and added to the session's files, so
+    jobs with Python in them run whatever folder the driver was started in.
+    """
+    data = package_zip()
+    name = f"cardlens-{hashlib.sha256(data).hexdigest()[:16]}.zip"
+    sc = spark.sparkContext
+    if name in getattr(sc, "_python_includes", ()):
+        return
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}")
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(jpath, True)
+    out.write(bytearray(data))
+    out.close()
+    sc.addPyFile(fs.makeQualified(jpath).toString())
