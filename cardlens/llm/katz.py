@@ -12,8 +12,10 @@ numbered. Pairs of the ``HEADS`` most frequent words are counted in one dense ta
 of fixed size, so no other pair can hold more than a 1/HEADS-th of all tokens. All
 other pairs are dealt out once, packed, by a hash of their rarer part: each group
 counts its pairs and returns partial sums per text, statistics per context, and, for
-held-out texts only, which contexts backed off. Group sizes do not depend on the
-input. Discounts need the counts of counts of all pairs; partial sums stay linear in
+held-out texts only, which contexts backed off. There are groups in proportion to the
+tokens, but one group holds all pairs after one word (or of a head and a word), so the
+largest grows with the word of rank HEADS + 1. The model is not kept; ``katz_tables`` stores it, in any order up to
+five, and scores further texts. Discounts need the counts of counts of all pairs; partial sums stay linear in
 them, so that the pairs need not be dealt out again.
 """
 
