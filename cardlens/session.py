@@ -84,13 +84,29 @@ def local_scratch(master: str) -> str:
     return tempfile.mkdtemp(prefix="cardlens-ckpt-")
 
 
+_written: dict[str, set[str]] = {}  # application -> folders of tables that it has written
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new sub-folder of the shared checkpoint folder for written tables."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Delete every table that the jobs of this session have written to the shared
+    folder; how many there were. For the caller, once the results are read: frames that
+    the jobs returned read these tables, so none of them can be used afterwards."""
+    paths = _written.pop(spark.sparkContext.applicationId, set())
+    for path in paths:
+        remove_dir(spark, path)
+    return len(paths)
 
 
 def remove_dir(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more."""
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 

@@ -40,3 +40,19 @@ def test_the_zip_holds_every_module_and_is_added_once(spark):
     before = len(spark.sparkContext._python_includes)
     ship_package(spark)
     assert len(spark.sparkContext._python_includes) == before
+
+
+def test_the_caller_can_clear_what_jobs_have_written(spark):
+    from cardlens.operators import catalog, spans
+    from cardlens.params import Params
+    from cardlens.session import clear_shared, ensure_checkpoint_dir
+    from conftest import SMALL
+    clear_shared(spark)
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    catalog.table_copy(spark, SMALL, Params()).collect()
+    spans.span_tree(spark, SMALL, Params()).collect()
+    spans.token_usage(spark, SMALL, Params()).collect()
+    assert set(os.listdir(folder)) - before
+    assert clear_shared(spark) >= 3 and set(os.listdir(folder)) == before
+    assert clear_shared(spark) == 0
