@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardlens.session import ensure_checkpoint_dir
+from cardlens.session import ensure_checkpoint_dir, remove_dir, shared_dir
 
 _CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -42,15 +41,15 @@ def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_dir(spark, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs a re-read, not a recomputation. The
-    files stay until ``drop`` (or until whoever owns the shared folder clears it),
-    because the frames derived from them are lazy.
+    files stay until ``drop`` or ``session.clear_shared``, because the frames derived
+    from them are lazy.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
@@ -64,9 +63,7 @@ def drop(df: DataFrame) -> None:
     """Delete the files of a materialised table that no later frame reads."""
     path = getattr(df, "_cardlens_path", None)
     if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        remove_dir(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
