@@ -24,6 +24,7 @@ BUCKETS = 1 << 14
 MARGIN = 4.0      # a text that is as clear as the training texts has this margin on each bit
 AMBIGUOUS = 0.5   # share of the best codeword below which a text is flagged
 UNKNOWN = "und"
+MOST_LANGUAGES = 500  # learned; their counts are held by the driver and every task
 
 # letters of ASCII lower-cased, bytes of other characters kept, all else a blank
 _FOLD = np.full(256, 32, dtype=np.uint32)
@@ -142,10 +143,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame) -> Model:
     """The model of all rows of ``docs`` (text, lang) with a language.
 
-    The driver receives the trigram counts: ``BUCKETS`` numbers a language.
+    The driver receives the trigram counts: ``BUCKETS`` numbers a language. More than
+    ``MOST_LANGUAGES`` values of ``lang`` are an error, raised before anything is counted.
     """
     rows = docs.where("lang is not null").select(F.col("text").cast("string").alias("text"),
                                                  F.col("lang").cast("string").alias("lang"))
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
     counts = (rows.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket")
               .agg(F.sum("n").alias("n")).toArrow())
     langs = sorted(set(counts.column("lang").to_pylist()))

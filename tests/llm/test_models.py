@@ -261,3 +261,46 @@ def test_quality_sample_is_bounded_in_rows_and_lines(spark, monkeypatch):
     assert len(got(2, 10**6)) <= 2
     monkeypatch.setattr(crf, "TRAIN_LINES", 1000)
     assert crf.score_quality(docs, crf.fit(docs, labels)).count() == 5003
+
+
+def test_language_scores_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(14)
+    sounds = {"aa": "abe", "bb": "cdo", "cc": "éfu", "dd": "гхи"}
+    rows = [(i, " ".join("".join(rng.choice(sounds[x]) for _ in range(rng.randrange(2, 7))) for _ in range(rng.randrange(1, 30))).capitalize(), x)
+            for i, x in enumerate(rng.choice(sorted(sounds)) for _ in range(90))]
+    rows += [(200, None, "aa"), (201, "", None), (202, "12 34", "bb"), (203, "x", None), (204, "abe cdo abe cdo", None)]
+    docs = docs_of(spark, rows, extra=True)
+    model = langid.fit(docs)
+    got = {r.doc_id: r for r in langid.identify(docs, model).collect()}
+
+    def grams(text):
+        b = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in (text or "").encode()]
+        code = [b[i] | b[i + 1] << 8 | b[i + 2] << 16 for i in range(len(b) - 2)]
+        return [(c * 0x9E3779B1 % 2**32) >> 18 for c in code if c != 0x202020]
+    langs = sorted(sounds)
+    n = {x: [0.5] * langid.BUCKETS for x in langs}
+    for _, t, x in rows:
+        for g in grams(t) if x else []:
+            n[x][g] += 1
+    share = {x: [v / sum(n[x]) for v in n[x]] for x in langs}
+    code = {x: [-1 if k and c >> (k - 1) & 1 else 1 for c in range(1, 8)] for k, x in enumerate(langs)}
+    odds, weight = [], []
+    for bit in range(7):
+        mean = lambda s, g: (lambda z: sum(z) / len(z))([share[x][g] for x in langs if code[x][bit] == s])  # noqa: B023, E731
+        o = [math.log(mean(1, g)) - math.log(mean(-1, g)) for g in range(langid.BUCKETS)]
+        clear = sum(abs(sum(p * v for p, v in zip(share[x], o))) for x in langs) / len(langs)
+        odds.append([v * langid.MARGIN / clear for v in o])
+        weight.append(clear)
+    weight = [w * 7 / sum(weight) for w in weight]
+    for i, t, _ in rows:
+        g = grams(t)
+        margin = [sum(o[x] for x in g) / max(1, len(g)) for o in odds]
+        loss = {x: sum(w * math.log1p(math.exp(-c * m)) for w, c, m in zip(weight, code[x], margin)) for x in langs}
+        best = min(langs, key=lambda x: (loss[x], x))
+        letter = any(c.isalpha() for c in t or "")
+        want = 1 / sum(math.exp(loss[best] - v) for v in loss.values()) if letter else 0.0
+        assert got[i].lang_pred == (best if letter else "und") and abs(got[i].score - want) < 1e-4, i
+        assert got[i].ambiguous == (not letter or want < langid.AMBIGUOUS) or abs(want - langid.AMBIGUOUS) < 1e-4
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        langid.fit(docs)
