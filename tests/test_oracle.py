@@ -23,7 +23,8 @@ def test_entry_runs(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(registry.queries()) == set(ORACLE)
+    # tokens of a vocabulary are no SQL; tests/test_cards_and_copies.py counts them with the tokenizer itself
+    assert set(registry.queries()) - set(ORACLE) == {"prompt_tokens"} and set(ORACLE) <= set(registry.queries())
 
 
 DUCK_TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "DOUBLE": "double",
