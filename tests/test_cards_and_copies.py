@@ -166,7 +166,7 @@ def turned(tmp_path_factory, spark):
     return str(out)
 
 
-@pytest.mark.parametrize("name", ["schema_card", "schema_samples"])
+@pytest.mark.parametrize("name", ["schema_card", "schema_samples", "prompt_budget"])
 def test_cards_do_not_depend_on_the_order_of_files(spark, duck, turned, name):
     import __spark_entry__ as E
     from cardlens.plans.compare import compare
