@@ -173,3 +173,22 @@ def test_cards_do_not_depend_on_the_order_of_files(spark, duck, turned, name):
     from cardlens.plans.registry import oracle_sql
     ok, msg = compare(E.queries()[name](spark, turned), duck, oracle_sql()[name])
     assert ok, msg
+
+
+def test_texts_are_encoded_in_pieces_of_bounded_size(monkeypatch):
+    import pyarrow as pa
+    seen = []
+
+    class Fake:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            seen.append(sum(len(str(t).encode()) for t in texts))
+            return [type("E", (), {"ids": str(t).split()}) for t in texts]
+
+        encode_batch = encode_batch_fast
+
+    monkeypatch.setattr(tokens, "_load", lambda path: Fake())
+    texts = ["é " * 10_000, None, ""] * 100 + ["word " * 100_000, "last"]
+    want = ([10_000, 0, 0] * 100) + [100_000, 1]
+    assert tokens.count_texts("any", pa.array(texts)[1:]) == want[1:]
+    assert sorted(seen)[-1] == 500_000 and sorted(seen)[-2] <= 1 << 18  # the one longer text is alone
+    assert tokens.count_texts("any", pa.array([], pa.string())) == []
